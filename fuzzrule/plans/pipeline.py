@@ -1,0 +1,322 @@
+"""The learning plan and the scoring model.
+
+``learn`` runs prepare -> fuzzify -> cell rules -> [support filter] ->
+mine + resolve -> rank filter -> score training rows -> drop rules that
+never win -> selection, as one DataFrame lineage with a few explicit
+persist points (the fuzzified training table, which is read twice, and the
+small rule tables).  The driver only receives scalars (counts, min/max,
+index maps) and the final rule base, whose size is checked against
+``max_broadcast_rules`` before it is collected for broadcasting.
+
+``RuleModel.transform`` is a projection plus a pandas UDF: no shuffle.
+The ``pyspark.ml`` classes at the bottom wrap both for ``Pipeline`` use.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Model, Transformer
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fuzzrule.operators.cells import acol, cell_rules, support_filter, support_threshold
+from fuzzrule.operators.infer import RuleSet, score, score_sql
+from fuzzrule.operators.mine import number_rules, rank_filter, resolve_rules
+from fuzzrule.operators.prepare import Preparer, fit_preparer, zcol
+from fuzzrule.operators.prune import attach_wins, drop_unused, precision_select, win_counts
+from fuzzrule.operators.report import ant_key, metrics_dict, rule_text
+from fuzzrule.params import RuleParams
+from fuzzrule.session import ensure_checkpoint_dir
+
+_MEM_DISK = StorageLevel.MEMORY_AND_DISK
+
+
+@dataclass
+class FitTrace:
+    """Intermediate tables and counts of one fit (for reports and tests)."""
+
+    cells: DataFrame | None = None
+    cells_filtered: DataFrame | None = None
+    resolved: DataFrame | None = None
+    ranked: DataFrame | None = None
+    with_wins: DataFrame | None = None
+    funnel: list = field(default_factory=list)
+    ths_used: int | None = None
+    seconds: dict = field(default_factory=dict)
+    selection_steps: list = field(default_factory=list)
+
+
+class RuleModel:
+    """A learned rule base plus the preparation it was learned with."""
+
+    def __init__(self, prep: Preparer, params: RuleParams, rules: DataFrame,
+                 trace: FitTrace | None = None):
+        self.prep = prep
+        self.params = params
+        self.rules = rules
+        self.trace = trace or FitTrace()
+        self._ruleset: RuleSet | None = None
+
+    @property
+    def d(self) -> int:
+        return self.prep.d
+
+    @property
+    def majority(self) -> float:
+        return self.prep.majority
+
+    @property
+    def ruleset(self) -> RuleSet:
+        if self._ruleset is None:
+            self._ruleset = RuleSet.from_frame(self.rules, self.d, self.params.n_labels,
+                                               self.majority, self.params.use_rw,
+                                               self.params.max_broadcast_rules)
+        return self._ruleset
+
+    def prepare(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        return self.prep.transform(df, keep=keep)
+
+    def transform(self, df: DataFrame, keep: list[str] | None = None, method: str | None = None,
+                  shifted: bool | None = None, out: str = "prediction") -> DataFrame:
+        """Prepared rows (``keep`` + internals) with ``out``, ``rule_id``, ``md``."""
+        method = RuleParams(inference=method).inference if method else self.params.inference
+        shifted = self.params.tuning if shifted is None else shifted
+        if keep is None:
+            keep = [c for c in df.columns]
+        prepared = self.prep.transform(df, keep=keep)
+        return score(prepared, self.ruleset, self.d, method, shifted, self.params.no_fire, out)
+
+    def transform_sql(self, df: DataFrame, id_col: str, method: str | None = None,
+                      shifted: bool | None = None, out: str = "prediction") -> DataFrame:
+        method = RuleParams(inference=method).inference if method else self.params.inference
+        shifted = self.params.tuning if shifted is None else shifted
+        prepared = self.prep.transform(df, keep=[id_col])
+        return score_sql(prepared, self.rules, self.d, self.params.n_labels, self.majority,
+                         self.params.use_rw, id_col, method, shifted, out)
+
+    def evaluate(self, df: DataFrame, **kw) -> dict:
+        return metrics_dict(self.transform(df, keep=[], **kw))
+
+    def rules_report(self) -> DataFrame:
+        """Rules with the antecedent key and readable text."""
+        txt = rule_text(self.rules, self.prep.feature_names, self.params.n_labels)
+        return (self.rules.join(txt.drop("cls"), "rule_id")
+                .withColumn("ant_key", ant_key(self.d)).orderBy("rule_id"))
+
+    def average_rule_length(self) -> float | None:
+        v = self.rules.agg(F.avg("len")).first()[0]
+        return None if v is None else round(float(v), 2)
+
+    # ---------------------------------------------------------- persistence
+    def save(self, path: str) -> None:
+        spark = self.rules.sparkSession
+        meta = {"prep": self.prep.to_dict(), "params": self.params.to_dict()}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+            .write.mode("overwrite").text(f"{path}/metadata")
+        self.rules.write.mode("overwrite").parquet(f"{path}/rules")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "RuleModel":
+        meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        prep = Preparer.from_dict(meta["prep"])
+        params = RuleParams(**meta["params"])
+        return cls(prep, params, spark.read.parquet(f"{path}/rules"))
+
+
+def _timed(trace: FitTrace, name: str, t0: float) -> float:
+    t1 = time.perf_counter()
+    trace.seconds[name] = round(t1 - t0, 3)
+    return t1
+
+
+def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = None,
+          features: list[str] | None = None, exclude: tuple[str, ...] = ()) -> RuleModel:
+    """Fit a rule base on a two-class table (default class = last column)."""
+    params = params or RuleParams()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    trace = FitTrace()
+    t = time.perf_counter()
+
+    if params.use_fs:
+        from fuzzrule.operators.select import select_features
+        numeric, cats, label_ = _roles(df, label, features, exclude)
+        chosen = select_features(df, numeric + cats, label_, params)
+        features, label = chosen, label_
+        t = _timed(trace, "feature_selection", t)
+
+    prep = fit_preparer(df, params.n_labels, label, features, exclude)
+    d, maj = prep.d, prep.majority
+    fz = prep.transform(df, keep=[]).persist(_MEM_DISK)
+    t = _timed(trace, "prepare", t)
+
+    cells = cell_rules(fz, d, maj).persist(_MEM_DISK)
+    n_cells = cells.count()
+    trace.funnel.append(("cell_rules", n_cells))
+    trace.cells = cells
+    if params.use_filtering:
+        ths = support_threshold(prep.n_rows, n_cells, params.filtering_ths)
+        trace.ths_used = ths
+        cells = support_filter(cells, ths)
+    trace.cells_filtered = cells
+    n_filtered = cells.count() if params.use_filtering else n_cells
+    trace.funnel.append(("support_filtered", n_filtered))
+    t = _timed(trace, "cells", t)
+
+    resolved = resolve_rules(cells, d, params, maj).persist(_MEM_DISK)
+    trace.funnel.append(("mined", resolved.count()))
+    trace.resolved = resolved
+    t = _timed(trace, "mine", t)
+
+    ranked = number_rules(rank_filter(resolved, d, params), d).persist(_MEM_DISK)
+    trace.funnel.append(("rank_filtered", ranked.count()))
+    trace.ranked = ranked
+    t = _timed(trace, "rank", t)
+
+    rs = RuleSet.from_frame(ranked, d, params.n_labels, maj, params.use_rw,
+                            params.max_broadcast_rules)
+    scored = score(fz, rs, d, "winning")
+    wins = win_counts(scored)
+    with_wins = attach_wins(ranked, wins).persist(_MEM_DISK)
+    trace.with_wins = with_wins
+    used = drop_unused(with_wins)
+    trace.funnel.append(("winning", used.count()))
+    t = _timed(trace, "match", t)
+
+    if params.selection == "gm":
+        from fuzzrule.operators.gm_select import gm_select
+        selected, steps = gm_select(fz, used, d, params, maj)
+        trace.selection_steps = steps
+    else:
+        selected = precision_select(used, params.precision)
+    final = number_rules(selected.drop("rule_id"), d).checkpoint(eager=True)
+    trace.funnel.append(("selected", final.count()))
+    _timed(trace, "prune", t)
+    fz.unpersist()
+    return RuleModel(prep, params, final, trace)
+
+
+def _roles(df, label, features, exclude):
+    from fuzzrule.operators.prepare import split_columns
+    return split_columns(df, label, features, exclude)
+
+
+def rules_to_pandas(model: RuleModel) -> pd.DataFrame:
+    cols = ["rule_id", "cls", "rw", "sup", "conf", "n_win", "n_correct", "len"] + \
+           [acol(j) for j in range(model.d)]
+    return model.rules.select(*cols).orderBy("rule_id").toPandas()
+
+
+# ------------------------------------------------------- pyspark.ml surface
+
+class FuzzyRuleClassifierModel(Model):
+    """``pyspark.ml`` Model: appends ``prediction`` to the input columns."""
+
+    def __init__(self, model: RuleModel | None = None, predictionCol: str = "prediction",
+                 shifted: bool | None = None):
+        super().__init__()
+        self.model = model
+        self.predictionCol = predictionCol
+        self.shifted = shifted
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = self.model.transform(dataset, keep=list(dataset.columns), shifted=self.shifted,
+                                   out=self.predictionCol)
+        return out.select(*dataset.columns, self.predictionCol)
+
+
+class FuzzyRuleClassifier(Estimator):
+    """``pyspark.ml`` Estimator around :func:`learn`."""
+
+    def __init__(self, params: RuleParams | None = None, labelCol: str | None = None,
+                 featuresCols: list[str] | None = None, predictionCol: str = "prediction"):
+        super().__init__()
+        self.rule_params = params or RuleParams()
+        self.labelCol = labelCol
+        self.featuresCols = featuresCols
+        self.predictionCol = predictionCol
+
+    def _fit(self, dataset: DataFrame) -> FuzzyRuleClassifierModel:
+        m = learn(dataset, self.rule_params, self.labelCol, self.featuresCols)
+        return FuzzyRuleClassifierModel(m, self.predictionCol)
+
+
+class PrototypeTuning(Estimator):
+    """Re-wraps a fitted rule model so it scores with prototype-shifted
+    memberships (``prediction_tu``)."""
+
+    def __init__(self, base: FuzzyRuleClassifierModel | None = None):
+        super().__init__()
+        self.base = base
+
+    def _fit(self, dataset: DataFrame) -> FuzzyRuleClassifierModel:
+        return FuzzyRuleClassifierModel(self.base.model, "prediction_tu", shifted=True)
+
+
+class CategoricalIndexerModel(Model):
+    def __init__(self, prep: Preparer | None = None):
+        super().__init__()
+        self.prep = prep
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.prep.index(dataset).drop(*self.prep.categorical)
+
+
+class CategoricalIndexer(Estimator):
+    """Index string features (``<name>_indexed``) and the class column;
+    unseen or null values are skipped."""
+
+    def __init__(self, labelCol: str | None = None):
+        super().__init__()
+        self.labelCol = labelCol
+
+    def _fit(self, dataset: DataFrame) -> CategoricalIndexerModel:
+        return CategoricalIndexerModel(fit_preparer(dataset, 3, self.labelCol))
+
+
+class FuzzifierModel(Model):
+    def __init__(self, prep: Preparer | None = None):
+        super().__init__()
+        self.prep = prep
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from fuzzrule.operators.prepare import fuzzify
+        return fuzzify(self.prep, dataset)
+
+
+class Fuzzifier(Estimator):
+    """Fits min/max scaling and appends ``features_arr`` (scaled values) and
+    ``labels`` (linguistic label per feature)."""
+
+    def __init__(self, n_labels: int = 3, labelCol: str | None = None):
+        super().__init__()
+        self.n_labels = n_labels
+        self.labelCol = labelCol
+
+    def _fit(self, dataset: DataFrame) -> FuzzifierModel:
+        return FuzzifierModel(fit_preparer(dataset, self.n_labels, self.labelCol))
+
+
+def tree_baseline(train: DataFrame, test: DataFrame, label: str | None = None,
+                  features: list[str] | None = None, keep: list[str] | None = None,
+                  seed: int = 7):
+    """Decision-tree baseline on the same prepared features; returns
+    (train predictions, test predictions, train accuracy, test accuracy)."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    prep = fit_preparer(train, 3, label, features)
+    va = VectorAssembler(inputCols=[zcol(j) for j in range(prep.d)], outputCol="features_vec")
+    tr = va.transform(prep.transform(train, keep=keep or []))
+    te = va.transform(prep.transform(test, keep=keep or []))
+    dt = DecisionTreeClassifier(labelCol="_y", featuresCol="features_vec", seed=seed).fit(tr)
+    ev = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="prediction",
+                                           metricName="accuracy")
+    ptr, pte = dt.transform(tr), dt.transform(te)
+    return ptr, pte, ev.evaluate(ptr), ev.evaluate(pte)

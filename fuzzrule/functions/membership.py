@@ -68,9 +68,25 @@ def matching_degree(labels: list[Column], values: list[Column], n: int,
     return reduce(lambda x, y: x * y, factors)
 
 
-def round_at(x: Column, p: int) -> Column:
-    """Round half up at p decimals; NaN and null become 0.0."""
-    return F.coalesce(F.round(F.nanvl(x, F.lit(0.0)), p), F.lit(0.0))
+def round_at(x: Column | str, p: int) -> Column:
+    """Round half up at p decimals as floor(x * 10^p + 0.5) / 10^p (the
+    original's rounding); NaN and null become 0.0."""
+    s = float(10 ** p)
+    v = F.nanvl(F.col(x) if isinstance(x, str) else x, F.lit(0.0))
+    return F.coalesce(F.floor(v * F.lit(s) + F.lit(0.5)).cast("double") / F.lit(s), F.lit(0.0))
+
+
+# Offset of the report rounding grid: keeps short decimals (means of a few
+# decimal inputs) off the rounding boundary, so results that differ only by
+# summation order still print the same digits in every engine.
+STABLE_OFFSET = 0.5123
+
+
+def stable_round(x: Column | str, p: int = 6) -> Column:
+    """Report rounding, floor(x * 10^p + 0.5123) / 10^p; null stays null."""
+    s = float(10 ** p)
+    x = F.col(x) if isinstance(x, str) else x
+    return F.floor(x * F.lit(s) + F.lit(STABLE_OFFSET)).cast("double") / F.lit(s)
 
 
 # ------------------------------------------------------------------- numpy

@@ -24,6 +24,7 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fuzzrule.functions.membership import round_at
 from fuzzrule.operators.cells import acol, cell_rules, support_filter, support_threshold
 from fuzzrule.operators.infer import RuleSet, score, score_sql
 from fuzzrule.operators.mine import number_rules, rank_filter, resolve_rules
@@ -109,8 +110,8 @@ class RuleModel:
                 .withColumn("ant_key", ant_key(self.d)).orderBy("rule_id"))
 
     def average_rule_length(self) -> float | None:
-        v = self.rules.agg(F.avg("len")).first()[0]
-        return None if v is None else round(float(v), 2)
+        v = self.rules.agg(round_at(F.avg("len"), 2)).first()[0] if self.rules.count() else None
+        return None if v is None else float(v)
 
     # ---------------------------------------------------------- persistence
     def save(self, path: str) -> None:

@@ -32,7 +32,7 @@ from fuzzrule.operators.prepare import Preparer, fit_preparer, zcol
 from fuzzrule.operators.prune import attach_wins, drop_unused, precision_select, win_counts
 from fuzzrule.operators.report import ant_key, metrics_dict, rule_text
 from fuzzrule.params import RuleParams
-from fuzzrule.session import ensure_checkpoint_dir
+from fuzzrule.session import ensure_checkpoint_dir, spread
 
 _MEM_DISK = StorageLevel.MEMORY_AND_DISK
 
@@ -89,7 +89,7 @@ class RuleModel:
         shifted = self.params.tuning if shifted is None else shifted
         if keep is None:
             keep = [c for c in df.columns]
-        prepared = self.prep.transform(df, keep=keep)
+        prepared = self.prep.transform(spread(df), keep=keep)
         return score(prepared, self.ruleset, self.d, method, shifted, self.params.no_fire, out)
 
     def transform_sql(self, df: DataFrame, id_col: str, method: str | None = None,
@@ -151,9 +151,14 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
         features, label = chosen, label_
         t = _timed(trace, "feature_selection", t)
 
-    prep = fit_preparer(df, params.n_labels, label, features, exclude)
+    # The source is read once: only the feature and class columns are kept
+    # (column pruning reaches the scan) and persisted; the indexer fit, the
+    # min/max pass and both later passes (cells, pruning) reuse them.
+    numeric, cats, label = _roles(df, label, features, exclude)
+    narrow = spread(df.select(*numeric, *cats, label)).persist(_MEM_DISK)
+    prep = fit_preparer(narrow, params.n_labels, label, numeric + cats)
     d, maj = prep.d, prep.majority
-    fz = prep.transform(df, keep=[]).persist(_MEM_DISK)
+    fz = prep.transform(narrow, keep=[])
     t = _timed(trace, "prepare", t)
 
     cells = cell_rules(fz, d, maj).persist(_MEM_DISK)
@@ -198,7 +203,7 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     final = number_rules(selected.drop("rule_id"), d).checkpoint(eager=True)
     trace.funnel.append(("selected", final.count()))
     _timed(trace, "prune", t)
-    fz.unpersist()
+    narrow.unpersist()
     return RuleModel(prep, params, final, trace)
 
 

@@ -50,3 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="fuzzrule-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def spread(df):
+    """Rebalance an input with fewer partitions than the cluster has task
+    slots (e.g. one large row group) so the per-row work runs in parallel.
+    Inputs that are already split, and streams, pass through untouched."""
+    if df.isStreaming:
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -203,3 +203,85 @@ def score_sql(df: DataFrame, rules: DataFrame, d: int, n_labels: int, majority:
 
 def correct_flag(df: DataFrame, pred: str = "prediction") -> DataFrame:
     return df.withColumn("correct", (F.col(pred) == F.col(Y)).cast("int"))
+
+
+def _fired_pairs(d: int, n: int):
+    """Array of (j, k) structs: every feature/label with positive membership
+    (at most two labels per feature), in feature order."""
+    from fuzzrule.functions.membership import trimf_col
+    from fuzzrule.functions.partition import triangle
+    parts = []
+    for j in range(d):
+        z = F.col(zcol(j))
+        for k in range(1, n + 1):
+            a, b, c = triangle(k, n)
+            mu = trimf_col(z, F.lit(a), F.lit(b), F.lit(c))
+            parts.append(F.when(mu > 0, F.struct(F.lit(j).alias("j"), F.lit(k).alias("k"))))
+    return F.filter(F.array(*parts), lambda p: p.isNotNull())
+
+
+def _combos(pairs, min_len: int, max_len: int):
+    """All combinations of 1..3 pairs with strictly increasing feature."""
+    c1 = F.transform(pairs, lambda p: F.array(p))
+    c2 = F.flatten(F.transform(pairs, lambda p: F.transform(
+        F.filter(pairs, lambda q: q["j"] > p["j"]), lambda q: F.array(p, q))))
+    c3 = F.flatten(F.transform(pairs, lambda p: F.flatten(F.transform(
+        F.filter(pairs, lambda q: q["j"] > p["j"]), lambda q: F.transform(
+            F.filter(pairs, lambda r: r["j"] > q["j"]), lambda r: F.array(p, q, r))))))
+    if max_len > 3:
+        raise ValueError("equi-join scoring supports max_length <= 3")
+    parts = [c for L, c in ((1, c1), (2, c2), (3, c3)) if min_len <= L <= max_len]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def score_equijoin(df: DataFrame, rules: DataFrame, d: int, n_labels: int, majority: float,
+                   use_rw: bool, method: str = "winning", shifted: bool = False,
+                   min_len: int = 1, max_len: int = 3, out: str = "prediction") -> DataFrame:
+    """Scoring without broadcasting the rule base, for rule bases above
+    ``max_broadcast_rules``.  A rule fires on a row only if each of its
+    antecedent labels has positive membership, and at most two labels per
+    feature do, so every row expands to at most sum C(d, L) 2^L candidate
+    antecedents; these are hash-joined to the rule table (shuffle on the
+    antecedent), degrees are computed on the joined rows, and a per-row
+    ``max_by`` (or per-class sums) picks the result.  Rows keep all input
+    columns; rows with no firing rule get the majority class.  With shifted
+    memberships a rule may fire outside the plain support, so shifted
+    scoring needs the broadcast strategies."""
+    if shifted:
+        raise ValueError("shifted memberships need the broadcast scoring strategies")
+    rows = df.withColumn("_rid", F.monotonically_increasing_id())
+    combos = _combos(_fired_pairs(d, n_labels), min_len, max_len)
+    keys = rows.select("_rid", *[zcol(j) for j in range(d)], F.explode(combos).alias("_c"))
+    def label_of(j):
+        # one-argument lambda: Spark treats a two-argument one as (element, index)
+        hit = F.filter("_c", lambda p: p["j"] == F.lit(j))
+        return F.coalesce(F.try_element_at(hit, F.lit(1))["k"], F.lit(0)).alias(acol(j))
+
+    keys = keys.select("_rid", *[zcol(j) for j in range(d)], *[label_of(j) for j in range(d)])
+    r = rules.select("rule_id", "cls", "rw", *[acol(j) for j in range(d)])
+    x = keys.join(r, [acol(j) for j in range(d)])
+    md = matching_degree([F.col(acol(j)) for j in range(d)], [F.col(zcol(j)) for j in range(d)],
+                         n_labels)
+    if use_rw:
+        md = md * F.col("rw")
+    x = x.select("_rid", "rule_id", "cls", md.alias("_md"))
+    maj = F.lit(float(majority))
+    if method == "winning":
+        key = F.when(F.col("_md") > 0, F.struct(F.col("_md"), (-F.col("rule_id")).alias("r")))
+        g = x.groupBy("_rid").agg(F.max_by(F.struct("rule_id", "cls", "_md"), key).alias("_w"))
+        g = g.select("_rid", F.col("_w.rule_id").alias("_wid"), F.col("_w.cls").alias("_wc"),
+                     F.col("_w._md").alias("_wmd"))
+        res = rows.join(g, "_rid", "left")
+        return (res.withColumn(out, F.coalesce(F.col("_wc"), maj))
+                   .withColumn("rule_id", F.col("_wid"))
+                   .withColumn("md", F.coalesce(F.col("_wmd"), F.lit(0.0)))
+                   .drop("_wid", "_wc", "_wmd", "_rid"))
+    g = x.groupBy("_rid").agg(
+        F.sum(F.when(F.col("cls") == 0, F.col("_md")).otherwise(0.0)).alias("_s0"),
+        F.sum(F.when(F.col("cls") == 1, F.col("_md")).otherwise(0.0)).alias("_s1"))
+    res = rows.join(g, "_rid", "left").fillna(0.0, ["_s0", "_s1"])
+    return (res.withColumn(out, F.when(F.col("_s0") > F.col("_s1"), F.lit(0.0))
+                           .when(F.col("_s1") > F.col("_s0"), F.lit(1.0)).otherwise(maj))
+               .withColumn("rule_id", F.lit(None).cast("int"))
+               .withColumn("md", F.greatest("_s0", "_s1"))
+               .drop("_s0", "_s1", "_rid"))

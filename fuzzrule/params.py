@@ -40,7 +40,7 @@ class RuleParams:
     selection: str = "precision"       # "precision" | "gm"
     prototype: str = "second"          # "second" (as stored) | "first" (winner mean)
     no_fire: str = "majority"          # tuned winning rule when nothing fires
-    scoring: str = "auto"              # "auto" | "pandas" | "sql"
+    scoring: str = "auto"              # "auto" | "pandas" | "join"
     max_broadcast_rules: int = 200_000  # above: scoring by equi-join on antecedents
     max_subrules_per_cell: int = 50_000  # guard against the subset blow-up
     tie_eps: float = 1e-9              # |RW| below this is a class tie
@@ -61,7 +61,7 @@ class RuleParams:
                               ("selection", {"precision", "gm"}),
                               ("prototype", {"second", "first"}),
                               ("no_fire", {"majority", "first_rule"}),
-                              ("scoring", {"auto", "pandas", "sql"})):
+                              ("scoring", {"auto", "pandas", "join"})):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {sorted(allowed)}")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fuzzrule.functions.membership import round_at
 from fuzzrule.operators.cells import acol, cell_rules, support_filter, support_threshold
-from fuzzrule.operators.infer import RuleSet, score, score_sql
+from fuzzrule.operators.infer import RuleSet, score, score_equijoin, score_sql
 from fuzzrule.operators.mine import number_rules, rank_filter, resolve_rules
 from fuzzrule.operators.prepare import Preparer, fit_preparer, zcol
 from fuzzrule.operators.prune import attach_wins, drop_unused, precision_select, win_counts
@@ -71,6 +71,18 @@ class RuleModel:
     def majority(self) -> float:
         return self.prep.majority
 
+    @property
+    def n_rules(self) -> int:
+        if getattr(self, "_n_rules", None) is None:
+            self._n_rules = self.rules.count()
+        return self._n_rules
+
+    def use_broadcast(self) -> bool:
+        """Broadcast scoring only for a rule base within the checked bound."""
+        if self.params.scoring == "join":
+            return False
+        return self.n_rules <= self.params.max_broadcast_rules
+
     @property
     def ruleset(self) -> RuleSet:
         if self._ruleset is None:
@@ -90,6 +102,10 @@ class RuleModel:
         if keep is None:
             keep = [c for c in df.columns]
         prepared = self.prep.transform(spread(df), keep=keep)
+        if not self.use_broadcast() and not shifted:
+            p = self.params
+            return score_equijoin(prepared, self.rules, self.d, p.n_labels, self.majority,
+                                  p.use_rw, method, False, p.min_length, p.max_length, out)
         return score(prepared, self.ruleset, self.d, method, shifted, self.params.no_fire, out)
 
     def transform_sql(self, df: DataFrame, id_col: str, method: str | None = None,
@@ -180,13 +196,19 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     t = _timed(trace, "mine", t)
 
     ranked = number_rules(rank_filter(resolved, d, params), d).persist(_MEM_DISK)
-    trace.funnel.append(("rank_filtered", ranked.count()))
+    n_ranked = ranked.count()
+    trace.funnel.append(("rank_filtered", n_ranked))
     trace.ranked = ranked
     t = _timed(trace, "rank", t)
 
-    rs = RuleSet.from_frame(ranked, d, params.n_labels, maj, params.use_rw,
-                            params.max_broadcast_rules)
-    scored = score(fz, rs, d, "winning")
+    if params.scoring == "join" or n_ranked > params.max_broadcast_rules:
+        # rule base above the broadcast bound: equi-join on fired antecedents
+        scored = score_equijoin(fz, ranked, d, params.n_labels, maj, params.use_rw, "winning",
+                                False, params.min_length, params.max_length)
+    else:
+        rs = RuleSet.from_frame(ranked, d, params.n_labels, maj, params.use_rw,
+                                params.max_broadcast_rules)
+        scored = score(fz, rs, d, "winning")
     wins = win_counts(scored)
     with_wins = attach_wins(ranked, wins).persist(_MEM_DISK)
     trace.with_wins = with_wins

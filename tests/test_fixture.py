@@ -121,3 +121,23 @@ def test_score_strategies_agree(toy, toy_model):
             b = {r.rid: r.prediction for r in
                  toy_model.transform_sql(df, "rid", method=method, shifted=shifted).collect()}
             assert a == b, (method, shifted)
+
+
+def test_equijoin_scoring_matches_broadcast(toy, toy_model):
+    """Above the broadcast bound the same rule base is found and scored by an
+    equi-join on fired antecedents."""
+    m2 = learn(toy[0], RuleParams(max_broadcast_rules=1))
+    assert m2.trace.funnel == toy_model.trace.funnel
+    k1 = sorted(r[0] for r in toy_model.rules.select(ant_key(3)).collect())
+    k2 = sorted(r[0] for r in m2.rules.select(ant_key(3)).collect())
+    assert k1 == k2
+    df = toy[1].withColumn("rid", F.monotonically_increasing_id())
+    for method in ("winning", "aggregation"):
+        a = {r.rid: (r.prediction, r.rule_id) for r in
+             toy_model.transform(df, keep=["rid"], method=method).collect()}
+        b = {r.rid: (r.prediction, r.rule_id) for r in
+             m2.transform(df, keep=["rid"], method=method).collect()}
+        if method == "aggregation":
+            a = {k: v[0] for k, v in a.items()}
+            b = {k: v[0] for k, v in b.items()}
+        assert a == b

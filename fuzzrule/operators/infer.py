@@ -249,7 +249,12 @@ def score_equijoin(df: DataFrame, rules: DataFrame, d: int, n_labels: int, major
     scoring needs the broadcast strategies."""
     if shifted:
         raise ValueError("shifted memberships need the broadcast scoring strategies")
-    rows = df.withColumn("_rid", F.monotonically_increasing_id())
+    # Row ids are used on two branches (candidate keys, join back), so they
+    # are assigned once and written: a reliable checkpoint in the session's
+    # shared checkpoint folder keeps them fixed even if executors are lost.
+    from fuzzrule.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
     combos = _combos(_fired_pairs(d, n_labels), min_len, max_len)
     keys = rows.select("_rid", *[zcol(j) for j in range(d)], F.explode(combos).alias("_c"))
     def label_of(j):

@@ -315,22 +315,42 @@ def s_final_rules_filtered():
     return _final_sql(SqlChain(DATASETS["E"], RuleParams(use_filtering=True, rate=0.7)))
 
 
-def _score_q(key, method, shifted, out):
+def _score_q(key, method, shifted, out, **kw):
     def q(spark, sf):
-        m = fit(spark, sf, key)
+        m = fit(spark, sf, key, **kw)
         s = m.transform(view(spark, sf, key), keep=["id"], method=method, shifted=shifted, out=out)
         return s.select("id", out)
     return q
 
 
-def _score_s(key, method, shifted, out):
+def _score_s(key, method, shifted, out, **kw):
     def s():
-        c = SqlChain(DATASETS[key])
+        c = SqlChain(DATASETS[key], RuleParams(**kw))
         p = c.predictions("all", method, shifted)
         return c.with_sql(f"SELECT id, prediction AS {out} FROM {p}")
     return s
 
 
+def _final_q(key, **kw):
+    return lambda spark, sf: _final_out(fit(spark, sf, key, **kw))
+
+
+def _final_s(key, **kw):
+    return lambda: _final_sql(SqlChain(DATASETS[key], RuleParams(**kw)))
+
+
+def q_sub_rules_len2(spark, sf):
+    p = RuleParams(min_length=2, max_length=2)
+    prep, cells = _cells(spark, sf, "L", p)
+    r = resolve_rules(cells, prep.d, p, prep.majority)
+    return _resolved_out(r, prep.d)
+
+
+def s_sub_rules_len2():
+    c = SqlChain(DATASETS["L"], RuleParams(min_length=2, max_length=2))
+    return _resolved_sql(c, c.resolved())
+
+
 def q_score_sql_twin(spark, sf):
     m = fit(spark, sf, "E")
     return m.transform_sql(view(spark, sf, "E"), "id")
@@ -508,6 +528,15 @@ def _registry() -> dict[str, tuple[Callable, Callable | None]]:
         "score_tuned_aggregate": (_score_q("D", "aggregation", True, "prediction_tu"),
                                   _score_s("D", "aggregation", True, "prediction_tu")),
         "score_sql_twin": (q_score_sql_twin, _score_s("E", "winning", False, "prediction")),
+        "score_equijoin": (_score_q("D", "winning", False, "prediction", scoring="join"),
+                           _score_s("D", "winning", False, "prediction")),
+        "score_tuned_proto_first": (_score_q("E", "winning", True, "prediction_tu", prototype="first"),
+                                    _score_s("E", "winning", True, "prediction_tu", prototype="first")),
+        "final_rules_5labels": (_final_q("E", n_labels=5), _final_s("E", n_labels=5)),
+        "final_rules_no_rw": (_final_q("E", use_rw=False), _final_s("E", use_rw=False)),
+        "final_rules_class_length": (_final_q("D", rank_by="class_length"),
+                                     _final_s("D", rank_by="class_length")),
+        "resolved_rules_len2": (q_sub_rules_len2, s_sub_rules_len2),
         "confusion": (q_confusion, s_confusion),
         "metrics": (q_metrics, s_metrics),
         "rule_summary": (q_rule_summary, s_rule_summary),

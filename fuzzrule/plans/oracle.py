@@ -366,6 +366,61 @@ class SqlChain:
         return self.add("final", f"SELECT * EXCLUDE (rule_id), CAST(row_number() OVER (ORDER BY cls, conf, {order_a}) - 1 "
                                  f"AS INTEGER) AS rule_id FROM {sel}")
 
+    def gm_final(self) -> str:
+        """GM-guided selection: closed-form thresholds per step, every step
+        scored on the training rows at once, the original's stop rule."""
+        import math
+        used = self.with_wins()
+        rate = self.p.step
+        cap = int(math.ceil(1.0 / rate)) + 2
+        r = dbl(rate)
+        ratio = "(CAST(n_correct AS DOUBLE) / sup)"
+        mx = self.add("gmmax", f"SELECT max(CASE WHEN cls = 0 THEN {ratio} END) AS mp, "
+                               f"max(CASE WHEN cls = 1 THEN {ratio} END) AS mn FROM {used}")
+        raw_p, raw_n = [f"(mp - {r} * mp)"], [f"(mn - {r} * mn)"]
+        for _ in range(cap):
+            raw_p.append(f"({raw_p[-1]} - {r} * mp)")
+            raw_n.append(f"({raw_n[-1]} - {r} * mn)")
+        eff_p, eff_n = [raw_p[0]], [raw_n[0]]
+        for i in range(1, cap + 1):
+            eff_p.append(f"(CASE WHEN {raw_p[i]} + {r} * mp > 0 THEN {raw_p[i]} ELSE {eff_p[-1]} END)")
+            eff_n.append(f"(CASE WHEN {raw_n[i]} + {r} * mn > 0 THEN {raw_n[i]} ELSE {eff_n[-1]} END)")
+        steps = self.add("gmsteps", " UNION ALL ".join(
+            f"SELECT {i} AS step, {eff_p[i]} AS ep, {eff_n[i]} AS en, "
+            f"COALESCE({raw_p[i]} < 0, TRUE) AND COALESCE({raw_n[i]} < 0, TRUE) AS done FROM {mx}"
+            for i in range(cap + 1)))
+        valid = self.add("gmvalid", f"SELECT s.* FROM {steps} s WHERE NOT EXISTS (SELECT 1 FROM {steps} q "
+                                    f"WHERE q.step < s.step AND q.done)")
+        sel = self.add("gmsel", f"SELECT v.step, u.* FROM {valid} v JOIN {used} u ON "
+                                f"(u.cls = 0 AND {ratio.replace('n_correct', 'u.n_correct').replace('sup', 'u.sup')} > v.ep) OR "
+                                f"(u.cls = 1 AND {ratio.replace('n_correct', 'u.n_correct').replace('sup', 'u.sup')} > v.en)")
+        d, n = self.d, self.p.n_labels
+        rows = self.fuzzified()
+        md = match_sql([f"r.a{j}" for j in range(d)], [f"s.z{j}" for j in range(d)], n)
+        if self.p.use_rw:
+            md = f"{md} * r.rw"
+        x = self.add("gmmd", f"SELECT r.step, s.rid, r.rule_id, r.cls, {md} AS md FROM {rows} s CROSS JOIN {sel} r")
+        win = self.add("gmwin", f"SELECT step, rid, cls FROM (SELECT *, row_number() OVER (PARTITION BY step, rid "
+                                f"ORDER BY md DESC, rule_id) AS rn FROM {x} WHERE md > 0) WHERE rn = 1")
+        pred = self.add("gmpred", f"SELECT v.step, s.y, COALESCE(w.cls, m.maj) AS prediction FROM {valid} v "
+                                  f"CROSS JOIN {rows} s CROSS JOIN {self.t('maj')} m LEFT JOIN {win} w "
+                                  f"ON w.step = v.step AND w.rid = s.rid")
+        cnt = self.add("gmcnt", "SELECT step, " + ", ".join(
+            f"CAST(count_if(y = {a} AND prediction = {b}) AS DOUBLE) AS c{a}{b}" for a in (0, 1) for b in (0, 1))
+            + f" FROM {pred} GROUP BY step")
+        tpr0 = "(CASE WHEN c00 + c01 > 0 THEN c00 / (c00 + c01) END)"
+        tpr1 = "(CASE WHEN c10 + c11 > 0 THEN c11 / (c10 + c11) END)"
+        gm = self.add("gmgm", f"SELECT step, {round_at_sql(f'sqrt({tpr0} * {tpr1})', 5)} AS gm FROM {cnt}")
+        stop = self.add("gmstop", f"SELECT v.step, CASE WHEN g0.gm > g1.gm THEN v.step - 1 ELSE v.step END AS pick "
+                                  f"FROM {valid} v JOIN {gm} g1 ON g1.step = v.step JOIN {gm} g0 ON g0.step = v.step - 1 "
+                                  f"WHERE g0.gm > g1.gm OR v.done")
+        chosen = self.add("gmchosen", f"SELECT COALESCE((SELECT pick FROM {stop} ORDER BY step LIMIT 1), "
+                                      f"(SELECT max(step) FROM {valid})) AS step")
+        order_a = ", ".join(f"a{j}" for j in range(d))
+        return self.add("gmfinal", f"SELECT * EXCLUDE (step, rule_id), CAST(row_number() OVER (ORDER BY cls, conf, "
+                                   f"{order_a}) - 1 AS INTEGER) AS rule_id FROM {sel} WHERE step = "
+                                   f"(SELECT step FROM {chosen})")
+
     def predictions(self, which: str = "all", method: str = "winning", shifted: bool = False,
                     name: str = "pred") -> str:
         """rid, [id], y, prediction for training rows or all rows."""

@@ -94,6 +94,54 @@ def q_mdlp_cuts(spark, sf):
         .withColumn("cut", stable_round("cut", 6))
 
 
+def q_mdlp_first_cut(spark, sf):
+    """First-level MDLP cut per feature (max_bins = 2): the accepted
+    lowest-entropy boundary of the whole range."""
+    prep, z = Q.prepared(spark, sf, "D")
+    cuts = mdlp_cuts(z, [zcol(j) for j in range(prep.d)], Y, max_bins=2)
+    rows = [(Q.NAMES["D"][j], float(t)) for j, cs in cuts.items() for t in cs]
+    return spark.createDataFrame(rows, "feature string, cut double") \
+        .withColumn("cut", stable_round("cut", 6))
+
+
+def _h_sql(a: str, b: str) -> str:
+    n = f"CAST(({a}) + ({b}) AS DOUBLE)"
+
+    def term(c):
+        p = f"(CAST({c} AS DOUBLE) / {n})"
+        return f"(CASE WHEN {c} > 0 THEN -{p} * log2({p}) ELSE CAST('0.0' AS DOUBLE) END)"
+    return f"({term(a)} + {term(b)})"
+
+
+def s_mdlp_first_cut():
+    c = SqlChain(DATASETS["D"])
+    fz = c.fuzzified()
+    long = c.add("zlong", " UNION ALL ".join(f"SELECT {j} AS j, z{j} AS v, y FROM {fz}" for j in range(c.d)))
+    hist = c.add("hist", f"SELECT j, v, count_if(y = 0) AS c0, count_if(y = 1) AS c1 FROM {long} GROUP BY j, v")
+    cum = c.add("cum", f"SELECT j, v, sum(c0) OVER (PARTITION BY j ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING "
+                       f"AND CURRENT ROW) AS l0, sum(c1) OVER (PARTITION BY j ORDER BY v ROWS BETWEEN UNBOUNDED "
+                       f"PRECEDING AND CURRENT ROW) AS l1, lead(v) OVER (PARTITION BY j ORDER BY v) AS nv FROM {hist}")
+    tot = c.add("tot", f"SELECT j, sum(c0) AS t0, sum(c1) AS t1 FROM {hist} GROUP BY j")
+    e = (f"((x.l0 + x.l1) * {_h_sql('x.l0', 'x.l1')} + (x.r0 + x.r1) * {_h_sql('x.r0', 'x.r1')}) "
+         f"/ CAST(x.t0 + x.t1 AS DOUBLE)")
+    cand = c.add("cand", f"SELECT u.j, u.v, u.nv, u.l0, u.l1, t.t0 - u.l0 AS r0, t.t1 - u.l1 AS r1, t.t0, t.t1 "
+                         f"FROM {cum} u JOIN {tot} t ON u.j = t.j WHERE u.nv IS NOT NULL")
+    best = c.add("best", f"SELECT * FROM (SELECT x.*, {e} AS e, row_number() OVER (PARTITION BY x.j ORDER BY {e}, "
+                         f"x.v) AS rn FROM {cand} x) WHERE rn = 1")
+    n = "CAST(t0 + t1 AS DOUBLE)"
+    ent = _h_sql("t0", "t1")
+    k = "(CAST(t0 > 0 AS INTEGER) + CAST(t1 > 0 AS INTEGER))"
+    k1 = "(CAST(l0 > 0 AS INTEGER) + CAST(l1 > 0 AS INTEGER))"
+    k2 = "(CAST(r0 > 0 AS INTEGER) + CAST(r1 > 0 AS INTEGER))"
+    e2 = (f"(((l0 + l1) * {_h_sql('l0', 'l1')} + (r0 + r1) * {_h_sql('r0', 'r1')}) / {n})")
+    delta = (f"(log2(pow(CAST('3.0' AS DOUBLE), {k}) - 2) - ({k} * {ent} - {k1} * {_h_sql('l0', 'l1')} "
+             f"- {k2} * {_h_sql('r0', 'r1')}))")
+    names = _name_case(Q.NAMES["D"])
+    return c.with_sql(f"SELECT {names} AS feature, {r6('(v + nv) / CAST(' + chr(39) + '2.0' + chr(39) + ' AS DOUBLE)')} "
+                      f"AS cut FROM {best} WHERE t0 + t1 >= 2 AND ({ent} - {e2}) > "
+                      f"(log2({n} - 1) + {delta}) / {n}")
+
+
 def q_feature_selection(spark, sf):
     m = Q.fit(spark, sf, "D", use_fs=True, rate=0.7)
     return spark.createDataFrame([(n,) for n in m.prep.feature_names], "feature string")
@@ -108,6 +156,26 @@ def q_gm_select(spark, sf):
     return Q._final_out(Q.fit(spark, sf, "D", selection="gm"))
 
 
+def _gm_q(key, **kw):
+    return lambda spark, sf: Q._final_out(Q.fit(spark, sf, key, selection="gm", **kw))
+
+
+def _gm_s(key, **kw):
+    def s():
+        c = SqlChain(DATASETS[key], Q.RuleParams(selection="gm", **kw))
+        src = c.gm_final()
+        return c.with_sql(f"SELECT rule_id, {c.ant_key()} AS ant_key, cls, {r6('rw')} AS rw, sup, "
+                          f"{r6('conf')} AS conf, n_win, n_correct FROM {src}")
+    return s
+
+
+def s_gm_select():
+    c = SqlChain(DATASETS["D"], Q.RuleParams(selection="gm"))
+    src = c.gm_final()
+    return c.with_sql(f"SELECT rule_id, {c.ant_key()} AS ant_key, cls, {r6('rw')} AS rw, sup, "
+                      f"{r6('conf')} AS conf, n_win, n_correct FROM {src}")
+
+
 def q_tree_baseline(spark, sf):
     df = Q.view(spark, sf, "D")
     _, pte, _, _ = tree_baseline(df, df, "quality", Q.NAMES["D"][:4] + ["lang"], keep=["id"])
@@ -119,8 +187,10 @@ def registry():
         "mi_relevance": (q_mi_relevance, s_mi_relevance),
         "mrmr_top_k": (q_mrmr_top_k, s_mrmr_top_k),
         "mdlp_cuts": (q_mdlp_cuts, None),
+        "mdlp_first_cut": (q_mdlp_first_cut, s_mdlp_first_cut),
         "feature_selection": (q_feature_selection, None),
         "final_rules_fs": (q_final_rules_fs, None),
-        "gm_select": (q_gm_select, None),
+        "gm_select": (q_gm_select, s_gm_select),
+        "gm_select_emb_rate05": (_gm_q("E", rate=0.5), _gm_s("E", rate=0.5)),
         "tree_baseline": (q_tree_baseline, None),
     }

@@ -157,6 +157,8 @@ def fit_preparer(df: DataFrame, n_labels: int = 3, label: str | None = None,
                  features: list[str] | None = None,
                  exclude: tuple[str, ...] = ()) -> Preparer:
     numeric, cats, label = split_columns(df, label, features, exclude)
+    if not cats:
+        return _fit_numeric(df, numeric, label, n_labels)
     # One StringIndexer fit for all string features and the class column.
     work = df
     tmp_label = label
@@ -169,9 +171,7 @@ def fit_preparer(df: DataFrame, n_labels: int = 3, label: str | None = None,
                        handleInvalid="skip", stringOrderType="frequencyDesc").fit(work)
     labels_arr = [list(x) for x in si.labelsArray]
     cat_labels, class_labels = labels_arr[:-1], labels_arr[-1]
-    if len(class_labels) != 2:
-        raise ValueError(f"two-class problems only; column {label!r} has "
-                         f"{len(class_labels)} distinct value(s)")
+    _check_two(class_labels, label)
     prep = Preparer(numeric, cats, label, cat_labels, class_labels, [], [], 0, 0, 0, n_labels)
     indexed = prep.index(df)
     for c in prep.feature_names:
@@ -190,6 +190,34 @@ def fit_preparer(df: DataFrame, n_labels: int = 3, label: str | None = None,
     return prep
 
 
+def _check_two(class_labels: list, label: str) -> None:
+    if len(class_labels) != 2:
+        raise ValueError(f"two-class problems only; column {label!r} has "
+                         f"{len(class_labels)} distinct value(s)")
+
+
+def _fit_numeric(df: DataFrame, numeric: list[str], label: str, n_labels: int) -> Preparer:
+    """No string features: class index, class counts and per-feature min/max
+    from a single aggregate grouped by the class value (at most 3 groups
+    reach the driver).  Same order as the indexer: count desc, then value."""
+    cls = F.col(label).cast("string")
+    rows = df.filter(cls.isNotNull())
+    for c in numeric:
+        rows = rows.filter(F.col(c).isNotNull())
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for j, c in enumerate(numeric):
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"mn{j}"), F.max(x).alias(f"mx{j}")]
+    groups = rows.groupBy(cls.alias("v")).agg(*aggs).limit(3).collect()
+    ordered = sorted(groups, key=lambda r: (-r["n"], r["v"]))
+    class_labels = [r["v"] for r in ordered]
+    _check_two(class_labels, label)
+    mins = [min(float(r[f"mn{j}"]) for r in ordered) for j in range(len(numeric))]
+    maxs = [max(float(r[f"mx{j}"]) for r in ordered) for j in range(len(numeric))]
+    n0, n1 = int(ordered[0]["n"]), int(ordered[1]["n"])
+    return Preparer(numeric, [], label, [], class_labels, mins, maxs, n0 + n1, n0, n1, n_labels)
+
+
 def fuzzify(prep: Preparer, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Public fuzzify step: input columns + ``features_arr`` + ``labels``."""
     return prep.transform(df, keep=keep if keep is not None else

@@ -4,9 +4,9 @@ MDLP (Fayyad & Irani, 1993), distributed and exact:
 
 1. one aggregate gives the class histogram per (feature, value);
 2. exact prefix sums of that histogram without sorting a feature in one
-   task: values are bucketed into fixed blocks per feature, block totals
-   (at most features x blocks rows) give each block's offset, and a window
-   runs only inside a block;
+   task: the histogram is range-partitioned on (feature, value), running
+   sums run inside each partition, and per-partition totals (at most
+   partitions x features rows) give the offsets;
 3. level by level, every open interval takes the candidate cut with the
    lowest class entropy (one pass over the candidates joined to a broadcast
    interval table bounded by features x max_bins) and keeps it when the MDL
@@ -29,9 +29,6 @@ from pyspark.sql import functions as F
 from fuzzrule.operators.prepare import Y, fit_preparer, zcol
 from fuzzrule.params import RuleParams
 
-BLOCKS = 1024
-
-
 def _entropy(c0, c1):
     n = c0 + c1
 
@@ -55,41 +52,51 @@ def value_histogram(df: DataFrame, cols: list[str], label: str = Y) -> DataFrame
                                        F.count_if(F.col("y") == 1).alias("c1")))
 
 
-def cumulative_histogram(hist: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def cumulative_histogram(hist: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds inclusive prefix counts (cum0, cum1) in value order per feature and
-    the next distinct value (nv), using block offsets + in-block windows."""
-    rng = hist.groupBy("j").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    h = (hist.join(F.broadcast(rng), "j")
-             .withColumn("b", F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span
-                                                               * blocks), F.lit(blocks - 1)))
-                         .otherwise(F.lit(0)).cast("int"))
-             .drop("lo", "hi"))
-    btot = h.groupBy("j", "b").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"),
-                                   F.min("v").alias("bmin"))
-    wb = Window.partitionBy("j").orderBy("b")
+    the next distinct value (nv).
+
+    Exact and balanced whatever the value distribution: the histogram is
+    range-partitioned on (feature, value) (bounds from a sample, so no
+    partition holds much more than its share of distinct values), running
+    sums are taken inside each (partition, feature), and each partition's
+    offset comes from a small table of per-partition totals (at most
+    partitions x features rows)."""
+    spark = hist.sparkSession
+    if parts is None:
+        parts = max(2, spark.sparkContext.defaultParallelism * 2)
+    h = (hist.repartitionByRange(parts, "j", "v")
+             .withColumn("pid", F.spark_partition_id()))
+    ptot = h.groupBy("pid", "j").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"),
+                                     F.min("v").alias("pmin"))
+    wb = Window.partitionBy("j").orderBy("pid")
     wprev = wb.rowsBetween(Window.unboundedPreceding, -1)
-    boff = (btot.withColumn("o0", F.coalesce(F.sum("s0").over(wprev), F.lit(0)))
+    poff = (ptot.withColumn("o0", F.coalesce(F.sum("s0").over(wprev), F.lit(0)))
                 .withColumn("o1", F.coalesce(F.sum("s1").over(wprev), F.lit(0)))
-                .withColumn("next_bmin", F.lead("bmin").over(wb))
-                .select("j", "b", "o0", "o1", "next_bmin"))
-    wi = Window.partitionBy("j", "b").orderBy("v")
+                .withColumn("next_min", F.lead("pmin").over(wb))
+                .select("pid", "j", "o0", "o1", "next_min"))
+    wi = Window.partitionBy("pid", "j").orderBy("v")
     wrun = wi.rowsBetween(Window.unboundedPreceding, 0)
-    return (h.join(F.broadcast(boff), ["j", "b"])
+    return (h.join(F.broadcast(poff), ["pid", "j"])
              .withColumn("cum0", F.col("o0") + F.sum("c0").over(wrun))
              .withColumn("cum1", F.col("o1") + F.sum("c1").over(wrun))
-             .withColumn("nv", F.coalesce(F.lead("v").over(wi), F.col("next_bmin")))
+             .withColumn("nv", F.coalesce(F.lead("v").over(wi), F.col("next_min")))
              .select("j", "v", "nv", "cum0", "cum1"))
 
 
 def mdlp_cuts(df: DataFrame, cols: list[str], label: str = Y, max_bins: int = 10,
-              blocks: int = BLOCKS) -> dict[int, list[float]]:
+              parts: int | None = None) -> dict[int, list[float]]:
     """Cut points per feature index (sorted).  The driver holds only the
     interval table (<= features x max_bins rows)."""
+    from fuzzrule.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     hist = value_histogram(df, cols, label).persist()
     tot = {r["j"]: (int(r["t0"]), int(r["t1"])) for r in
            hist.groupBy("j").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1")).collect()}
-    cand = cumulative_histogram(hist, blocks).filter(F.col("nv").isNotNull()).persist()
+    # every level re-reads the candidates: write them once (reliable
+    # checkpoint in the shared folder), so range bounds and partition ids
+    # are computed a single time and survive executor loss
+    cand = cumulative_histogram(hist, parts).filter(F.col("nv").isNotNull()).checkpoint(eager=True)
     spark = df.sparkSession
     # open intervals: (j, lo value or None, hi value or None, counts before lo, counts through hi)
     intervals = [(j, None, None, 0, 0, tot[j][0], tot[j][1]) for j in sorted(tot)]
@@ -130,7 +137,6 @@ def mdlp_cuts(df: DataFrame, cols: list[str], label: str = Y, max_bins: int = 10
             nxt.append((j, lo, r["v"], b0, b1, mid0, mid1))
             nxt.append((j, r["v"], hi, mid0, mid1, e0, e1))
         intervals = nxt
-    cand.unpersist()
     hist.unpersist()
     return {j: sorted(c) for j, c in cuts.items()}
 

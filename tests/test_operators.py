@@ -45,7 +45,7 @@ def docs(spark):
 def test_mdlp_first_cut_matches_brute_force(docs):
     prep, z = docs
     zc = [zcol(j) for j in range(prep.d)]
-    cuts = mdlp_cuts(z, zc, Y, 10, blocks=7)      # few blocks: offsets cross blocks
+    cuts = mdlp_cuts(z, zc, Y, 10, parts=7)       # offsets cross range partitions
     pdf = z.select(*zc, Y).toPandas()
     for j in (2, 3):
         e, cut = _brute_best(pdf[zc[j]].to_numpy(), pdf[Y].to_numpy())

@@ -63,6 +63,11 @@ def read_fold_results(spark: SparkSession, path: str, fmt: str = "parquet",
     return df.orderBy("dataset", "method", "variant", "fold")
 
 
+def short_result(df: DataFrame) -> DataFrame:
+    """Dataset, fold and train/test accuracy only (baseline report)."""
+    return df.select("dataset", "fold", "train_acc", "test_acc")
+
+
 def describe_folds(df: DataFrame, cols: list[str]) -> DataFrame:
     """count / mean / stddev / min / max of each metric over folds, as
     doubles (one aggregate, then a 5-row unpivot)."""

@@ -62,6 +62,10 @@ def main():
     D = Q.view(spark, sf, "D")
     md = timed("fit_documents", lambda: learn(D, RuleParams(), label="quality", exclude=("id",)))
     timed("score_documents", lambda: _force(md.transform(D, keep=["id"])))
+    timed("fit_documents_gm_selection",
+          lambda: learn(D, RuleParams(selection="gm"), label="quality", exclude=("id",)))
+    timed("fit_documents_feature_selection",
+          lambda: learn(D, RuleParams(use_fs=True, rate=0.7), label="quality", exclude=("id",)))
     E = Q.view(spark, sf, "E")
     me = timed("fit_embeddings", lambda: learn(E, RuleParams(), label="low", exclude=("id",)))
     timed("score_embeddings_sql_twin", lambda: _force(me.transform_sql(E, "id")))

@@ -44,6 +44,7 @@ class RuleParams:
     max_broadcast_rules: int = 200_000  # above: scoring by equi-join on antecedents
     max_subrules_per_cell: int = 50_000  # guard against the subset blow-up
     tie_eps: float = 1e-9              # |RW| below this is a class tie
+    persist_input: bool = True         # cache the narrow feature table (else re-scan)
     mdlp_max_bins: int = 10
     mdlp_max_candidates: int = 10_000
     extra: dict = field(default_factory=dict, compare=False, hash=False)

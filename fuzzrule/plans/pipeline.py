@@ -169,9 +169,13 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
 
     # The source is read once: only the feature and class columns are kept
     # (column pruning reaches the scan) and persisted; the indexer fit, the
-    # min/max pass and both later passes (cells, pruning) reuse them.
+    # min/max pass and both later passes (cells, pruning) reuse them.  With
+    # persist_input=False each pass re-scans the (column-pruned) source
+    # instead, for sources that are cheaper to re-read than to cache.
     numeric, cats, label = _roles(df, label, features, exclude)
-    narrow = spread(df.select(*numeric, *cats, label)).persist(_MEM_DISK)
+    narrow = spread(df.select(*numeric, *cats, label))
+    if params.persist_input:
+        narrow = narrow.persist(_MEM_DISK)
     prep = fit_preparer(narrow, params.n_labels, label, numeric + cats)
     d, maj = prep.d, prep.majority
     fz = prep.transform(narrow, keep=[])

@@ -65,8 +65,14 @@ def cumulative_histogram(hist: DataFrame, parts: int | None = None) -> DataFrame
     spark = hist.sparkSession
     if parts is None:
         parts = max(2, spark.sparkContext.defaultParallelism * 2)
+    # partition ids feed two branches (totals, windows): write them once, so
+    # both see the same range bounds (sampling a shuffle output twice could
+    # pick different bounds) and a lost executor cannot change them
+    from fuzzrule.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     h = (hist.repartitionByRange(parts, "j", "v")
-             .withColumn("pid", F.spark_partition_id()))
+             .withColumn("pid", F.spark_partition_id())
+             .checkpoint(eager=True))
     ptot = h.groupBy("pid", "j").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"),
                                      F.min("v").alias("pmin"))
     wb = Window.partitionBy("j").orderBy("pid")
@@ -93,10 +99,9 @@ def mdlp_cuts(df: DataFrame, cols: list[str], label: str = Y, max_bins: int = 10
     hist = value_histogram(df, cols, label).persist()
     tot = {r["j"]: (int(r["t0"]), int(r["t1"])) for r in
            hist.groupBy("j").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1")).collect()}
-    # every level re-reads the candidates: write them once (reliable
-    # checkpoint in the shared folder), so range bounds and partition ids
-    # are computed a single time and survive executor loss
-    cand = cumulative_histogram(hist, parts).filter(F.col("nv").isNotNull()).checkpoint(eager=True)
+    # every level re-reads the candidates (recomputable from the written
+    # range-partitioned histogram)
+    cand = cumulative_histogram(hist, parts).filter(F.col("nv").isNotNull()).persist()
     spark = df.sparkSession
     # open intervals: (j, lo value or None, hi value or None, counts before lo, counts through hi)
     intervals = [(j, None, None, 0, 0, tot[j][0], tot[j][1]) for j in sorted(tot)]
@@ -137,6 +142,7 @@ def mdlp_cuts(df: DataFrame, cols: list[str], label: str = Y, max_bins: int = 10
             nxt.append((j, lo, r["v"], b0, b1, mid0, mid1))
             nxt.append((j, r["v"], hi, mid0, mid1, e0, e1))
         intervals = nxt
+    cand.unpersist()
     hist.unpersist()
     return {j: sorted(c) for j, c in cuts.items()}
 

@@ -208,3 +208,19 @@ def test_run_fold_end_to_end(spark, tmp_path):
     back = read_fold_results(spark, out, dataset="toy")
     assert back.count() == 2
     assert short_result(back).columns == ["dataset", "fold", "train_acc", "test_acc"]
+
+
+def test_range_partitioned_prefix_sums_exact(docs):
+    from pyspark.sql import Window
+
+    from fuzzrule.operators.select import cumulative_histogram, value_histogram
+    prep, z = docs
+    hist = value_histogram(z, [zcol(j) for j in range(prep.d)], Y).persist()
+    w = Window.partitionBy("j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    brute = hist.select("j", "v", F.sum("c0").over(w).alias("b0"), F.sum("c1").over(w).alias("b1"),
+                        F.lead("v").over(Window.partitionBy("j").orderBy("v")).alias("bn"))
+    for parts in (3, 16):
+        c = cumulative_histogram(hist, parts).join(brute, ["j", "v"])
+        bad = c.filter((F.col("cum0") != F.col("b0")) | (F.col("cum1") != F.col("b1")) |
+                       ~F.col("nv").eqNullSafe(F.col("bn"))).count()
+        assert bad == 0 and c.count() == hist.count()

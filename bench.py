@@ -41,8 +41,13 @@ def main():
         times[name] = round(time.perf_counter() - t0, 3)
         return out
 
-    # warm-up: JVM, Python workers, Arrow (not counted)
-    learn(Q.view(spark, "/root/testdata/sf0.001", "E"), RuleParams(), label="low", exclude=("id",))
+    # warm-up on the smallest tables (JIT, codegen cache, Python workers,
+    # Arrow); not counted, so the numbers are steady-state per query
+    warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(warm):
+        for key, lab, ex in (("E", "low", ("id",)), ("L", "l_linestatus", ()), ("D", "quality", ("id",))):
+            wm = learn(Q.view(spark, warm, key), RuleParams(), label=lab, exclude=ex)
+            _force(wm.transform(Q.view(spark, warm, key), keep=[]))
 
     L = Q.view(spark, sf, "L")
     m = timed("fit_lineitem", lambda: learn(L, RuleParams(), label="l_linestatus"))

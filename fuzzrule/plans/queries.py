@@ -43,7 +43,9 @@ def view(spark: SparkSession, sf: str, key: str) -> DataFrame:
 
 
 def fit(spark: SparkSession, sf: str, key: str, **kw) -> RuleModel:
-    ck = (id(spark), sf, key, tuple(sorted(kw.items())))
+    # keyed by the running application too: a stopped and re-created session
+    # must not see models bound to the old context
+    ck = (spark.sparkContext.applicationId, id(spark), sf, key, tuple(sorted(kw.items())))
     if ck not in _CACHE:
         _CACHE[ck] = learn(view(spark, sf, key), RuleParams(**kw), label=LABELS[key],
                            exclude=EXCLUDE[key])

@@ -14,6 +14,6 @@ from pyspark import cloudpickle as _cloudpickle
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from fuzzrule.params import RuleParams  # noqa: E402
-from fuzzrule.plans.pipeline import RuleModel, learn  # noqa: E402
+from fuzzrule.plans.learner import RuleModel, learn  # noqa: E402
 
 __all__ = ["RuleModel", "RuleParams", "learn"]

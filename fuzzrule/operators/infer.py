@@ -59,8 +59,8 @@ class RuleSet:
 
     @classmethod
     def from_frame(cls, rules: DataFrame, d: int, n_labels: int, majority: float,
-                   use_rw: bool, max_rules: int) -> "RuleSet":
-        n = rules.count()
+                   use_rw: bool, max_rules: int, known_count: int | None = None) -> "RuleSet":
+        n = rules.count() if known_count is None else known_count
         if n > max_rules:
             raise RuntimeError(
                 f"rule base has {n} rules > max_broadcast_rules={max_rules}; "

@@ -211,7 +211,7 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
                                 False, params.min_length, params.max_length)
     else:
         rs = RuleSet.from_frame(ranked, d, params.n_labels, maj, params.use_rw,
-                                params.max_broadcast_rules)
+                                params.max_broadcast_rules, known_count=n_ranked)
         scored = score(fz, rs, d, "winning")
     wins = win_counts(scored)
     with_wins = attach_wins(ranked, wins).persist(_MEM_DISK)

@@ -24,7 +24,7 @@ from fuzzrule.operators.report import (ant_key, confusion, metrics, rule_funnel,
                                        rule_text)
 from fuzzrule.params import RuleParams
 from fuzzrule.plans.oracle import DATASETS, SqlChain, dbl, factor_sql, r6, round_at_sql
-from fuzzrule.plans.pipeline import RuleModel, learn
+from fuzzrule.plans.learner import RuleModel, learn
 from fuzzrule.sources.readers import (documents_view, embeddings_view, fold_of,
                                       lineitem_view)
 

@@ -16,7 +16,7 @@ from fuzzrule.operators.prepare import Y, lcol, zcol
 from fuzzrule.operators.select import mdlp_cuts, mrmr, mutual_information
 from fuzzrule.plans import queries as Q
 from fuzzrule.plans.oracle import DATASETS, SqlChain, r6
-from fuzzrule.plans.pipeline import tree_baseline
+from fuzzrule.plans.learner import tree_baseline
 
 MRMR_K = 3
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fuzzrule.operators.report import metrics_dict
 from fuzzrule.params import RuleParams
-from fuzzrule.plans.pipeline import RuleModel, learn
+from fuzzrule.plans.learner import RuleModel, learn
 from fuzzrule.sources.readers import read_fold
 from fuzzrule.sources.sinks import fold_result, save_fold_result
 

@@ -108,7 +108,7 @@ def test_precision_relaxation_class_without_precise_rules(spark):
 
 
 def test_save_load_roundtrip(toy, toy_model, spark):
-    from fuzzrule.plans.pipeline import RuleModel
+    from fuzzrule.plans.learner import RuleModel
     path = tempfile.mkdtemp(prefix="fuzzrule-model-")
     toy_model.save(path)
     m2 = RuleModel.load(spark, path)
@@ -120,7 +120,7 @@ def test_save_load_roundtrip(toy, toy_model, spark):
 def test_ml_wrappers(toy):
     from pyspark.ml import Pipeline
 
-    from fuzzrule.plans.pipeline import (CategoricalIndexer, Fuzzifier, FuzzyRuleClassifier,
+    from fuzzrule.plans.learner import (CategoricalIndexer, Fuzzifier, FuzzyRuleClassifier,
                                          PrototypeTuning)
     model = Pipeline(stages=[FuzzyRuleClassifier(RuleParams())]).fit(toy[0])
     out = model.transform(toy[1])

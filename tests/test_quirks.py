@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fuzzrule import RuleParams, learn
 from fuzzrule.operators.infer import RuleSet
 from fuzzrule.operators.prepare import fit_preparer
-from fuzzrule.plans.pipeline import RuleModel
+from fuzzrule.plans.learner import RuleModel
 
 ROWS = [(0.0, 1.0, 5.0, "a"), (0.1, 1.0, 5.0, "a"), (0.2, 1.0, 5.0, "a"), (0.9, 1.0, 5.0, "b"),
         (1.0, 1.0, 5.0, "b"), (0.8, 1.0, 5.0, "b"), (0.5, 1.0, 5.0, "a"), (0.45, 1.0, 5.0, "b")]

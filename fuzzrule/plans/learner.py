@@ -125,6 +125,14 @@ class RuleModel:
         return (self.rules.join(txt.drop("cls"), "rule_id")
                 .withColumn("ant_key", ant_key(self.d)).orderBy("rule_id"))
 
+    def release(self) -> None:
+        """Drop the cached intermediate tables of the fit (the rule base
+        itself is checkpointed and stays usable)."""
+        for name in ("cells", "cells_filtered", "resolved", "ranked", "with_wins"):
+            df = getattr(self.trace, name, None)
+            if df is not None:
+                df.unpersist()
+
     def average_rule_length(self) -> float | None:
         v = self.rules.agg(round_at(F.avg("len"), 2)).first()[0] if self.rules.count() else None
         return None if v is None else float(v)

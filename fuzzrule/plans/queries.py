@@ -454,6 +454,7 @@ def fold_rows(spark, sf, key="E"):
         te = metrics_dict(m.transform(test, keep=[]))
         rows.append((k, tr["accuracy"], te["accuracy"], tr["avg_accuracy"], te["avg_accuracy"],
                      tr["gm"], te["gm"], m.rules.count(), m.average_rule_length()))
+        m.release()
     return spark.createDataFrame(rows, FOLD_SCHEMA)
 
 

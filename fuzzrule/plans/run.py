@@ -42,7 +42,10 @@ def run_fold(spark: SparkSession, base: str, directory: str, name: str, fold: in
     """Read ``<base>/<dir>/<name>-<k>-<fold>{tra,tst}.<ext>``, evaluate, and
     (if ``out_path``) overwrite this fold's partition of the result table."""
     train, test = read_fold(spark, base, directory, name, fold, ext, k)
-    _, res = evaluate_fold(spark, train, test, name, fold, params)
+    model, res = evaluate_fold(spark, train, test, name, fold, params)
+    res = res.persist()
+    res.count()
+    model.release()
     if out_path is not None:
         save_fold_result(res, out_path, fmt)
     return res

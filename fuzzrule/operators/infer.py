@@ -82,14 +82,39 @@ class RuleSet:
                    n_labels=n_labels, majority=float(majority), use_rw=use_rw)
 
 
+def _plain_degrees(mflat: np.ndarray, ant: np.ndarray, n: int) -> np.ndarray:
+    """Product over each rule's non-zero antecedents only, in feature order.
+    Skipping the don't-care factors (exactly 1.0) leaves the bits unchanged,
+    and the work is rows x rules x rule length instead of x d."""
+    rows, r = mflat.shape[0], ant.shape[0]
+    acc = np.empty((rows, r), dtype=np.float64)
+    nz = ant != 0
+    lengths = nz.sum(axis=1)
+    for length in np.unique(lengths):
+        sel = np.nonzero(lengths == length)[0]
+        if length == 0:
+            acc[:, sel] = 1.0
+            continue
+        pos = np.nonzero(nz[sel])[1].reshape(len(sel), length)      # ascending features
+        lab = np.take_along_axis(ant[sel], pos, axis=1)
+        idx = pos * (n + 1) + lab
+        part = mflat[:, idx[:, 0]].copy()
+        for t in range(1, length):
+            part *= mflat[:, idx[:, t]]
+        acc[:, sel] = part
+    return acc
+
+
 def _degrees(z: np.ndarray, rs: RuleSet, sl: slice, shifted: bool, mtab) -> np.ndarray:
     ant = rs.ant[sl]
     rows = z.shape[0]
-    acc = np.ones((rows, ant.shape[0]), dtype=np.float64)
     h = width(rs.n_labels)
-    for j in range(ant.shape[1]):
-        col = ant[:, j]
-        if shifted:
+    if not shifted:
+        acc = _plain_degrees(mtab.reshape(rows, -1), ant, rs.n_labels)
+    else:
+        acc = np.ones((rows, ant.shape[0]), dtype=np.float64)
+        for j in range(ant.shape[1]):
+            col = ant[:, j]
             nz = np.nonzero(col)[0]
             if nz.size == 0:
                 continue
@@ -97,8 +122,6 @@ def _degrees(z: np.ndarray, rs: RuleSet, sl: slice, shifted: bool, mtab) -> np.n
             a, b, c = (lab - 2.0) * h, (lab - 1.0) * h, lab * h
             tu = rs.proto[sl][nz, j] - b
             acc[:, nz] *= trimf_np(z[:, j:j + 1], a + tu, b + tu, c + tu)
-        else:
-            acc *= mtab[:, j, :][:, col]
     if rs.use_rw:
         acc *= rs.rw[sl]
     return np.where(np.isnan(acc), 0.0, acc)

@@ -113,7 +113,12 @@ class Preparer:
         if m is not None:
             df = m.transform(df)
         if self.label in df.columns:
-            df = self._class_model().transform(df)
+            # two known class values: a CASE (codegen) instead of an indexer
+            # UDF; rows with another or a null class are skipped
+            v = F.col(self.label).cast("string")
+            y = (F.when(v == F.lit(self.class_labels[0]), F.lit(0.0))
+                  .when(v == F.lit(self.class_labels[1]), F.lit(1.0)))
+            df = df.withColumn(Y, y).filter(F.col(Y).isNotNull())
         return df
 
     def scaled(self, j: int, df_col: Column) -> Column:

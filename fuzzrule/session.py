@@ -7,6 +7,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -60,5 +61,10 @@ def spread(df):
         return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        # hash on a per-row id taken at the source: even whatever the
+        # duplicates in the data (no hot key), and no sort as round-robin
+        # needs for a deterministic retry
+        rid = "__spread_id"
+        return (df.withColumn(rid, F.monotonically_increasing_id())
+                  .repartition(target, rid).drop(rid))
     return df

@@ -138,24 +138,35 @@ def _ant_order(d: int):
     return [F.col(acol(j)) for j in range(d)]
 
 
-def rank_filter_class(rules: DataFrame, d: int) -> DataFrame:
-    """Per class, order by (conf, antecedent) ascending and drop the first
-    floor(n/2) rules.
+def class_positions(rules: DataFrame, d: int) -> DataFrame:
+    """Adds ``_pos`` (0-based position inside the class in (conf, antecedent)
+    order), ``_n`` (class size) and ``_n0`` (size of class 0.0).
 
     Exact without sorting a whole class in one task: a histogram of
     (cls, conf) gives, for every confidence value, how many rules of the
     class sit strictly below it; only rules sharing one confidence value
-    need a window (partitioned by (cls, conf))."""
+    need a window (partitioned by (cls, conf)).  The histogram has at most
+    one row per distinct confidence and is broadcast."""
     hist = rules.groupBy("cls", "conf").agg(F.count(F.lit(1)).alias("_k"))
     w_cls = Window.partitionBy("cls")
     w_cum = Window.partitionBy("cls").orderBy("conf").rowsBetween(Window.unboundedPreceding, -1)
+    n0 = hist.agg(F.coalesce(F.sum(F.when(F.col("cls") == 0.0, F.col("_k"))), F.lit(0))
+                  .alias("_n0"))
     hist = (hist.withColumn("_below", F.coalesce(F.sum("_k").over(w_cum), F.lit(0)))
-                .withColumn("_drop", F.floor(F.sum("_k").over(w_cls) / 2))
-                .select("cls", "conf", "_below", "_drop"))
+                .withColumn("_n", F.sum("_k").over(w_cls))
+                .crossJoin(n0))
     w_tie = Window.partitionBy("cls", "conf").orderBy(*_ant_order(d))
-    ranked = (rules.join(F.broadcast(hist), ["cls", "conf"])
-                   .withColumn("_pos", F.col("_below") + F.row_number().over(w_tie) - 1))
-    return ranked.filter(F.col("_pos") >= F.col("_drop")).drop("_below", "_drop", "_pos")
+    return (rules.join(F.broadcast(hist.select("cls", "conf", "_below", "_n", "_n0")), ["cls", "conf"])
+                 .withColumn("_pos", F.col("_below") + F.row_number().over(w_tie) - 1)
+                 .drop("_below"))
+
+
+def rank_filter_class(rules: DataFrame, d: int) -> DataFrame:
+    """Per class, order by (conf, antecedent) ascending and drop the first
+    floor(n/2) rules."""
+    ranked = class_positions(rules, d)
+    return (ranked.filter(F.col("_pos") >= F.floor(F.col("_n") / 2))
+                  .drop("_pos", "_n", "_n0"))
 
 
 def rank_filter_class_length(rules: DataFrame, d: int) -> DataFrame:
@@ -177,7 +188,8 @@ def rank_filter(rules: DataFrame, d: int, params: RuleParams) -> DataFrame:
 
 def number_rules(rules: DataFrame, d: int) -> DataFrame:
     """rule_id = position in (class, conf, antecedent) order; the first rule
-    in this order wins ties when scoring.  The rule table is bounded by the
-    rule space (checked before scoring), so a global window is cheap."""
-    w = Window.orderBy("cls", "conf", *_ant_order(d))
-    return rules.withColumn("rule_id", (F.row_number().over(w) - 1).cast("int"))
+    in this order wins ties when scoring.  Computed from the class
+    positions (histogram + equal-confidence windows), so no global sort."""
+    pos = class_positions(rules, d)
+    rid = F.col("_pos") + F.when(F.col("cls") == 1.0, F.col("_n0")).otherwise(F.lit(0))
+    return pos.withColumn("rule_id", rid.cast("int")).drop("_pos", "_n", "_n0")

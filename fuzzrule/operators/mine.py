@@ -171,13 +171,21 @@ def rank_filter_class(rules: DataFrame, d: int) -> DataFrame:
 
 def rank_filter_class_length(rules: DataFrame, d: int) -> DataFrame:
     """Per (class, length), order by conf descending (then antecedent) and
-    keep positions 0..floor(n/2) (i.e. floor(n/2) + 1 rules, at most n)."""
-    w = Window.partitionBy("cls", "len").orderBy(F.col("conf").desc(), *_ant_order(d))
-    wn = Window.partitionBy("cls", "len")
-    return (rules.withColumn("_pos", F.row_number().over(w) - 1)
-                 .withColumn("_n", F.count(F.lit(1)).over(wn))
+    keep positions 0..floor(n/2) (i.e. floor(n/2) + 1 rules, at most n).
+    Positions come from a (class, length, conf) histogram; windows run only
+    over rules sharing one confidence value."""
+    keys = ["cls", "len"]
+    hist = rules.groupBy(*keys, "conf").agg(F.count(F.lit(1)).alias("_k"))
+    w_grp = Window.partitionBy(*keys)
+    w_above = (Window.partitionBy(*keys).orderBy(F.col("conf").desc())
+               .rowsBetween(Window.unboundedPreceding, -1))
+    hist = (hist.withColumn("_above", F.coalesce(F.sum("_k").over(w_above), F.lit(0)))
+                .withColumn("_n", F.sum("_k").over(w_grp)))
+    w_tie = Window.partitionBy(*keys, "conf").orderBy(*_ant_order(d))
+    return (rules.join(F.broadcast(hist.select(*keys, "conf", "_above", "_n")), [*keys, "conf"])
+                 .withColumn("_pos", F.col("_above") + F.row_number().over(w_tie) - 1)
                  .filter(F.col("_pos") <= F.floor(F.col("_n") / 2))
-                 .drop("_pos", "_n"))
+                 .drop("_above", "_n", "_pos"))
 
 
 def rank_filter(rules: DataFrame, d: int, params: RuleParams) -> DataFrame:

@@ -163,9 +163,15 @@ def class_positions(rules: DataFrame, d: int) -> DataFrame:
 
 def rank_filter_class(rules: DataFrame, d: int) -> DataFrame:
     """Per class, order by (conf, antecedent) ascending and drop the first
-    floor(n/2) rules."""
+    floor(n/2) rules.  The kept rules are a contiguous tail of each class, so
+    their ``rule_id`` (position in (class, conf, antecedent) order) follows
+    from the same positions without a second pass."""
     ranked = class_positions(rules, d)
-    return (ranked.filter(F.col("_pos") >= F.floor(F.col("_n") / 2))
+    drop = F.floor(F.col("_n") / 2)
+    kept0 = F.col("_n0") - F.floor(F.col("_n0") / 2)
+    rid = (F.col("_pos") - drop) + F.when(F.col("cls") == 1.0, kept0).otherwise(F.lit(0))
+    return (ranked.filter(F.col("_pos") >= drop)
+                  .withColumn("rule_id", rid.cast("int"))
                   .drop("_pos", "_n", "_n0"))
 
 
@@ -189,8 +195,9 @@ def rank_filter_class_length(rules: DataFrame, d: int) -> DataFrame:
 
 
 def rank_filter(rules: DataFrame, d: int, params: RuleParams) -> DataFrame:
+    """Rank-filtered rules with ``rule_id`` in (class, conf, antecedent) order."""
     if params.rank_by == "class_length":
-        return rank_filter_class_length(rules, d)
+        return number_rules(rank_filter_class_length(rules, d).persist(), d)
     return rank_filter_class(rules, d)
 
 

@@ -207,7 +207,7 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     trace.resolved = resolved
     t = _timed(trace, "mine", t)
 
-    ranked = number_rules(rank_filter(resolved, d, params), d).persist(_MEM_DISK)
+    ranked = rank_filter(resolved, d, params).persist(_MEM_DISK)
     n_ranked = ranked.count()
     trace.funnel.append(("rank_filtered", n_ranked))
     trace.ranked = ranked
@@ -234,7 +234,8 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
         trace.selection_steps = steps
     else:
         selected = precision_select(used, params.precision)
-    final = number_rules(selected.drop("rule_id"), d).checkpoint(eager=True)
+    # selected rules keep their rank-list ids: same order, no renumbering pass
+    final = selected.checkpoint(eager=True)
     trace.funnel.append(("selected", final.count()))
     _timed(trace, "prune", t)
     narrow.unpersist()

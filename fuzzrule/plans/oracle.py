@@ -362,9 +362,7 @@ class SqlChain:
                               f"(SELECT cls, max({prec}) AS mp FROM {used} GROUP BY cls)")
         sel = self.add("selected", f"SELECT u.* FROM {used} u JOIN {pth} p ON u.cls = p.cls "
                                    f"WHERE CAST(u.n_correct AS DOUBLE) / CAST(u.n_win AS DOUBLE) > p.th")
-        order_a = ", ".join(f"a{j}" for j in range(self.d))
-        return self.add("final", f"SELECT * EXCLUDE (rule_id), CAST(row_number() OVER (ORDER BY cls, conf, {order_a}) - 1 "
-                                 f"AS INTEGER) AS rule_id FROM {sel}")
+        return self.add("final", f"SELECT * FROM {sel}")
 
     def gm_final(self) -> str:
         """GM-guided selection: closed-form thresholds per step, every step
@@ -416,9 +414,7 @@ class SqlChain:
                                   f"WHERE g0.gm > g1.gm OR v.done")
         chosen = self.add("gmchosen", f"SELECT COALESCE((SELECT pick FROM {stop} ORDER BY step LIMIT 1), "
                                       f"(SELECT max(step) FROM {valid})) AS step")
-        order_a = ", ".join(f"a{j}" for j in range(d))
-        return self.add("gmfinal", f"SELECT * EXCLUDE (step, rule_id), CAST(row_number() OVER (ORDER BY cls, conf, "
-                                   f"{order_a}) - 1 AS INTEGER) AS rule_id FROM {sel} WHERE step = "
+        return self.add("gmfinal", f"SELECT * EXCLUDE (step) FROM {sel} WHERE step = "
                                    f"(SELECT step FROM {chosen})")
 
     def predictions(self, which: str = "all", method: str = "winning", shifted: bool = False,

@@ -38,10 +38,6 @@ def _entropy(c0, c1):
     return term(c0) + term(c1)
 
 
-def _nclasses(c0, c1):
-    return (c0 > 0).cast("int") + (c1 > 0).cast("int")
-
-
 def value_histogram(df: DataFrame, cols: list[str], label: str = Y) -> DataFrame:
     """(j, v, c0, c1): class counts per distinct value of every feature."""
     long = df.select(F.inline(F.array(*[

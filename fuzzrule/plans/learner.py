@@ -20,14 +20,14 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuzzrule.functions.membership import round_at
 from fuzzrule.operators.cells import acol, cell_rules, support_filter, support_threshold
 from fuzzrule.operators.infer import RuleSet, score, score_equijoin, score_sql
-from fuzzrule.operators.mine import number_rules, rank_filter, resolve_rules
+from fuzzrule.operators.mine import rank_filter, resolve_rules
 from fuzzrule.operators.prepare import Preparer, fit_preparer, zcol
 from fuzzrule.operators.prune import attach_wins, drop_unused, precision_select, win_counts
 from fuzzrule.operators.report import ant_key, metrics_dict, rule_text

@@ -91,3 +91,12 @@ def test_subset_guard(spark):
                                 for i in range(4)], cols)
     with pytest.raises(ValueError, match="sub-rules per cell"):
         learn(df, RuleParams(max_subrules_per_cell=1000))
+
+
+def test_rescan_instead_of_cache_gives_same_rules(small):
+    from fuzzrule.operators.report import ant_key
+    a = learn(small, RuleParams())
+    b = learn(small, RuleParams(persist_input=False))
+    key = [r[0] for r in a.rules.select(ant_key(a.d)).orderBy("rule_id").collect()]
+    assert key == [r[0] for r in b.rules.select(ant_key(b.d)).orderBy("rule_id").collect()]
+    assert a.trace.funnel == b.trace.funnel

@@ -154,6 +154,8 @@ def _h(c0: int, c1: int) -> float:
 
 
 def _mdl_accepts(s0, s1, l0, l1, r0, r1) -> tuple[float, bool]:
+    # plain ints: numpy booleans would add as logical OR in the class counts
+    s0, s1, l0, l1, r0, r1 = (int(x) for x in (s0, s1, l0, l1, r0, r1))
     n = s0 + s1
     if n < 2:
         return 0.0, False

@@ -224,3 +224,53 @@ def test_range_partitioned_prefix_sums_exact(docs):
         bad = c.filter((F.col("cum0") != F.col("b0")) | (F.col("cum1") != F.col("b1")) |
                        ~F.col("nv").eqNullSafe(F.col("bn"))).count()
         assert bad == 0 and c.count() == hist.count()
+
+
+def _mdlp_numpy(v, y, max_bins=10):
+    """Level-wise MDLP on one feature with numpy (independent of Spark)."""
+    from fuzzrule.operators.select import _mdl_accepts
+    order = np.argsort(v, kind="stable")
+    v, y = v[order], y[order]
+    vals = np.unique(v)
+    c0 = np.array([((v == x) & (y == 0)).sum() for x in vals])
+    c1 = np.array([((v == x) & (y == 1)).sum() for x in vals])
+    k0, k1 = np.cumsum(c0), np.cumsum(c1)
+    intervals, cuts = [(0, len(vals) - 1)], []      # inclusive value-index ranges
+    while intervals:
+        acc = []
+        for lo, hi in intervals:
+            b0 = k0[lo - 1] if lo else 0
+            b1 = k1[lo - 1] if lo else 0
+            e0, e1 = k0[hi], k1[hi]
+            best = None
+            for i in range(lo, hi):
+                l0, l1 = k0[i] - b0, k1[i] - b1
+                r0, r1 = e0 - k0[i], e1 - k1[i]
+                n = e0 - b0 + e1 - b1
+                e = ((l0 + l1) * _h(l0, l1) + (r0 + r1) * _h(r0, r1)) / n
+                if best is None or e < best[0]:
+                    best = (e, i, l0, l1, r0, r1)
+            if best is None:
+                continue
+            gain, ok = _mdl_accepts(e0 - b0, e1 - b1, *best[2:])
+            if ok:
+                acc.append((gain, lo, hi, best[1]))
+        nxt = []
+        for gain, lo, hi, i in sorted(acc, key=lambda a: -a[0]):
+            if len(cuts) + 1 >= max_bins:
+                continue
+            cuts.append((vals[i] + vals[i + 1]) / 2)
+            nxt += [(lo, i), (i + 1, hi)]
+        intervals = nxt
+    return sorted(cuts)
+
+
+def test_mdlp_all_levels_match_numpy(docs):
+    prep, z = docs
+    zc = [zcol(j) for j in range(prep.d)]
+    cuts = mdlp_cuts(z, zc, Y, 10, parts=5)
+    pdf = z.select(*zc, Y).toPandas()
+    for j in range(prep.d):
+        exp = _mdlp_numpy(pdf[zc[j]].to_numpy(), pdf[Y].to_numpy())
+        assert len(cuts[j]) == len(exp)
+        assert all(abs(a - b) < 1e-12 for a, b in zip(cuts[j], exp)), (j, cuts[j], exp)

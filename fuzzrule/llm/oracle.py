@@ -60,3 +60,53 @@ SELECT s.doc_id, CAST(c.n + 16 AS BIGINT) AS size, c.text_crc32, 'key' AS law, s
        row_number() OVER (PARTITION BY s.shard ORDER BY s.h % (SELECT n FROM buckets), s.doc_id) - 1 AS slot, s.grown_shard
 FROM shards s JOIN crc c ON s.doc_id = c.doc_id
 """
+
+WARC_ARCHIVE = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest
+"""
+
+
+def _mixing(cycles: int = 8, rate: float = 0.5) -> str:
+    steps, last = [], "w0"
+    targets = [("source", 0.5), ("lang", 0.7), ("topic", 0.7)]
+    for dim, power in targets:
+        steps.append(f"""t_{dim} AS MATERIALIZED (
+  SELECT {dim}, pow(CAST(t AS DOUBLE), {power}) * (SELECT sum(tokens) FROM cells)
+         / sum(pow(CAST(t AS DOUBLE), {power})) OVER () AS target
+  FROM (SELECT {dim}, sum(tokens) AS t FROM cells GROUP BY {dim}) WHERE t > 0)""")
+    steps.append("w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, CAST(tokens AS DOUBLE) AS w FROM cells)")
+    for c in range(cycles):
+        for dim, _ in targets:
+            name = f"w{c}_{dim}"
+            steps.append(f"""{name} AS MATERIALIZED (
+  SELECT x.source, x.lang, x.topic, x.tokens,
+         x.w * coalesce(CASE WHEN s.s > 0 THEN t.target / s.s END, 0) AS w
+  FROM {last} x LEFT JOIN (SELECT {dim}, sum(w) AS s FROM {last} GROUP BY {dim}) s ON x.{dim} = s.{dim}
+  LEFT JOIN t_{dim} t ON x.{dim} = t.{dim})""")
+            last = name
+    chain = ",\n".join(steps)
+    return f"""
+WITH light AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+         CASE WHEN text IS NULL THEN '(none)' WHEN contains(text, ' | ') THEN 'table'
+              WHEN contains(text, 'icense') THEN 'notice' WHEN contains(text, '@') THEN 'contact'
+              WHEN contains(text, ' = ') THEN 'assignment' ELSE 'prose' END AS topic,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM light GROUP BY ALL),
+{chain},
+p AS (SELECT source, lang, topic,
+             CASE WHEN tokens > 0 THEN least(1.0, {rate} * w / tokens) ELSE {rate} END AS probability FROM {last})
+SELECT l.doc_id, l.topic, l.n_tokens, round(p.probability, 6) AS probability,
+       CAST(CAST('0x' || substr(md5('mix-1:' || l.doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0
+         < p.probability AS selected
+FROM light l JOIN p ON l.source = p.source AND l.lang = p.lang AND l.topic = p.topic
+"""
+
+
+SOURCE_MIXING = _mixing()

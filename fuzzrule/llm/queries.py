@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from fuzzrule.llm import oracle
 from fuzzrule.llm.binary_search import op3_exact_topk
 from fuzzrule.llm.line_dedup import op2_line_dedup
+from fuzzrule.llm.mixing import op6_source_mixing
+from fuzzrule.llm.packing import op8_token_packing
 from fuzzrule.llm.sharding import op9_jump_sharding
+from fuzzrule.llm.warc import op1_warc_archive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_exact_topk, op9_jump_sharding)}
+    return {f.__name__: f for f in (
+        op1_warc_archive, op2_line_dedup, op3_exact_topk, op6_source_mixing, op8_token_packing, op9_jump_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": oracle.LINE_DEDUP, "op3_exact_topk": oracle.EXACT_TOPK,
+    return {"op1_warc_archive": oracle.WARC_ARCHIVE, "op2_line_dedup": oracle.LINE_DEDUP, "op3_exact_topk": oracle.EXACT_TOPK,
+            "op6_source_mixing": oracle.SOURCE_MIXING,
             "op9_jump_sharding": oracle.JUMP_SHARDING}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fuzzrule.llm import oracle
 from fuzzrule.llm.binary_search import op3_exact_topk
+from fuzzrule.llm.decontaminate import op10_latent_decontamination
 from fuzzrule.llm.line_dedup import op2_line_dedup
 from fuzzrule.llm.mixing import op6_source_mixing
 from fuzzrule.llm.ngram_join import op7_ngram_jaccard_join
@@ -18,7 +19,8 @@ from fuzzrule.llm.warc import op1_warc_archive
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_warc_archive, op2_line_dedup, op3_exact_topk, op6_source_mixing, op7_ngram_jaccard_join, op8_token_packing, op9_jump_sharding)}
+        op1_warc_archive, op2_line_dedup, op3_exact_topk, op6_source_mixing, op7_ngram_jaccard_join, op8_token_packing, op9_jump_sharding,
+        op10_latent_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,13 +14,14 @@ from fuzzrule.llm.mixing import op6_source_mixing
 from fuzzrule.llm.ngram_join import op7_ngram_jaccard_join
 from fuzzrule.llm.packing import op8_token_packing
 from fuzzrule.llm.quality import op4_attention_quality
+from fuzzrule.llm.secrets import op5_secret_forest
 from fuzzrule.llm.sharding import op9_jump_sharding
 from fuzzrule.llm.warc import op1_warc_archive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_warc_archive, op2_line_dedup, op3_exact_topk, op4_attention_quality, op6_source_mixing, op7_ngram_jaccard_join, op8_token_packing, op9_jump_sharding,
+        op1_warc_archive, op2_line_dedup, op3_exact_topk, op4_attention_quality, op5_secret_forest, op6_source_mixing, op7_ngram_jaccard_join, op8_token_packing, op9_jump_sharding,
         op10_latent_decontamination)}
 
 

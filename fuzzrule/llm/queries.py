@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fuzzrule.llm import oracle
 from fuzzrule.llm.binary_search import op3_exact_topk
 from fuzzrule.llm.decontaminate import op10_latent_decontamination
@@ -20,9 +21,9 @@ from fuzzrule.llm.warc import op1_warc_archive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (
-        op1_warc_archive, op2_line_dedup, op3_exact_topk, op4_attention_quality, op5_secret_forest, op6_source_mixing, op7_ngram_jaccard_join, op8_token_packing, op9_jump_sharding,
-        op10_latent_decontamination)}
+    ops = (op1_warc_archive, op2_line_dedup, op3_exact_topk, op4_attention_quality, op5_secret_forest, op6_source_mixing,
+           op7_ngram_jaccard_join, op8_token_packing, op9_jump_sharding, op10_latent_decontamination)
+    return {**{f.__name__: f for f in ops}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -42,6 +42,9 @@ from fuzzrule.llm.common import components, mix, read_table, shingle_hashes, wor
 CELL_BITS = 18
 BITMAP = 512
 WORDS64 = BITMAP // 64
+# sets over LARGE shingles also have a bitmap of this many cells, kept apart
+LARGE, LARGE_BITMAP = 1000, 8192
+VERIFY_HASHES = 1 << 18
 BITS = [f"b{i}" for i in range(WORDS64)]
 
 
@@ -73,8 +76,13 @@ def _signature(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)]).view(np.int64))
 
 
+def _parity(h: np.ndarray, cells: int) -> np.ndarray:
+    """Packed bits: whether an odd number of hashes falls into each cell."""
+    return np.packbits((np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8))
+
+
 SET = ("id long, n long, h1 long, h2 long, g1 long, g2 long, prefix array<long>, "
-       + ", ".join(f"{b} long" for b in BITS))
+       + ", ".join(f"{b} long" for b in BITS) + ", large binary")
 
 
 def _describe(n: int, percent: int, ranks):
@@ -86,13 +94,13 @@ def _describe(n: int, percent: int, ranks):
                 h = shingle_hashes(word_hashes(text), n)
                 size = len(h)
                 if missing or not size:
-                    out.append((None if missing else doc, size, 0, 0, 0, 0, [], *[0] * WORDS64))
+                    out.append((None if missing else doc, size, 0, 0, 0, 0, [], *[0] * WORDS64, None))
                     continue
                 first = np.lexsort((h, rank[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
                 prefix = h[first[:size - -(-percent * size // 100) + 1]]
-                parity = np.bincount((h & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-                bits = np.packbits(parity.astype(np.uint8)).view(np.int64)
-                out.append((doc, size, *_signature(h), *_signature(prefix), prefix.view(np.int64), *bits.tolist()))
+                bits = _parity(h, BITMAP).view(np.int64)
+                large = _parity(h, LARGE_BITMAP).tobytes() if size > LARGE else None
+                out.append((doc, size, *_signature(h), *_signature(prefix), prefix.view(np.int64), *bits.tolist(), large))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in SET.split(", ")])
             yield frame.astype({"id": "Int64"})
     return run
@@ -101,7 +109,7 @@ def _describe(n: int, percent: int, ranks):
 def _wanted_bits(ids: DataFrame) -> tuple[bytes, int]:
     """A bitmap of hashed ids of at most 8 MB: an early filter, made exact later."""
     n = ids.count()
-    bits = 1 << min(26, max(16, (16 * n).bit_length()))
+    bits = 1 << min(26, max(16, (64 * n).bit_length()))
     rows = (ids.select(F.expr(f"bitmap_bucket_number(pmod(xxhash64(id), {bits}L) + 1)").alias("k"),
                        F.expr(f"bitmap_bit_position(pmod(xxhash64(id), {bits}L) + 1)").alias("p"))
             .groupBy("k").agg(F.expr("bitmap_construct_agg(p)").alias("m")).collect())
@@ -129,13 +137,30 @@ def _sets(n: int, wanted, bits: int):
 
 
 def _verify(percent: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """left: (v, set) of the partners of u; right: the sets of u."""
+        near = []
+        for s in right["sw"]:
+            x = np.frombuffer(s, np.uint64)
+            for v, t in zip(left["v"], left["sv"]):
+                y = np.frombuffer(t, np.uint64)
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = int((x[at] == y).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    near.append(v)
+        return pd.DataFrame({"u": [int(left["u"].iloc[0])] * len(near), "v": near}, dtype="int64")
+    return run
+
+
+def _large_ok(percent: int):
     def run(batches):
         for pdf in batches:
             keep = []
-            for a, b in zip(pdf["sa"], pdf["sb"]):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for na, nb, a, b in zip(pdf["na"], pdf["nb"], pdf["la"], pdf["lb"]):
+                differ = 0
+                if a is not None and b is not None:
+                    differ = int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
+                keep.append(differ <= na + nb - 2 * -(-percent * (na + nb) // (100 + percent)))
             yield pdf.loc[keep, ["u", "v"]]
     return run
 
@@ -155,16 +180,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, perce
     """The pairs (u, v) of class ids whose whole sets are near enough."""
     spark = pairs.sparkSession
     pairs = written(pairs, "pairs")
+    # pairs of large sets: their wider bitmaps, at about a tenth of the sets' size
+    large = reps.where("large is not null").select("rep", "n", "large")
+    a, b = large.toDF("u", "na", "la"), large.toDF("v", "nb", "lb")
+    wide = pairs.join(a, "u").join(b, "v").mapInPandas(_large_ok(percent), "u long, v long")
+    is_large = reps.where("large is not null").select(F.col("rep").alias("u")).distinct()
+    small = pairs.join(is_large, "u", "left_anti").unionAll(
+        pairs.join(is_large, "u", "left_semi").join(is_large.toDF("v"), "v", "left_anti").select("u", "v"))
+    pairs = written(small.unionAll(wide).distinct(), "pairs_left")
     ids = written(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
     mask, bits = _wanted_bits(ids)
     wanted = spark.sparkContext.broadcast(mask)
     sets = (texts.where("not missing").withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(bits)))
             .mapInPandas(_sets(n, wanted, bits), "id long, h1 long, h2 long, s binary"))
     own = reps.join(ids, reps.rep == ids.id, "left_semi").select(F.col("rep").alias("id"), "h1", "h2")
-    sets = written(sets.join(own, ["id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "s"), "sets")
-    full = (pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("sa")), "u")
-            .join(sets.select(F.col("id").alias("v"), F.col("s").alias("sb")), "v"))
-    return written(full.mapInPandas(_verify(percent), "u long, v long"), "links")
+    # an id that holds several texts has a set for each
+    sets = written(sets.join(own, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"]).select("id", "s"), "sets")
+    # the set of u meets those of its partners in groups of about VERIFY_HASHES
+    sizes = reps.select(F.col("rep").alias("v"), "n")
+    parts = pairs.join(sizes, "v").groupBy("u").agg(F.ceil(F.sum("n") / VERIFY_HASHES).alias("parts"))
+    parts = written(parts, "parts")
+    left = (pairs.join(parts, "u").join(sets.toDF("v", "sv"), "v")
+            .select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v", "sv"))
+    right = (parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+             .join(sets.toDF("u", "su"), "u").toDF("w", "of", "sw"))
+    near = left.groupBy("u", "part").cogroup(right.groupBy("w", "of")).applyInPandas(_verify(percent), "u long, v long")
+    return written(near.distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
@@ -176,14 +217,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranks = spark.sparkContext.broadcast(_cell_ranks(texts, n))
     t = written(texts.mapInPandas(_describe(n, percent, ranks), SET), "sets")
 
-    # 1. classes of equal sets
+    # 1. classes of equal sets; 2. groups of equal size and prefix
     live = t.where("id is not null and n > 0")
     same = ["h1", "h2", "n"]
-    classes = written(live.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
-    r = live.join(classes.select(F.col("rep").alias("id"), *same), ["id", *same]).dropDuplicates(["id", *same])
-    # 2. groups of equal size and prefix
-    groups = r.groupBy("n", "g1", "g2").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("members"))
-    r = written(r.join(written(groups, "groups"), ["n", "g1", "g2"]).withColumnRenamed("id", "rep"), "reps")
+    classes = written(live.groupBy(*same).agg(F.min("id").alias("rep"), F.min("g1").alias("g1"), F.min("g2").alias("g2")), "classes")
+    groups = written(classes.groupBy("n", "g1", "g2").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
+    placed = classes.join(groups, ["n", "g1", "g2"]).select(F.col("rep").alias("id"), *same, "gid", "members")
+    r = written(live.drop("g1", "g2").join(placed, ["id", *same]).dropDuplicates(["id", *same]).withColumnRenamed("id", "rep"), "reps")
     light = r.select("rep", "gid", "members", "n", *BITS)
     entries = r.where("rep = gid").select("gid", "n", F.posexplode("prefix").alias("pos", "tok"))
     stars = written(entries.groupBy("tok").agg(F.min("gid").alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -196,7 +236,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     to_center = written(to_center, "to_center")
     a, b = light.alias("a"), light.alias("b")
     near = (to_center.join(a, F.col("u") == F.col("a.rep")).join(b, F.col("v") == F.col("b.rep"))
-            .where(_size_ok("a", "b", percent) & _bitmap_ok("a", "b", percent)).select("u", "v"))
+            .where(_size_ok("a", "b", percent) & _bitmap_ok("a", "b", percent)).select("u", "v").distinct())
     links = _verified(near, texts, r, n, percent)
     comp = written(components(links), "components")
 

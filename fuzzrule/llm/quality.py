@@ -184,12 +184,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 max_documents: int = 6000, max_passages: int = 400):
     """The fitted model, or a constant score where there is nothing to learn."""
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-             .groupBy(id_col).agg(F.max(label_col).cast("double").alias("label")))
+             .groupBy(id_col).agg(F.max(F.col(label_col)).cast("double").alias("label")))
     # a bounded sample of labelled rows, by hash: the ids alone are sorted
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_documents).withColumnRenamed(id_col, "__id")
+    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_documents).withColumnsRenamed({id_col: "__id", "label": "__label"})
     chosen = written(chosen, "chosen")
     bags = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(
-        F.col("__id").alias("doc_id"), "label", F.col(text_col).alias("text"))
+        F.col("__id").alias("doc_id"), F.col("__label").alias("label"), F.col(text_col).alias("text"))
     bags = bags.mapInPandas(_encode_bags(max_passages), "doc_id long, label double, x binary")
     rows = (bags.withColumn("h", F.xxhash64("x")).orderBy("doc_id", "h").limit(max_documents).toPandas())
     if not len(rows) or rows["label"].nunique() < 2:

@@ -131,16 +131,41 @@ def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
     return span_hashes(data, *word_spans(data))
 
 
+def word_runs(texts, spans=word_spans, run_bytes: int = 1 << 20):
+    """The words of many texts, some at a time: (number of the first text, word
+    hashes, first[i]:first[i + 1] being those of the run's i-th text)."""
+    run, size, at = [], 0, 0
+    for i, text in enumerate(texts):
+        run.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(run[-1])
+        if size >= run_bytes or i == len(texts) - 1:
+            data = _LOWER_TABLE[np.frombuffer(b"\n".join(run) + b"\n", dtype=np.uint8)]
+            starts, ends = spans(data)
+            bounds = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in run]))
+            yield at, span_hashes(data, starts, ends), np.concatenate(([0], bounds))
+            run, size, at = [], 0, i + 1
+
+
+def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each n words in sequence."""
+    h = np.full(max(0, len(words) - n + 1), np.uint64(n), dtype=np.uint64)
+    for k in range(n):
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + words[k:k + len(h)])
+    return h
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Distinct n-word shingles as sorted 64-bit hashes; fewer than n words:
     the whole sequence as one; no words: none."""
-    if not len(words):
-        return words
-    n = min(n, len(words))
-    h = np.full(len(words) - n + 1, np.uint64(n), dtype=np.uint64)
-    for k in range(n):
-        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + words[k:len(words) - n + 1 + k])
-    return np.unique(h)
+    return np.unique(ngram_hashes(words, min(n, len(words)))) if len(words) else words
+
+
+def shingle_sets(texts, n: int):
+    """(number of the text, its shingle set) of each text, texts read in runs."""
+    for at, words, first in word_runs(texts):
+        grams = ngram_hashes(words, n)
+        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            yield at + i, np.unique(grams[a:b - n + 1]) if b - a >= n else shingle_hashes(words[a:b], n)
 
 
 # ---- connected components ----------------------------------------------------

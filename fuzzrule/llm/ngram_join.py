@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzrule.llm.common import components, mix, read_table, shingle_hashes, word_hashes, written
+from fuzzrule.llm.common import components, mix, ngram_hashes, read_table, shingle_sets, word_runs, written
 
 CELL_BITS = 18
 BITMAP = 512
@@ -50,20 +50,19 @@ BITS = [f"b{i}" for i in range(WORDS64)]
 
 def _count_cells(n: int):
     def run(batches):
-        """Documents per cell of the shingle hashes, summed per task."""
+        """Shingles per cell of their hashes, summed per task."""
         total = np.zeros(1 << CELL_BITS, dtype=np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                h = shingle_hashes(word_hashes(text), n)
-                if len(h):
-                    np.add.at(total, (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+            for _, words, _ in word_runs(pdf["text"]):
+                cell = (ngram_hashes(words, n) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                total += np.bincount(cell, minlength=len(total))
         full = np.flatnonzero(total)
         yield pd.DataFrame({"cell": full.astype(np.int32), "n": total[full]})
     return run
 
 
 def _cell_ranks(texts: DataFrame, n: int) -> np.ndarray:
-    """Rank of each cell by its document count: a table of fixed size."""
+    """Rank of each cell by its count: a table of fixed size."""
     rows = texts.mapInPandas(_count_cells(n), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
     counts[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
@@ -90,9 +89,9 @@ def _describe(n: int, percent: int, ranks):
         rank = ranks.value
         for pdf in batches:
             out = []
-            for missing, doc, text in zip(pdf["missing"], pdf["id"], pdf["text"]):
-                h = shingle_hashes(word_hashes(text), n)
-                size = len(h)
+            missing_ids, ids = pdf["missing"].tolist(), pdf["id"].tolist()
+            for i, h in shingle_sets(pdf["text"], n):
+                missing, doc, size = missing_ids[i], ids[i], len(h)
                 if missing or not size:
                     out.append((None if missing else doc, size, 0, 0, 0, 0, [], *[0] * WORDS64, None))
                     continue
@@ -127,10 +126,10 @@ def _sets(n: int, wanted, bits: int):
             cell = pdf["cell"].to_numpy()
             pdf = pdf[(mask[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
             out = []
-            for doc, text in zip(pdf["id"], pdf["text"]):
-                h = shingle_hashes(word_hashes(text), n)
+            ids = pdf["id"].tolist()
+            for i, h in shingle_sets(pdf["text"].tolist(), n):
                 if len(h):
-                    out.append((doc, *_signature(h), h.tobytes()))
+                    out.append((ids[i], *_signature(h), h.tobytes()))
             if out:
                 yield pd.DataFrame(out, columns=["id", "h1", "h2", "s"])
     return run

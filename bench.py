@@ -46,7 +46,7 @@ def main():
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm):
         for key, lab, ex in (("E", "low", ("id",)), ("L", "l_linestatus", ()), ("D", "quality", ("id",))):
-            wm = learn(Q.view(spark, warm, key), RuleParams(), label=lab, exclude=ex)
+            wm = learn(Q.view(spark, warm, key), Q.params_for(key), label=lab, exclude=ex)
             _force(wm.transform(Q.view(spark, warm, key), keep=[]))
 
     L = Q.view(spark, sf, "L")
@@ -72,8 +72,8 @@ def main():
     timed("fit_documents_feature_selection",
           lambda: learn(D, RuleParams(use_fs=True, rate=0.7), label="quality", exclude=("id",)))
     E = Q.view(spark, sf, "E")
-    me = timed("fit_embeddings", lambda: learn(E, RuleParams(), label="low", exclude=("id",)))
-    timed("score_embeddings_sql_twin", lambda: _force(me.transform_sql(E, "id")))
+    me = timed("fit_embeddings", lambda: learn(E, Q.params_for("E"), label="low", exclude=("id",)))
+    timed("score_embeddings", lambda: _force(me.transform(E, keep=["id"])))
 
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec",

@@ -7,9 +7,10 @@ geometric mean (5 decimals) falls, or when both thresholds are negative
 (keeping the better of the last two sets).
 
 All thresholds are known up front and the selected sets are nested, so
-each rule gets the first step at which it enters, and a single scoring pass
-over the training rows yields the predictions of every step at once
-(instead of one pass per step).
+each rule gets the first step at which it enters.  One pass over the training
+rows computes every rule's degree once, keeps the best rule per first step,
+and takes the running best over the steps; each batch returns only its
+confusion counts per step.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fuzzrule.operators.infer import RuleSet, score_arrays
+from fuzzrule.operators.infer import RuleSet, block_degrees
 from fuzzrule.operators.prepare import Y, zcol
 from fuzzrule.params import RuleParams
 
@@ -81,31 +81,44 @@ def gm_select(fz: DataFrame, rules: DataFrame, d: int, params: RuleParams, major
     ratio = F.try_divide(F.col("n_correct").cast("double"), F.col("sup"))
     mx = {float(r["cls"]): r["m"] for r in rules.groupBy("cls").agg(F.max(ratio).alias("m")).collect()}
     steps = step_thresholds(mx.get(0.0), mx.get(1.0), rate)
-    rs = RuleSet.from_frame(rules, d, params.n_labels, majority, params.use_rw,
-                            params.max_broadcast_rules)
-    pdf = rules.select("rule_id", "cls", ratio.alias("ratio")).toPandas().sort_values("rule_id")
-    first = _first_step(pdf["ratio"].fillna(0.0).to_numpy(), pdf["cls"].to_numpy(), steps)
+    blocks = RuleSet.blocks(rules, d, params.n_labels, majority, params.use_rw, params.block_rules)
+    scored_by = {int(r["rule_id"]): r["ratio"] for r in rules.select("rule_id", ratio.alias("ratio")).toLocalIterator()}
+    firsts = [_first_step(np.array([scored_by[int(i)] or 0.0 for i in rs.rule_id]), rs.cls, steps) for rs in blocks]
     n_steps = len(steps)
-    bc = spark.sparkContext.broadcast({"rs": dict(rs.__dict__), "first": first, "n": n_steps})
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def preds(*cols: pd.Series) -> pd.Series:
-        v = bc.value
-        full = RuleSet(**v["rs"])
-        z = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
-        out = []
-        for i in range(v["n"]):
-            keep = v["first"] <= i
-            sub = RuleSet(full.ant[keep], full.cls[keep], full.rw[keep], full.proto[keep],
-                          full.rule_id[keep], full.n_labels, full.majority, full.use_rw)
-            out.append(score_arrays(z, sub, "winning")[1])
-        mat = np.column_stack(out) if out else np.zeros((len(z), 0))
-        return pd.Series(list(mat))
-
-    scored = fz.select(Y, F.posexplode(preds(*[F.col(zcol(j)) for j in range(d)])).alias("step", "p"))
-    cnt = scored.groupBy("step").agg(*[
-        F.count_if((F.col(Y) == float(a)) & (F.col("p") == float(b))).alias(f"c{a}{b}")
-        for a in (0, 1) for b in (0, 1)]).collect()
+    shared = [spark.sparkContext.broadcast((dict(rs.__dict__), f)) for rs, f in zip(blocks, firsts)]
+
+    def count(batches):
+        c = np.zeros((n_steps, 2, 2), dtype=np.int64)
+        for pdf in batches:
+            z = pdf[[zcol(j) for j in range(d)]].to_numpy(dtype=np.float64)
+            y = pdf[Y].to_numpy().astype(np.int64)
+            rows = np.arange(len(z))
+            # best degree, its rule id and class, among the rules that enter at a step
+            best = np.zeros((n_steps, len(z)))
+            rid = np.full((n_steps, len(z)), np.iinfo(np.int64).max)
+            cls = np.full((n_steps, len(z)), majority)
+            for b in shared:
+                fields, first = b.value
+                rs = RuleSet(**fields)
+                for sl, acc in block_degrees(z, rs, False):
+                    for i in np.unique(first[sl][first[sl] < n_steps]):
+                        own = np.flatnonzero(first[sl] == i)
+                        at = acc[:, own].argmax(axis=1)
+                        val = acc[rows, own[at]]
+                        up = val > best[i]
+                        best[i, up] = val[up]
+                        rid[i, up] = rs.rule_id[sl][own[at[up]]]
+                        cls[i, up] = rs.cls[sl][own[at[up]]]
+            for i in range(n_steps):
+                if i:  # the sets are nested: the better of before and now, then the earlier rule
+                    keep = (best[i - 1] > best[i]) | ((best[i - 1] == best[i]) & (rid[i - 1] < rid[i]))
+                    best[i, keep], rid[i, keep], cls[i, keep] = best[i - 1, keep], rid[i - 1, keep], cls[i - 1, keep]
+                np.add.at(c[i], (y, cls[i].astype(np.int64)), 1)
+        yield pd.DataFrame({"step": np.arange(n_steps), **{f"c{a}{b}": c[:, a, b] for a in (0, 1) for b in (0, 1)}})
+
+    parts = fz.select(Y, *[zcol(j) for j in range(d)]).mapInPandas(
+        count, "step int, c00 long, c01 long, c10 long, c11 long")
+    cnt = parts.groupBy("step").agg(*[F.sum(c).alias(c) for c in ("c00", "c01", "c10", "c11")]).collect()
     gms = {r["step"]: _gm(r["c00"], r["c01"], r["c10"], r["c11"]) for r in cnt}
     chosen = n_steps - 1
     for i in range(1, n_steps):
@@ -117,8 +130,11 @@ def gm_select(fz: DataFrame, rules: DataFrame, d: int, params: RuleParams, major
             chosen = i
             break
     history = [(i, gms.get(i, 0.0)) for i in range(n_steps)]
-    first_df = spark.createDataFrame(
-        [(int(r), int(f)) for r, f in zip(pdf["rule_id"], first)], "rule_id int, _first int")
-    sel = (rules.join(F.broadcast(first_df), "rule_id")
-                .filter(F.col("_first") <= chosen).drop("_first"))
+    # the chosen step's thresholds as a filter: no table of rules comes back
+    tp, tn = steps[chosen][0], steps[chosen][1]
+    cond = F.lit(False)
+    for c, t in ((0.0, tp), (1.0, tn)):
+        if t is not None:
+            cond = cond | ((F.col("cls") == c) & (F.coalesce(ratio, F.lit(0.0)) > F.lit(t)))
+    sel = rules.filter(cond)
     return sel, history

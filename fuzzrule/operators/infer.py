@@ -1,21 +1,18 @@
 """Inference: assign each row its winning rule or its class by aggregation.
 
-Two interchangeable strategies:
-
-* ``pandas`` (default): the rule base, bounded and size-checked, is
-  broadcast once per executor as numpy arrays; an Arrow-batched pandas UDF
-  computes the rows x rules matching degrees chunk by chunk and keeps the
-  first maximum.  No shuffle, no row id needed, streaming-safe.
-* ``sql``: the same semantics as a relational plan — broadcast cross join
-  of rows and rules, degree as a codegen column expression, ``max_by`` per
-  row id.  Used as the oracle twin and in tests.
+The rule base is cut into blocks of ``block_rules`` rules in ``rule_id``
+order.  Each block is broadcast as numpy arrays (its size is bounded by the
+block), and the blocks are chained in one map-only pass: an Arrow-batched
+pandas UDF per block carries the best rule or the class sums so far.  No
+shuffle, no row id, streaming-safe, and the same result for any block size.
 
 Semantics: degree = product of memberships over the rule's antecedents
 (x rule weight if ``use_rw``).  Winning rule: strictly greater than 0 and
 than every earlier rule (rules ordered by ``rule_id``); nothing fires ->
-majority class.  Aggregation: per-class sums of degrees; the larger sum
-wins, tie or nothing -> majority class.  With ``shifted`` memberships each
-triangle is moved so its centre lies on the rule's prototype coordinate.
+majority class.  Aggregation: per-class sums of degrees, in fixed groups of
+rules; the larger sum wins, a tie (within ``SUM_TIE``) or nothing -> majority
+class.  With ``shifted`` memberships each triangle is moved so its centre lies
+on the rule's prototype coordinate.  A missing value has membership 0.
 """
 
 from __future__ import annotations
@@ -28,16 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fuzzrule.functions.membership import matching_degree, membership_table_np, trimf_np
+from fuzzrule.functions.membership import membership_table_np, trimf_np
 from fuzzrule.functions.partition import width
 from fuzzrule.operators.cells import acol
-from fuzzrule.operators.prepare import Y, zcol
+from fuzzrule.operators.prepare import zcol
 
-SCORE_SCHEMA = T.StructType([
+STATE = T.StructType([
     T.StructField("rule_id", T.IntegerType()),
-    T.StructField("prediction", T.DoubleType()),
+    T.StructField("cls", T.DoubleType()),
     T.StructField("md", T.DoubleType()),
+    T.StructField("s0", T.DoubleType()),
+    T.StructField("s1", T.DoubleType()),
 ])
+# class sums closer than this are a tie, as for rule conflicts
+SUM_TIE = 1e-9
+# rules whose degrees are computed (and summed) together
+GROUP = 256
 
 
 @dataclass
@@ -58,17 +61,23 @@ class RuleSet:
         return int(self.ant.shape[0])
 
     @classmethod
-    def from_frame(cls, rules: DataFrame, d: int, n_labels: int, majority: float,
-                   use_rw: bool, max_rules: int, known_count: int | None = None) -> "RuleSet":
-        n = rules.count() if known_count is None else known_count
-        if n > max_rules:
-            raise RuntimeError(
-                f"rule base has {n} rules > max_broadcast_rules={max_rules}; "
-                "raise the bound or reduce max_length / select features")
+    def blocks(cls, rules: DataFrame, d: int, n_labels: int, majority: float, use_rw: bool,
+               block_rules: int, known_count: int | None = None) -> list["RuleSet"]:
+        """The rule base in blocks of at most ``block_rules`` rules (at least
+        one block, possibly empty), by ranges of rule_id."""
         cols = ["rule_id", "cls", "rw"] + [acol(j) for j in range(d)] + \
                [f"proto_{j}" for j in range(d)]
-        pdf = rules.select(*cols).orderBy("rule_id").toPandas()
-        return cls.from_pandas(pdf, d, n_labels, majority, use_rw)
+        table = rules.select(*cols)
+        n = rules.count() if known_count is None else known_count
+        if n <= block_rules:
+            return [cls.from_pandas(table.toPandas(), d, n_labels, majority, use_rw)]
+        top = rules.agg(F.max("rule_id")).first()[0]
+        out = []
+        for lo in range(0, top + 1, block_rules):
+            part = table.filter((F.col("rule_id") >= lo) & (F.col("rule_id") < lo + block_rules)).toPandas()
+            if len(part):
+                out.append(cls.from_pandas(part, d, n_labels, majority, use_rw))
+        return out
 
     @classmethod
     def from_pandas(cls, pdf: pd.DataFrame, d: int, n_labels: int, majority: float,
@@ -127,189 +136,69 @@ def _degrees(z: np.ndarray, rs: RuleSet, sl: slice, shifted: bool, mtab) -> np.n
     return np.where(np.isnan(acc), 0.0, acc)
 
 
-def score_arrays(z: np.ndarray, rs: RuleSet, method: str = "winning", shifted: bool = False,
-                 no_fire: str = "majority", chunk: int = 0):
-    """(rule index or -1, prediction, degree) for each row of ``z``."""
-    rows = z.shape[0]
-    best_val = np.zeros(rows)
-    best_idx = np.full(rows, -1, dtype=np.int64)
-    sums = np.zeros((rows, 2))
-    if rs.size == 0 or rows == 0:
-        pred = np.full(rows, rs.majority)
-        return best_idx, pred, best_val
+def block_degrees(z: np.ndarray, rs: RuleSet, shifted: bool):
+    """(slice, rows x rules degrees) of the block, GROUP rules at a time."""
     mtab = None if shifted else membership_table_np(z, rs.n_labels)
-    if chunk <= 0:
-        chunk = max(16, min(rs.size, 4_000_000 // max(rows, 1)))
-    for start in range(0, rs.size, chunk):
-        sl = slice(start, min(rs.size, start + chunk))
-        acc = _degrees(z, rs, sl, shifted, mtab)
-        if method == "winning":
-            ci = acc.argmax(axis=1)
-            cv = acc[np.arange(rows), ci]
-            upd = cv > best_val
-            best_val[upd] = cv[upd]
-            best_idx[upd] = start + ci[upd]
-        else:
-            c = rs.cls[sl]
-            sums[:, 0] += acc[:, c == 0.0].sum(axis=1)
-            sums[:, 1] += acc[:, c == 1.0].sum(axis=1)
-    if method == "winning":
-        fired = best_idx >= 0
-        pred = np.where(fired, rs.cls[np.maximum(best_idx, 0)], rs.majority)
-        if shifted and no_fire == "first_rule":
-            pred = np.where(fired, pred, rs.cls[0])
-        return best_idx, pred, best_val
-    pred = np.where(sums[:, 0] > sums[:, 1], 0.0,
-                    np.where(sums[:, 1] > sums[:, 0], 1.0, rs.majority))
-    return best_idx, pred, np.maximum(sums[:, 0], sums[:, 1])
+    for start in range(0, rs.size, GROUP):
+        sl = slice(start, min(rs.size, start + GROUP))
+        yield sl, _degrees(z, rs, sl, shifted, mtab)
 
 
-def _score_udf(bc, method: str, shifted: bool, no_fire: str):
-    @F.pandas_udf(SCORE_SCHEMA)
-    def score(*cols: pd.Series) -> pd.DataFrame:
+def _block_udf(bc, method: str, shifted: bool, first: bool):
+    @F.pandas_udf(STATE)
+    def block(*cols: pd.Series) -> pd.DataFrame:
+        # the last column is the state of the blocks before (a frame), if any
         rs = RuleSet(**bc.value)
-        z = np.column_stack([c.to_numpy(dtype=np.float64, na_value=np.nan) for c in cols])
-        idx, pred, md = score_arrays(z, rs, method, shifted, no_fire)
-        rid = np.where(idx >= 0, rs.rule_id[np.maximum(idx, 0)] if rs.size else -1, -1)
-        return pd.DataFrame({"rule_id": rid.astype(np.int32), "prediction": pred, "md": md})
-    return score
-
-
-def score(df: DataFrame, rs: RuleSet, d: int, method: str = "winning", shifted: bool = False,
+        state = None if first else cols[-1]
+        zs = cols if first else cols[:-1]
+        z = np.column_stack([c.to_numpy(dtype=np.float64, na_value=np.nan) for c in zs])
+        n = len(z)
+        if first:
+            rid, cls = np.full(n, -1, dtype=np.int32), np.zeros(n)
+            md, sums = np.zeros(n), np.zeros((n, 2))
+        else:
+            rid, cls = state["rule_id"].to_numpy(dtype=np.int32).copy(), state["cls"].to_numpy(dtype=np.float64).copy()
+            md, sums = state["md"].to_numpy(dtype=np.float64).copy(), state[["s0", "s1"]].to_numpy(dtype=np.float64).copy()
+        for sl, acc in block_degrees(z, rs, shifted) if n else ():
+            if method == "winning":
+                ci = acc.argmax(axis=1)
+                cv = acc[np.arange(n), ci]
+                upd = cv > md
+                md[upd] = cv[upd]
+                rid[upd] = rs.rule_id[sl][ci[upd]]
+                cls[upd] = rs.cls[sl][ci[upd]]
+            else:
+                c = rs.cls[sl]
+                sums[:, 0] += acc[:, c == 0.0].sum(axis=1)
+                sums[:, 1] += acc[:, c == 1.0].sum(axis=1)
+        return pd.DataFrame({"rule_id": rid, "cls": cls, "md": md, "s0": sums[:, 0], "s1": sums[:, 1]})
+    return block
+
+
+def score(df: DataFrame, blocks: list[RuleSet], d: int, method: str = "winning", shifted: bool = False,
           no_fire: str = "majority", out: str = "prediction") -> DataFrame:
     """Append ``out`` (class 0.0/1.0), ``rule_id`` (winning rule, null when
     none) and ``md`` (its degree, or the winning class sum) to a prepared
     table (``_z*`` columns)."""
-    # plain dict of numpy arrays: broadcast values are unpickled without
-    # this package on the executor path
-    bc = df.sparkSession.sparkContext.broadcast(dict(rs.__dict__))
-    udf = _score_udf(bc, method, shifted, no_fire)
-    s = udf(*[F.col(zcol(j)) for j in range(d)])
-    return (df.withColumn("_s", s)
-              .withColumn(out, F.col("_s.prediction"))
-              .withColumn("rule_id", F.when(F.col("_s.rule_id") >= 0, F.col("_s.rule_id")))
-              .withColumn("md", F.col("_s.md"))
-              .drop("_s"))
-
-
-def score_sql(df: DataFrame, rules: DataFrame, d: int, n_labels: int, majority: float,
-              use_rw: bool, id_col: str, method: str = "winning", shifted: bool = False,
-              out: str = "prediction") -> DataFrame:
-    """Relational twin of :func:`score`: rows x broadcast(rules) -> per-row
-    arg-max (or per-class sums).  Needs a unique ``id_col``; returns
-    (id_col, out)."""
-    ants = [F.col(acol(j)) for j in range(d)]
-    vals = [F.col(zcol(j)) for j in range(d)]
-    protos = [F.col(f"proto_{j}") for j in range(d)] if shifted else None
-    md = matching_degree(ants, vals, n_labels, protos)
-    if use_rw:
-        md = md * F.col("rw")
-    r = rules.select("rule_id", "cls", "rw", *[acol(j) for j in range(d)],
-                     *[f"proto_{j}" for j in range(d)])
-    x = (df.select(id_col, *[zcol(j) for j in range(d)])
-           .crossJoin(F.broadcast(r)).select(id_col, "rule_id", "cls", md.alias("md")))
-    maj = F.lit(float(majority))
+    sc = df.sparkSession.sparkContext
+    zs = [F.col(zcol(j)) for j in range(d)]
+    state = None
+    for rs in blocks:
+        # plain dict of numpy arrays: broadcast values are unpickled without
+        # this package on the executor path
+        udf = _block_udf(sc.broadcast(dict(rs.__dict__)), method, shifted, state is None)
+        state = udf(*zs) if state is None else udf(*zs, state)
+    maj = F.lit(float(blocks[0].majority))
+    df = df.withColumn("_s", state)
     if method == "winning":
-        key = F.when(F.col("md") > 0, F.struct(F.col("md"), (-F.col("rule_id")).alias("r")))
-        g = x.groupBy(id_col).agg(F.max_by("cls", key).alias("_c"))
-        res = g.select(id_col, F.coalesce(F.col("_c"), maj).alias(out))
+        other = maj
+        if shifted and no_fire == "first_rule" and blocks[0].size:
+            other = F.lit(float(blocks[0].cls[0]))
+        fired = F.col("_s.rule_id") >= 0
+        df = (df.withColumn(out, F.when(fired, F.col("_s.cls")).otherwise(other))
+                .withColumn("rule_id", F.when(fired, F.col("_s.rule_id"))).withColumn("md", F.col("_s.md")))
     else:
-        g = x.groupBy(id_col).agg(
-            F.sum(F.when(F.col("cls") == 0, F.col("md")).otherwise(0.0)).alias("_s0"),
-            F.sum(F.when(F.col("cls") == 1, F.col("md")).otherwise(0.0)).alias("_s1"))
-        res = g.select(id_col, F.when(F.col("_s0") > F.col("_s1"), F.lit(0.0))
-                       .when(F.col("_s1") > F.col("_s0"), F.lit(1.0)).otherwise(maj).alias(out))
-    # rows not reached by the cross join (empty rule base) keep the default
-    return df.select(id_col).join(res, id_col, "left").select(
-        id_col, F.coalesce(F.col(out), maj).alias(out))
-
-
-def correct_flag(df: DataFrame, pred: str = "prediction") -> DataFrame:
-    return df.withColumn("correct", (F.col(pred) == F.col(Y)).cast("int"))
-
-
-def _fired_pairs(d: int, n: int):
-    """Array of (j, k) structs: every feature/label with positive membership
-    (at most two labels per feature), in feature order."""
-    from fuzzrule.functions.membership import trimf_col
-    from fuzzrule.functions.partition import triangle
-    parts = []
-    for j in range(d):
-        z = F.col(zcol(j))
-        for k in range(1, n + 1):
-            a, b, c = triangle(k, n)
-            mu = trimf_col(z, F.lit(a), F.lit(b), F.lit(c))
-            parts.append(F.when(mu > 0, F.struct(F.lit(j).alias("j"), F.lit(k).alias("k"))))
-    return F.filter(F.array(*parts), lambda p: p.isNotNull())
-
-
-def _combos(pairs, min_len: int, max_len: int):
-    """All combinations of 1..3 pairs with strictly increasing feature."""
-    c1 = F.transform(pairs, lambda p: F.array(p))
-    c2 = F.flatten(F.transform(pairs, lambda p: F.transform(
-        F.filter(pairs, lambda q: q["j"] > p["j"]), lambda q: F.array(p, q))))
-    c3 = F.flatten(F.transform(pairs, lambda p: F.flatten(F.transform(
-        F.filter(pairs, lambda q: q["j"] > p["j"]), lambda q: F.transform(
-            F.filter(pairs, lambda r: r["j"] > q["j"]), lambda r: F.array(p, q, r))))))
-    if max_len > 3:
-        raise ValueError("equi-join scoring supports max_length <= 3")
-    parts = [c for L, c in ((1, c1), (2, c2), (3, c3)) if min_len <= L <= max_len]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def score_equijoin(df: DataFrame, rules: DataFrame, d: int, n_labels: int, majority: float,
-                   use_rw: bool, method: str = "winning", shifted: bool = False,
-                   min_len: int = 1, max_len: int = 3, out: str = "prediction") -> DataFrame:
-    """Scoring without broadcasting the rule base, for rule bases above
-    ``max_broadcast_rules``.  A rule fires on a row only if each of its
-    antecedent labels has positive membership, and at most two labels per
-    feature do, so every row expands to at most sum C(d, L) 2^L candidate
-    antecedents; these are hash-joined to the rule table (shuffle on the
-    antecedent), degrees are computed on the joined rows, and a per-row
-    ``max_by`` (or per-class sums) picks the result.  Rows keep all input
-    columns; rows with no firing rule get the majority class.  With shifted
-    memberships a rule may fire outside the plain support, so shifted
-    scoring needs the broadcast strategies."""
-    if shifted:
-        raise ValueError("shifted memberships need the broadcast scoring strategies")
-    # Row ids are used on two branches (candidate keys, join back), so they
-    # are assigned once and written: a reliable checkpoint in the session's
-    # shared checkpoint folder keeps them fixed even if executors are lost.
-    from fuzzrule.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    combos = _combos(_fired_pairs(d, n_labels), min_len, max_len)
-    keys = rows.select("_rid", *[zcol(j) for j in range(d)], F.explode(combos).alias("_c"))
-    def label_of(j):
-        # one-argument lambda: Spark treats a two-argument one as (element, index)
-        hit = F.filter("_c", lambda p: p["j"] == F.lit(j))
-        return F.coalesce(F.try_element_at(hit, F.lit(1))["k"], F.lit(0)).alias(acol(j))
-
-    keys = keys.select("_rid", *[zcol(j) for j in range(d)], *[label_of(j) for j in range(d)])
-    r = rules.select("rule_id", "cls", "rw", *[acol(j) for j in range(d)])
-    x = keys.join(r, [acol(j) for j in range(d)])
-    md = matching_degree([F.col(acol(j)) for j in range(d)], [F.col(zcol(j)) for j in range(d)],
-                         n_labels)
-    if use_rw:
-        md = md * F.col("rw")
-    x = x.select("_rid", "rule_id", "cls", md.alias("_md"))
-    maj = F.lit(float(majority))
-    if method == "winning":
-        key = F.when(F.col("_md") > 0, F.struct(F.col("_md"), (-F.col("rule_id")).alias("r")))
-        g = x.groupBy("_rid").agg(F.max_by(F.struct("rule_id", "cls", "_md"), key).alias("_w"))
-        g = g.select("_rid", F.col("_w.rule_id").alias("_wid"), F.col("_w.cls").alias("_wc"),
-                     F.col("_w._md").alias("_wmd"))
-        res = rows.join(g, "_rid", "left")
-        return (res.withColumn(out, F.coalesce(F.col("_wc"), maj))
-                   .withColumn("rule_id", F.col("_wid"))
-                   .withColumn("md", F.coalesce(F.col("_wmd"), F.lit(0.0)))
-                   .drop("_wid", "_wc", "_wmd", "_rid"))
-    g = x.groupBy("_rid").agg(
-        F.sum(F.when(F.col("cls") == 0, F.col("_md")).otherwise(0.0)).alias("_s0"),
-        F.sum(F.when(F.col("cls") == 1, F.col("_md")).otherwise(0.0)).alias("_s1"))
-    res = rows.join(g, "_rid", "left").fillna(0.0, ["_s0", "_s1"])
-    return (res.withColumn(out, F.when(F.col("_s0") > F.col("_s1"), F.lit(0.0))
-                           .when(F.col("_s1") > F.col("_s0"), F.lit(1.0)).otherwise(maj))
-               .withColumn("rule_id", F.lit(None).cast("int"))
-               .withColumn("md", F.greatest("_s0", "_s1"))
-               .drop("_s0", "_s1", "_rid"))
+        gap = F.col("_s.s0") - F.col("_s.s1")
+        df = (df.withColumn(out, F.when(gap > SUM_TIE, F.lit(0.0)).when(gap < -SUM_TIE, F.lit(1.0)).otherwise(maj))
+                .withColumn("rule_id", F.lit(None).cast("int")).withColumn("md", F.greatest("_s.s0", "_s.s1")))
+    return df.drop("_s")

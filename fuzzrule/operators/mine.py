@@ -2,8 +2,8 @@
 
 Every cell rule is expanded to all its sub-rules that keep between
 ``min_length`` and ``max_length`` antecedents (the others become 0 = don't
-care).  The expansion is a cross join with a broadcast mask table (at most
-sum C(d, L) rows, computed on the driver from d alone), immediately folded
+care).  The expansion is a join with a broadcast table of feature subsets (at
+most sum C(d, L) rows, computed on the driver from d alone), immediately folded
 by a hash aggregate, so the expanded rows never hit a shuffle: partial
 aggregation runs in the same stage as the expansion and the shuffle carries
 at most (#distinct sub-antecedents x partitions) rows.  The number of
@@ -12,7 +12,10 @@ number of training rows.
 
 ``resolve_rules`` fuses the per-(antecedent, class) combine and the
 per-antecedent conflict resolution into a single aggregate keyed by the
-antecedent alone (class-conditional sums), i.e. one shuffle for both.
+antecedent alone (class-conditional sums).  A sub-rule carries its own
+antecedents and their coordinates only, so its state does not grow with the
+table's width; the other prototype coordinates are added by
+``complete_prototypes`` for the rules that need them.
 """
 
 from __future__ import annotations
@@ -38,10 +41,6 @@ def subset_masks(d: int, min_len: int, max_len: int) -> list[tuple[int, ...]]:
 
 def masks_frame(spark: SparkSession, d: int, params: RuleParams) -> DataFrame:
     masks = subset_masks(d, params.min_length, params.max_length)
-    if len(masks) > params.max_subrules_per_cell:
-        raise ValueError(
-            f"{len(masks)} sub-rules per cell rule for d={d}: select features first "
-            f"(use_fs=True) or lower max_length")
     schema = ", ".join(f"m{j} int" for j in range(d))
     return spark.createDataFrame(masks, schema)
 
@@ -80,38 +79,59 @@ def sub_rules(cells: DataFrame, d: int, params: RuleParams) -> DataFrame:
     return g.select(*cols)
 
 
-def resolve_rules(cells: DataFrame, d: int, params: RuleParams, majority: float) -> DataFrame:
+def _subsets(cells: DataFrame, d: int, params: RuleParams) -> DataFrame:
+    """Every cell with every feature subset: ``_feat`` (positions), ``_lab``
+    (their labels), class, supports, and the prototypes as arrays."""
+    rows = [([j for j in range(d) if m[j]],) for m in subset_masks(d, params.min_length, params.max_length)]
+    subsets = cells.sparkSession.createDataFrame(rows, "_feat array<int>")
+    x = cells.select("cls", "sp1", "sp2", F.array(*[acol(j) for j in range(d)]).alias("_a"),
+                     F.array(*[f"p1_{j}" for j in range(d)]).alias("_p1"),
+                     F.array(*[f"p2_{j}" for j in range(d)]).alias("_p2"))
+    x = x.crossJoin(F.broadcast(subsets))  # sized by d and the lengths alone
+    return x.withColumn("_lab", F.transform("_feat", lambda j: F.col("_a")[j]))
+
+
+def resolve_rules(cells: DataFrame, d: int, params: RuleParams, majority: float,
+                  complete: bool = True) -> DataFrame:
     """One rule per sub-antecedent.  Where both classes claim it, each
     class's prototype is matched against the antecedent; the weight of class
     0 is (m0 - m1) / (m0 + m1) and the class with the positive weight wins.
     |weight| <= tie_eps (or no match at all) is a tie: majority class, RW 0.
 
     Output: ``a*``, ``cls``, ``rw``, ``sup``, ``conf``, ``s1``, ``s2``,
-    ``proto_{j}``, ``len``."""
-    n = params.n_labels
-    x = _expand(cells, d, params)
+    ``proto_{j}``, ``len`` (and ``_feat``, ``_lab``, the antecedent as lists).
+    Without ``complete``, only a rule's own prototype coordinates are set."""
+    n, longest = params.n_labels, min(params.max_length, d)
+    x = _subsets(cells, d, params)
+    own = range(longest)
+    # coordinate t of the subset; null beyond its length
+    at = [F.try_element_at("_feat", F.lit(t + 1)) for t in own]
+    x = x.select("_feat", "_lab", "cls", "sp1", "sp2",
+                 *[(F.col("_p1")[at[t]] * F.col("sp1")).alias(f"w1_{t}") for t in own],
+                 *[(F.col("_p2")[at[t]] * F.col("sp2")).alias(f"w2_{t}") for t in own])
     aggs = []
     for c in (0, 1):
         isc = F.col("cls") == float(c)
         aggs += [F.sum(F.when(isc, F.col("sp1"))).alias(f"s1_{c}"),
                  F.sum(F.when(isc, F.col("sp2"))).alias(f"s2_{c}"),
                  F.count_if(isc).alias(f"nc_{c}")]
-        aggs += [F.sum(F.when(isc, F.col(f"w1_{j}"))).alias(f"W1_{c}_{j}") for j in range(d)]
-        aggs += [F.sum(F.when(isc, F.col(f"w2_{j}"))).alias(f"W2_{c}_{j}") for j in range(d)]
-    g = x.groupBy(*[acol(j) for j in range(d)]).agg(*aggs)
-
-    ants = [F.col(acol(j)) for j in range(d)]
-    q1 = {c: [_ratio(F.col(f"W1_{c}_{j}"), F.col(f"s1_{c}")) for j in range(d)] for c in (0, 1)}
-    q2 = {c: [F.when(F.col(f"s2_{c}") > 0, _ratio(F.col(f"W2_{c}_{j}"), F.col(f"s2_{c}")))
-              .when(F.col(f"nc_{c}") == 1, q1[c][j]) for j in range(d)] for c in (0, 1)}
-    m0 = matching_degree(ants, q1[0], n)
-    m1 = matching_degree(ants, q1[1], n)
-    g = g.withColumns({"_m0": m0, "_m1": m1})
+        aggs += [F.sum(F.when(isc, F.col(f"w{k}_{t}"))).alias(f"W{k}_{c}_{t}") for k in (1, 2) for t in own]
+    g = x.groupBy("_feat", "_lab").agg(*aggs)
+    for c in (0, 1):
+        g = g.withColumns({f"q1_{c}_{t}": _ratio(F.col(f"W1_{c}_{t}"), F.col(f"s1_{c}")) for t in own})
+        g = g.withColumns({f"q2_{c}_{t}": F.when(F.col(f"s2_{c}") > 0, _ratio(F.col(f"W2_{c}_{t}"), F.col(f"s2_{c}")))
+                           .when(F.col(f"nc_{c}") == 1, F.col(f"q1_{c}_{t}")) for t in own})
+    labels = [F.coalesce(F.try_element_at("_lab", F.lit(t + 1)), F.lit(0)) for t in own]
+    g = g.withColumns({f"_m{c}": matching_degree(labels, [F.col(f"q1_{c}_{t}") for t in own], n) for c in (0, 1)})
     has0, has1 = F.col("nc_0") > 0, F.col("nc_1") > 0
     both = has0 & has1
     rw0 = _ratio(F.col("_m0") - F.col("_m1"), F.col("_m0") + F.col("_m1"))
-    tie = both & (rw0.isNull() | (F.abs(rw0) <= F.lit(params.tie_eps)))
-    win0 = (F.when(~both, has0).when(tie, F.lit(majority == 0.0)).otherwise(rw0 > 0))
+    g = g.withColumns({"_both": both, "_rw0": rw0})
+    both, rw0 = F.col("_both"), F.col("_rw0")
+    g = g.withColumn("_tie", both & (rw0.isNull() | (F.abs(rw0) <= F.lit(params.tie_eps))))
+    tie = F.col("_tie")
+    g = g.withColumn("_win0", F.when(~both, has0).when(tie, F.lit(majority == 0.0)).otherwise(rw0 > 0))
+    win0 = F.col("_win0")
 
     def pick(name):
         return F.when(win0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1"))
@@ -119,19 +139,42 @@ def resolve_rules(cells: DataFrame, d: int, params: RuleParams, majority: float)
     s1w, s2w = pick("s1"), pick("s2")
     conf_single = _ratio(s1w, s1w + s2w)
     conf_conflict = _ratio(s1w, F.col("s1_0") + F.col("s1_1"))
-    proto_src = q2 if params.prototype == "second" else q1
-    cols = ants + [
+    q = "q2" if params.prototype == "second" else "q1"
+    proto = F.slice(F.array(*[F.when(win0, F.col(f"{q}_0_{t}")).otherwise(F.col(f"{q}_1_{t}")) for t in own]),
+                    F.lit(1), F.size("_feat"))
+    rules = g.select(
+        "_feat", "_lab", F.map_from_arrays("_feat", "_lab").alias("_ant"), F.map_from_arrays("_feat", proto).alias("_proto"),
         F.when(win0, F.lit(0.0)).otherwise(F.lit(1.0)).alias("cls"),
         F.when(~both, conf_single).when(tie, F.lit(0.0)).otherwise(F.abs(rw0)).alias("rw"),
         s1w.alias("sup"),
         F.when(~both, conf_single).otherwise(conf_conflict).alias("conf"),
         s1w.alias("s1"), s2w.alias("s2"),
-        both.alias("conflict"),
-    ]
-    cols += [F.when(win0, proto_src[0][j]).otherwise(proto_src[1][j]).alias(f"proto_{j}")
-             for j in range(d)]
-    cols.append(sum((F.col(acol(j)) != 0).cast("int") for j in range(d)).alias("len"))
-    return g.select(*cols)
+        both.alias("conflict"), F.size("_feat").alias("len"))
+    rules = rules.select(
+        *[F.coalesce(F.try_element_at("_ant", F.lit(j)), F.lit(0)).alias(acol(j)) for j in range(d)],
+        "cls", "rw", "sup", "conf", "s1", "s2", "conflict",
+        *[F.try_element_at("_proto", F.lit(j)).alias(f"proto_{j}") for j in range(d)], "len", "_feat", "_lab")
+    return complete_prototypes(rules, cells, d, params) if complete else rules
+
+
+def complete_prototypes(rules: DataFrame, cells: DataFrame, d: int, params: RuleParams) -> DataFrame:
+    """``rules`` with all d prototype coordinates: the cells are joined again
+    with the given rules and summed per (rule, coordinate)."""
+    key = ["_feat", "_lab"]
+    x = _subsets(cells, d, params).join(rules.select(*key, "cls"), [*key, "cls"])
+    long = x.select(*key, "sp1", "sp2", F.posexplode(F.arrays_zip("_p1", "_p2")).alias("j", "p"))
+    sums = long.groupBy(*key, "j").agg(
+        F.sum("sp1").alias("s1"), F.sum("sp2").alias("s2"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.col("p._p1") * F.col("sp1")).alias("w1"), F.sum(F.col("p._p2") * F.col("sp2")).alias("w2"))
+    q1 = _ratio(F.col("w1"), F.col("s1"))
+    q2 = F.when(F.col("s2") > 0, _ratio(F.col("w2"), F.col("s2"))).when(F.col("k") == 1, q1)
+    # d entries per rule
+    full = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(
+        "j", (q2 if params.prototype == "second" else q1).alias("q")))).alias("_proto"))
+    rest = [c for c in rules.columns if not c.startswith("proto_")]
+    out = rules.select(*rest).join(full, key)
+    first = [c for c in rules.columns if c not in key]
+    return out.withColumns({f"proto_{j}": F.try_element_at("_proto", F.lit(j)) for j in range(d)}).select(*first)
 
 
 def _ant_order(d: int):
@@ -146,7 +189,8 @@ def class_positions(rules: DataFrame, d: int) -> DataFrame:
     (cls, conf) gives, for every confidence value, how many rules of the
     class sit strictly below it; only rules sharing one confidence value
     need a window (partitioned by (cls, conf)).  The histogram has at most
-    one row per distinct confidence and is broadcast."""
+    one row per distinct confidence (Spark broadcasts it only while it is
+    below its own size threshold)."""
     hist = rules.groupBy("cls", "conf").agg(F.count(F.lit(1)).alias("_k"))
     w_cls = Window.partitionBy("cls")
     w_cum = Window.partitionBy("cls").orderBy("conf").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +200,7 @@ def class_positions(rules: DataFrame, d: int) -> DataFrame:
                 .withColumn("_n", F.sum("_k").over(w_cls))
                 .crossJoin(n0))
     w_tie = Window.partitionBy("cls", "conf").orderBy(*_ant_order(d))
-    return (rules.join(F.broadcast(hist.select("cls", "conf", "_below", "_n", "_n0")), ["cls", "conf"])
+    return (rules.join(hist.select("cls", "conf", "_below", "_n", "_n0"), ["cls", "conf"])
                  .withColumn("_pos", F.col("_below") + F.row_number().over(w_tie) - 1)
                  .drop("_below"))
 
@@ -188,7 +232,7 @@ def rank_filter_class_length(rules: DataFrame, d: int) -> DataFrame:
     hist = (hist.withColumn("_above", F.coalesce(F.sum("_k").over(w_above), F.lit(0)))
                 .withColumn("_n", F.sum("_k").over(w_grp)))
     w_tie = Window.partitionBy(*keys, "conf").orderBy(*_ant_order(d))
-    return (rules.join(F.broadcast(hist.select(*keys, "conf", "_above", "_n")), [*keys, "conf"])
+    return (rules.join(hist.select(*keys, "conf", "_above", "_n"), [*keys, "conf"])
                  .withColumn("_pos", F.col("_above") + F.row_number().over(w_tie) - 1)
                  .filter(F.col("_pos") <= F.floor(F.col("_n") / 2))
                  .drop("_above", "_n", "_pos"))

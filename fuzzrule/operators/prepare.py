@@ -60,6 +60,13 @@ def split_columns(df: DataFrame, label: str | None = None,
     return numeric, cats, label
 
 
+def finite(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """Floating-point features with NaN and infinity as null (missing)."""
+    floats = [c for c in numeric if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    # NaN sorts above infinity, so one comparison leaves both out
+    return df.withColumns({c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in floats}) if floats else df
+
+
 @dataclass
 class Preparer:
     """Fitted preparation: index maps, min/max and class facts."""
@@ -109,6 +116,7 @@ class Preparer:
                  if isinstance(df.schema[c].dataType, T.BooleanType)]
         if bools:
             df = df.withColumns({c: F.col(c).cast("int") for c in bools})
+        df = finite(df, self.numeric)
         m = self._cat_model()
         if m is not None:
             df = m.transform(df)
@@ -128,16 +136,20 @@ class Preparer:
         return (df_col.cast("double") - F.lit(lo)) / F.lit(hi - lo)
 
     def transform(self, df: DataFrame, keep: list[str] | None = None,
-                  arrays: bool = False) -> DataFrame:
+                  arrays: bool = False, training: bool = False) -> DataFrame:
         """Project to ``keep`` + ``_z*`` + ``_l*`` (+ ``_y`` when the class
-        column is present).  ``arrays`` also adds ``features_arr``/``labels``."""
-        df = self.index(df)
-        names = self.feature_names
-        for c in names:
-            df = df.filter(F.col(c).isNotNull())
+        column is present).  ``arrays`` also adds ``features_arr``/``labels``.
+        A missing number (null, NaN, infinite) stays null here; ``training``
+        leaves such rows out, as the fit does."""
         keep = list(keep) if keep is not None else []
+        # kept columns come out as they came in
+        df = self.index(df.withColumns({f"__keep_{c}": F.col(c) for c in keep if c in self.numeric}))
+        names = self.feature_names
+        if training:
+            for c in names:
+                df = df.filter(F.col(c).isNotNull())
         z = [self.scaled(j, F.col(c)).alias(zcol(j)) for j, c in enumerate(names)]
-        cols = [F.col(c) for c in keep] + z
+        cols = [F.col(f"__keep_{c}").alias(c) if c in self.numeric else F.col(c) for c in keep] + z
         if Y in df.columns:
             cols.append(F.col(Y))
         out = df.select(*cols)
@@ -206,7 +218,7 @@ def _fit_numeric(df: DataFrame, numeric: list[str], label: str, n_labels: int) -
     from a single aggregate grouped by the class value (at most 3 groups
     reach the driver).  Same order as the indexer: count desc, then value."""
     cls = F.col(label).cast("string")
-    rows = df.filter(cls.isNotNull())
+    rows = finite(df.filter(cls.isNotNull()), numeric)
     for c in numeric:
         rows = rows.filter(F.col(c).isNotNull())
     aggs = [F.count(F.lit(1)).alias("n")]

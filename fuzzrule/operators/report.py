@@ -57,22 +57,25 @@ def ant_key(d: int):
     return F.concat_ws("|", *[F.col(acol(j)).cast("string") for j in range(d)])
 
 
-def average_rule_length(rules: DataFrame) -> DataFrame:
-    return rules.agg(F.round(F.avg("len"), 2).alias("avg_rule_length"))
-
-
-def rule_summary(rules: DataFrame) -> DataFrame:
-    """Per class: rule count, correct wins, confidence and support range,
-    average length, and the rule with the largest n_correct / support."""
-    ratio = F.try_divide(F.col("n_correct").cast("double"), F.col("sup"))
-    return (rules.groupBy("cls").agg(
+def rule_summary(rules: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Per class: rule count, correct wins, confidence and support range and
+    average length; and the four figures (correct wins, wins, support, correct
+    wins / support) of the rule with the largest support among ``before``, the
+    winning rules before selection (default: ``rules``); ties: smaller id."""
+    before = rules if before is None else before
+    out = rules.groupBy("cls").agg(
         F.count(F.lit(1)).alias("n_rules"),
         F.sum("n_correct").alias("n_correct"),
         F.sum("n_win").alias("n_win"),
         F.min("conf").alias("min_conf"), F.max("conf").alias("max_conf"),
         F.min("sup").alias("min_sup"), F.max("sup").alias("max_sup"),
-        F.avg("len").alias("avg_len"),
-        F.max_by("rule_id", F.struct(ratio, -F.col("rule_id"))).alias("best_rule_id")))
+        F.avg("len").alias("avg_len"))
+    top = before.groupBy("cls").agg(F.max(F.struct(
+        "sup", (-F.col("rule_id")).alias("r"), "n_correct", "n_win")).alias("t"))
+    top = top.select("cls", F.col("t.n_correct").alias("top_correct"), F.col("t.n_win").alias("top_win"),
+                     F.col("t.sup").alias("top_sup"),
+                     F.try_divide(F.col("t.n_correct").cast("double"), F.col("t.sup")).alias("top_ratio"))
+    return out.join(top, "cls", "left")
 
 
 def rule_funnel(spark: SparkSession, counts: list[tuple[str, int]]) -> DataFrame:

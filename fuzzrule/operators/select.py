@@ -224,7 +224,7 @@ def select_features(df: DataFrame, features: list[str], label: str,
     """MDLP on the scaled features, then mRMR picks ceil(d * rate) of them;
     returns the chosen feature names in their original order."""
     prep = fit_preparer(df, params.n_labels, label, features)
-    z = prep.transform(df, keep=[]).persist()
+    z = prep.transform(df, keep=[], training=True).persist()
     zc = [zcol(j) for j in range(prep.d)]
     cuts = mdlp_cuts(z, zc, Y, params.mdlp_max_bins)
     binned = discretize(z, zc, cuts).persist()

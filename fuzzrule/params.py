@@ -8,8 +8,7 @@ to the same value so a single ``rate`` still reproduces old runs.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, replace
-from math import comb
+from dataclasses import asdict, dataclass
 
 _INFERENCE_ALIASES = {
     "winning": "winning",
@@ -17,7 +16,7 @@ _INFERENCE_ALIASES = {
     "winning_rule": "winning",
     "aggregation": "aggregation",
     "class_aggregation": "aggregation",
-    "class_aggrigation": "aggregation",
+    "class_aggrigation": "aggregation",  # fixed value: spelt so by old runs
 }
 
 
@@ -40,14 +39,10 @@ class RuleParams:
     selection: str = "precision"       # "precision" | "gm"
     prototype: str = "second"          # "second" (as stored) | "first" (winner mean)
     no_fire: str = "majority"          # tuned winning rule when nothing fires
-    scoring: str = "auto"              # "auto" | "pandas" | "join"
-    max_broadcast_rules: int = 200_000  # above: scoring by equi-join on antecedents
-    max_subrules_per_cell: int = 50_000  # guard against the subset blow-up
+    block_rules: int = 50_000          # rules broadcast together when scoring
     tie_eps: float = 1e-9              # |RW| below this is a class tie
     persist_input: bool = True         # cache the narrow feature table (else re-scan)
     mdlp_max_bins: int = 10
-    mdlp_max_candidates: int = 10_000
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def __post_init__(self):
         if self.n_labels < 2:
@@ -56,13 +51,14 @@ class RuleParams:
         if inf is None:
             raise ValueError(f"unknown inference method {self.inference!r}")
         object.__setattr__(self, "inference", inf)
+        if self.block_rules < 1:
+            raise ValueError("block_rules must be at least 1")
         if not 1 <= self.min_length <= self.max_length:
             raise ValueError("need 1 <= min_length <= max_length")
         for name, allowed in (("rank_by", {"class", "class_length"}),
                               ("selection", {"precision", "gm"}),
                               ("prototype", {"second", "first"}),
-                              ("no_fire", {"majority", "first_rule"}),
-                              ("scoring", {"auto", "pandas", "join"})):
+                              ("no_fire", {"majority", "first_rule"})):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {sorted(allowed)}")
 
@@ -78,22 +74,8 @@ class RuleParams:
     def step(self) -> float:
         return self.rate if self.step_rate is None else self.step_rate
 
-    def n_subsets(self, d: int) -> int:
-        """Sub-rules produced per cell rule: sum of C(d, L) over the lengths."""
-        return sum(comb(d, k) for k in range(self.min_length, min(self.max_length, d) + 1))
-
-    def max_rule_space(self, d: int) -> int:
-        """Upper bound on distinct sub-rule antecedents, independent of data size."""
-        return sum(comb(d, k) * self.n_labels ** k
-                   for k in range(self.min_length, min(self.max_length, d) + 1))
-
-    def with_(self, **kw) -> "RuleParams":
-        return replace(self, **kw)
-
     def to_dict(self) -> dict:
-        out = asdict(self)
-        out.pop("extra", None)
-        return out
+        return asdict(self)
 
 
 def params_from_args(args: list[str]) -> RuleParams:

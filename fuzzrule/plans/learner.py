@@ -5,10 +5,9 @@ mine + resolve -> rank filter -> score training rows -> drop rules that
 never win -> selection, as one DataFrame lineage with a few explicit
 persist points (the fuzzified training table, which is read twice, and the
 small rule tables).  The driver only receives scalars (counts, min/max,
-index maps) and the final rule base, whose size is checked against
-``max_broadcast_rules`` before it is collected for broadcasting.
+index maps) and the rule base in blocks of ``block_rules`` for broadcasting.
 
-``RuleModel.transform`` is a projection plus a pandas UDF: no shuffle.
+``RuleModel.transform`` is a projection plus pandas UDFs: no shuffle.
 The ``pyspark.ml`` classes at the bottom wrap both for ``Pipeline`` use.
 """
 
@@ -18,7 +17,6 @@ import json
 import time
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +24,13 @@ from pyspark.sql import functions as F
 
 from fuzzrule.functions.membership import round_at
 from fuzzrule.operators.cells import acol, cell_rules, support_filter, support_threshold
-from fuzzrule.operators.infer import RuleSet, score, score_equijoin, score_sql
-from fuzzrule.operators.mine import rank_filter, resolve_rules
-from fuzzrule.operators.prepare import Preparer, fit_preparer, zcol
+from fuzzrule.operators.infer import RuleSet, score
+from fuzzrule.operators.mine import complete_prototypes, rank_filter, resolve_rules
+from fuzzrule.operators.prepare import Preparer, fit_preparer, lcol, zcol
 from fuzzrule.operators.prune import attach_wins, drop_unused, precision_select, win_counts
 from fuzzrule.operators.report import ant_key, metrics_dict, rule_text
 from fuzzrule.params import RuleParams
-from fuzzrule.session import ensure_checkpoint_dir, spread
+from fuzzrule.session import ensure_checkpoint_dir
 
 _MEM_DISK = StorageLevel.MEMORY_AND_DISK
 
@@ -61,7 +59,7 @@ class RuleModel:
         self.params = params
         self.rules = rules
         self.trace = trace or FitTrace()
-        self._ruleset: RuleSet | None = None
+        self._blocks: list[RuleSet] | None = None
 
     @property
     def d(self) -> int:
@@ -77,44 +75,28 @@ class RuleModel:
             self._n_rules = self.rules.count()
         return self._n_rules
 
-    def use_broadcast(self) -> bool:
-        """Broadcast scoring only for a rule base within the checked bound."""
-        if self.params.scoring == "join":
-            return False
-        return self.n_rules <= self.params.max_broadcast_rules
-
     @property
-    def ruleset(self) -> RuleSet:
-        if self._ruleset is None:
-            self._ruleset = RuleSet.from_frame(self.rules, self.d, self.params.n_labels,
-                                               self.majority, self.params.use_rw,
-                                               self.params.max_broadcast_rules)
-        return self._ruleset
+    def blocks(self) -> list[RuleSet]:
+        if self._blocks is None:
+            self._blocks = RuleSet.blocks(self.rules, self.d, self.params.n_labels, self.majority,
+                                          self.params.use_rw, self.params.block_rules)
+        return self._blocks
 
     def prepare(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         return self.prep.transform(df, keep=keep)
 
     def transform(self, df: DataFrame, keep: list[str] | None = None, method: str | None = None,
                   shifted: bool | None = None, out: str = "prediction") -> DataFrame:
-        """Prepared rows (``keep`` + internals) with ``out``, ``rule_id``, ``md``."""
+        """``keep`` (default: all columns) with ``out``, ``rule_id``, ``md``, and the
+        class index ``_y`` where the class column is given.  Rows with a missing
+        number are kept; rows with an unseen or null category are left out."""
         method = RuleParams(inference=method).inference if method else self.params.inference
         shifted = self.params.tuning if shifted is None else shifted
         if keep is None:
             keep = [c for c in df.columns]
-        prepared = self.prep.transform(spread(df), keep=keep)
-        if not self.use_broadcast() and not shifted:
-            p = self.params
-            return score_equijoin(prepared, self.rules, self.d, p.n_labels, self.majority,
-                                  p.use_rw, method, False, p.min_length, p.max_length, out)
-        return score(prepared, self.ruleset, self.d, method, shifted, self.params.no_fire, out)
-
-    def transform_sql(self, df: DataFrame, id_col: str, method: str | None = None,
-                      shifted: bool | None = None, out: str = "prediction") -> DataFrame:
-        method = RuleParams(inference=method).inference if method else self.params.inference
-        shifted = self.params.tuning if shifted is None else shifted
-        prepared = self.prep.transform(df, keep=[id_col])
-        return score_sql(prepared, self.rules, self.d, self.params.n_labels, self.majority,
-                         self.params.use_rw, id_col, method, shifted, out)
+        prepared = self.prep.transform(df, keep=keep)
+        scored = score(prepared, self.blocks, self.d, method, shifted, self.params.no_fire, out)
+        return scored.drop(*[c for j in range(self.d) for c in (zcol(j), lcol(j)) if c not in keep])
 
     def evaluate(self, df: DataFrame, **kw) -> dict:
         return metrics_dict(self.transform(df, keep=[], **kw))
@@ -181,12 +163,12 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     # persist_input=False each pass re-scans the (column-pruned) source
     # instead, for sources that are cheaper to re-read than to cache.
     numeric, cats, label = _roles(df, label, features, exclude)
-    narrow = spread(df.select(*numeric, *cats, label))
+    narrow = df.select(*numeric, *cats, label)
     if params.persist_input:
         narrow = narrow.persist(_MEM_DISK)
     prep = fit_preparer(narrow, params.n_labels, label, numeric + cats)
     d, maj = prep.d, prep.majority
-    fz = prep.transform(narrow, keep=[])
+    fz = prep.transform(narrow, keep=[], training=True)
     t = _timed(trace, "prepare", t)
 
     cells = cell_rules(fz, d, maj).persist(_MEM_DISK)
@@ -202,7 +184,7 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     trace.funnel.append(("support_filtered", n_filtered))
     t = _timed(trace, "cells", t)
 
-    resolved = resolve_rules(cells, d, params, maj).persist(_MEM_DISK)
+    resolved = resolve_rules(cells, d, params, maj, complete=False).persist(_MEM_DISK)
     trace.funnel.append(("mined", resolved.count()))
     trace.resolved = resolved
     t = _timed(trace, "mine", t)
@@ -213,14 +195,8 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     trace.ranked = ranked
     t = _timed(trace, "rank", t)
 
-    if params.scoring == "join" or n_ranked > params.max_broadcast_rules:
-        # rule base above the broadcast bound: equi-join on fired antecedents
-        scored = score_equijoin(fz, ranked, d, params.n_labels, maj, params.use_rw, "winning",
-                                False, params.min_length, params.max_length)
-    else:
-        rs = RuleSet.from_frame(ranked, d, params.n_labels, maj, params.use_rw,
-                                params.max_broadcast_rules, known_count=n_ranked)
-        scored = score(fz, rs, d, "winning")
+    blocks = RuleSet.blocks(ranked, d, params.n_labels, maj, params.use_rw, params.block_rules, n_ranked)
+    scored = score(fz, blocks, d, "winning")
     wins = win_counts(scored)
     with_wins = attach_wins(ranked, wins).persist(_MEM_DISK)
     trace.with_wins = with_wins
@@ -235,7 +211,7 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     else:
         selected = precision_select(used, params.precision)
     # selected rules keep their rank-list ids: same order, no renumbering pass
-    final = selected.checkpoint(eager=True)
+    final = complete_prototypes(selected, cells, d, params).checkpoint(eager=True)
     trace.funnel.append(("selected", final.count()))
     _timed(trace, "prune", t)
     narrow.unpersist()
@@ -247,12 +223,6 @@ def _roles(df, label, features, exclude):
     return split_columns(df, label, features, exclude)
 
 
-def rules_to_pandas(model: RuleModel) -> pd.DataFrame:
-    cols = ["rule_id", "cls", "rw", "sup", "conf", "n_win", "n_correct", "len"] + \
-           [acol(j) for j in range(model.d)]
-    return model.rules.select(*cols).orderBy("rule_id").toPandas()
-
-
 # ------------------------------------------------------- pyspark.ml surface
 
 class FuzzyRuleClassifierModel(Model):
@@ -347,17 +317,19 @@ def tree_baseline(train: DataFrame, test: DataFrame, label: str | None = None,
                   features: list[str] | None = None, keep: list[str] | None = None,
                   seed: int = 7):
     """Decision-tree baseline on the same prepared features; returns
-    (train predictions, test predictions, train accuracy, test accuracy)."""
+    (train predictions, test predictions, train accuracy, test accuracy);
+    the last is None for a test table without the class.  Rows with a missing
+    feature are not trained on, and not predicted."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
     prep = fit_preparer(train, 3, label, features)
     va = VectorAssembler(inputCols=[zcol(j) for j in range(prep.d)], outputCol="features_vec")
-    tr = va.transform(prep.transform(train, keep=keep or []))
-    te = va.transform(prep.transform(test, keep=keep or []))
+    tr = va.transform(prep.transform(train, keep=keep or [], training=True))
+    te = va.transform(prep.transform(test, keep=keep or [], training=True))
     dt = DecisionTreeClassifier(labelCol="_y", featuresCol="features_vec", seed=seed).fit(tr)
     ev = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="prediction",
                                            metricName="accuracy")
     ptr, pte = dt.transform(tr), dt.transform(te)
-    return ptr, pte, ev.evaluate(ptr), ev.evaluate(pte)
+    return ptr, pte, ev.evaluate(ptr), ev.evaluate(pte) if "_y" in pte.columns else None

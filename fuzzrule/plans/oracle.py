@@ -17,12 +17,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from fuzzrule.functions.membership import STABLE_OFFSET
-from fuzzrule.functions.partition import cut_points, width
-from fuzzrule.operators.mine import subset_masks
-from fuzzrule.operators.prune import RELAX_STEP
+from itertools import combinations
+
 from fuzzrule.params import RuleParams
 
+# the constants of the method, stated here again so that an error in the
+# engine's cannot hide
+STABLE_OFFSET = 0.5123
+RELAX_STEP = 0.1
+
+
+def width(n: int) -> float:
+    """Distance of the centres of n evenly spaced triangles on 0..1."""
+    return 1 / (n - 1)
+
+
+def cut_points(n: int) -> list[float]:
+    """Halfway between centres; the outer ones a tenth beyond the range."""
+    return [-0.1] + [(2 * k - 1) / (2 * (n - 1)) for k in range(1, n)] + [1.1]
+
+
+def subset_masks(d: int, least: int, most: int) -> list[list[int]]:
+    return [[int(j in pick) for j in range(d)] for k in range(least, min(d, most) + 1)
+            for pick in combinations(range(d), k)]
+
 
 def dbl(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
@@ -35,6 +53,7 @@ class Dataset:
     n_num: int
     n_cat: int
     has_id: bool
+    score: str | None = None   # all rows to score (no ystr); default: select
 
 
 LINEITEM = Dataset(
@@ -43,27 +62,36 @@ LINEITEM = Dataset(
     "l_discount AS x2, l_tax AS x3, CAST(l_linestatus AS VARCHAR) AS ystr FROM lineitem",
     4, 0, False)
 
-DOCUMENTS = Dataset(
-    "documents",
-    "SELECT d.doc_id AS rid, d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS x0, "
-    "CAST(length(d.text) - length(replace(d.text, chr(10), '')) + 1 AS DOUBLE) AS x1, "
-    "CAST(length(regexp_replace(d.text, '[^A-Z]', '', 'g')) AS DOUBLE) "
-    "/ CAST(greatest(length(d.text), 1) AS DOUBLE) AS x2, "
-    "CAST(len(list_distinct(regexp_extract_all(d.text, '\\w+'))) AS DOUBLE) "
-    "/ CAST(greatest(len(regexp_extract_all(d.text, '\\w+')), 1) AS DOUBLE) AS x3, "
-    "d.lang AS c0, CAST(l.quality AS VARCHAR) AS ystr "
-    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
-    4, 1, True)
-
+def _documents(n_chars: str, upper: str, lang: str) -> str:
+    return (
+        f"SELECT d.doc_id AS rid, d.doc_id AS id, CAST({n_chars} AS DOUBLE) AS x0, "
+        "CAST(length(d.text) - length(replace(d.text, chr(10), '')) + 1 AS DOUBLE) AS x1, "
+        f"{upper} AS x2, "
+        "CAST(len(list_distinct(regexp_extract_all(d.text, '\\w+'))) AS DOUBLE) "
+        "/ CAST(greatest(len(regexp_extract_all(d.text, '\\w+')), 1) AS DOUBLE) AS x3, "
+        f"{lang} AS c0")
+
+
+_UPPER = ("CAST(length(regexp_replace(d.text, '[^A-Z]', '', 'g')) AS DOUBLE) "
+          "/ CAST(greatest(length(d.text), 1) AS DOUBLE)")
+_LABELLED = ", CAST(l.quality AS VARCHAR) AS ystr FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+_PLAIN = _documents("d.n_chars", _UPPER, "d.lang")
+DOCUMENTS = Dataset("documents", _PLAIN + _LABELLED, 4, 1, True, _PLAIN + " FROM documents d")
+
+# missing numbers are null here, whether null or NaN in the table
+_M_CHARS = "CASE WHEN d.doc_id % 7 <> 0 THEN d.n_chars END"
+_M_UPPER = f"CASE WHEN d.doc_id % 11 <> 0 THEN {_UPPER} END"
+MISSING = Dataset("missing", _documents(_M_CHARS, _M_UPPER, "d.lang") + _LABELLED, 4, 1, True,
+                  _documents(_M_CHARS, _M_UPPER, "CASE WHEN d.doc_id % 13 = 0 THEN 'xx' ELSE d.lang END")
+                  + " FROM documents d")
+
+_DIMS = ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS x{j}" for j in range(64))
 EMBEDDINGS = Dataset(
     "embeddings",
-    "SELECT vec_id AS rid, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x0, "
-    "CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2, "
-    "CAST(embedding[4] AS DOUBLE) AS x3, "
-    "CAST(CAST(label < 5 AS INTEGER) AS VARCHAR) AS ystr FROM embeddings",
-    4, 0, True)
+    f"SELECT vec_id AS rid, vec_id AS id, {_DIMS}, CAST(CAST(label < 5 AS INTEGER) AS VARCHAR) AS ystr FROM embeddings",
+    64, 0, True)
 
-DATASETS = {"L": LINEITEM, "D": DOCUMENTS, "E": EMBEDDINGS}
+DATASETS = {"L": LINEITEM, "D": DOCUMENTS, "E": EMBEDDINGS, "M": MISSING}
 
 
 def trimf_sql(z: str, a: str, b: str, c: str) -> str:
@@ -165,13 +193,17 @@ class SqlChain:
         self.index()
         src = self.src()
         base = self.train(src) if which == "train" else src
-        name = "prep" if which == "train" else "prep_all"
+        name = {"train": "prep", "all": "prep_all", "score": "prep_score"}[which]
+        if which == "score":
+            base = self.add("src_score", self.ds.score or self.ds.select)
         cols = ["s.rid"] + (["s.id"] if self.ds.has_id else [])
         cols += [f"CAST(s.x{j} AS DOUBLE) AS f{j}" for j in range(self.ds.n_num)]
         cols += [f"ci{k}.idx AS f{self.ds.n_num + k}" for k in range(self.ds.n_cat)]
-        cols += ["yi.idx AS y"]
+        cols += ["yi.idx AS y"] if which != "score" else ["NULL AS y"]
         joins = " ".join(f"JOIN {self.t(f'cidx{k}')} ci{k} ON s.c{k} = ci{k}.v" for k in range(self.ds.n_cat))
         notnull = " AND ".join([f"s.x{j} IS NOT NULL" for j in range(self.ds.n_num)] or ["TRUE"])
+        if which == "score":  # a missing number has membership 0
+            return self.add(name, f"SELECT {', '.join(cols)} FROM {base} s {joins}")
         return self.add(name, f"SELECT {', '.join(cols)} FROM {base} s {joins} "
                               f"JOIN {self.t('yidx')} yi ON s.ystr = yi.v WHERE {notnull}")
 
@@ -187,7 +219,7 @@ class SqlChain:
     def fuzzified(self, which: str = "train") -> str:
         self.stats()
         prep = self.prepared(which)
-        name = "fz" if which == "train" else "fz_all"
+        name = {"train": "fz", "all": "fz_all", "score": "fz_score"}[which]
         cols = ["p.rid"] + (["p.id"] if self.ds.has_id else [])
         for j in range(self.d):
             cols.append(f"CASE WHEN st.mx{j} = st.mn{j} THEN {dbl(0.5)} "
@@ -421,7 +453,7 @@ class SqlChain:
                     name: str = "pred") -> str:
         """rid, [id], y, prediction for training rows or all rows."""
         rules = self.final()
-        rows = self.fuzzified("train" if which == "train" else "all")
+        rows = self.fuzzified(which)
         maj = self.t("maj")
         if method == "winning":
             w = self.winners(rules, rows, f"{name}_win", shifted)
@@ -429,8 +461,8 @@ class SqlChain:
             join = f"LEFT JOIN {w} w ON s.rid = w.rid"
         else:
             w = self.class_sums(rules, rows, f"{name}_sum", shifted)
-            pred = (f"CASE WHEN w.s0 > w.s1 THEN {dbl(0.0)} WHEN w.s1 > w.s0 THEN {dbl(1.0)} "
-                    f"ELSE m.maj END")
+            pred = (f"CASE WHEN w.s0 - w.s1 > {dbl(1e-9)} THEN {dbl(0.0)} WHEN w.s1 - w.s0 > {dbl(1e-9)} "
+                    f"THEN {dbl(1.0)} ELSE m.maj END")
             join = f"LEFT JOIN {w} w ON s.rid = w.rid"
         idc = "s.id, " if self.ds.has_id else ""
         return self.add(name, f"SELECT s.rid, {idc}s.y, {pred} AS prediction FROM {rows} s {join} "

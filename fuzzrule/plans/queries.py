@@ -3,9 +3,10 @@ equivalent SQL text for the DuckDB oracle (see ``oracle.py``).
 
 Views: L = lineitem (4 numeric features, class l_linestatus), D =
 documents joined with labels (4 text statistics + lang, class quality),
-E = embeddings (first 4 dimensions, class label < 5).  Every query reads
-the whole view; learning queries train on all rows (fold queries use a
-5-fold split in which every row is tested once).
+E = embeddings (all 64 dimensions, class label < 5; rules of one antecedent),
+M = D with values missing.  Every query reads the whole view; learning
+queries train on all labelled rows, scoring queries score all rows, labelled
+or not (fold queries use a 5-fold split in which every row is tested once).
 """
 
 from __future__ import annotations
@@ -25,15 +26,22 @@ from fuzzrule.operators.report import (ant_key, confusion, metrics, rule_funnel,
 from fuzzrule.params import RuleParams
 from fuzzrule.plans.oracle import DATASETS, SqlChain, dbl, factor_sql, r6, round_at_sql
 from fuzzrule.plans.learner import RuleModel, learn
-from fuzzrule.sources.readers import (documents_view, embeddings_view, fold_of,
-                                      lineitem_view)
-
-VIEWS = {"L": lineitem_view, "D": documents_view, "E": embeddings_view}
-LABELS = {"L": "l_linestatus", "D": "quality", "E": "low"}
-EXCLUDE = {"L": (), "D": ("id",), "E": ("id",)}
+from fuzzrule.sources.readers import (EMBEDDING_DIMS, documents_features, documents_view,
+                                      embeddings_view, fold_of, lineitem_view, with_missing)
+
+VIEWS = {"L": lineitem_view, "D": documents_view, "E": embeddings_view,
+         "M": lambda spark, sf: with_missing(documents_view(spark, sf))}
+# rows to score; M also has an unseen category
+SCORE_VIEWS = {"D": documents_features, "E": embeddings_view,
+               "M": lambda spark, sf: with_missing(documents_features(spark, sf)).withColumn(
+                   "lang", F.when(F.col("id") % 13 == 0, F.lit("xx")).otherwise(F.col("lang")))}
+LABELS = {"L": "l_linestatus", "D": "quality", "E": "low", "M": "quality"}
+EXCLUDE = {"L": (), "D": ("id",), "E": ("id",), "M": ("id",)}
+# 64 features give C(64, 3) sub-rules a cell at length 3: E learns rules of length 1
+LEARN = {"E": {"max_length": 1}}
 NAMES = {"L": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
          "D": ["n_chars", "n_lines", "upper_share", "uniq_share", "lang_indexed"],
-         "E": ["e0", "e1", "e2", "e3"]}
+         "E": [f"e{j}" for j in range(EMBEDDING_DIMS)]}
 
 _CACHE: dict = {}
 
@@ -42,12 +50,16 @@ def view(spark: SparkSession, sf: str, key: str) -> DataFrame:
     return VIEWS[key](spark, sf)
 
 
+def params_for(key: str, **kw) -> RuleParams:
+    return RuleParams(**{**LEARN.get(key, {}), **kw})
+
+
 def fit(spark: SparkSession, sf: str, key: str, **kw) -> RuleModel:
     # keyed by the running application too: a stopped and re-created session
     # must not see models bound to the old context
     ck = (spark.sparkContext.applicationId, id(spark), sf, key, tuple(sorted(kw.items())))
     if ck not in _CACHE:
-        _CACHE[ck] = learn(view(spark, sf, key), RuleParams(**kw), label=LABELS[key],
+        _CACHE[ck] = learn(view(spark, sf, key), params_for(key, **kw), label=LABELS[key],
                            exclude=EXCLUDE[key])
     return _CACHE[ck]
 
@@ -56,7 +68,7 @@ def prepared(spark, sf, key, n_labels=3):
     df = view(spark, sf, key)
     prep = fit_preparer(df, n_labels, LABELS[key], exclude=EXCLUDE[key])
     keep = ["id"] if key != "L" else []
-    return prep, prep.transform(df, keep=keep)
+    return prep, prep.transform(df, keep=keep, training=True)
 
 
 def _round_protos(df: DataFrame, prefixes: list[str], d: int) -> list:
@@ -128,7 +140,7 @@ def q_membership_degrees(spark, sf):
 
 
 def s_membership_degrees():
-    c = SqlChain(DATASETS["E"])
+    c = SqlChain(DATASETS["E"], params_for("E"))
     fz = c.fuzzified()
     parts = []
     for j, name in enumerate(NAMES["E"]):
@@ -277,7 +289,7 @@ def q_rule_wins(spark, sf):
 
 
 def s_rule_wins():
-    c = SqlChain(DATASETS["E"])
+    c = SqlChain(DATASETS["E"], params_for("E"))
     src = c.with_wins()
     return c.with_sql(f"SELECT {c.ant_key()} AS ant_key, cls, n_win, n_correct FROM {src}")
 
@@ -314,21 +326,21 @@ def q_final_rules_filtered(spark, sf):
 
 
 def s_final_rules_filtered():
-    return _final_sql(SqlChain(DATASETS["E"], RuleParams(use_filtering=True, rate=0.7)))
+    return _final_sql(SqlChain(DATASETS["E"], params_for("E", use_filtering=True, rate=0.7)))
 
 
 def _score_q(key, method, shifted, out, **kw):
     def q(spark, sf):
         m = fit(spark, sf, key, **kw)
-        s = m.transform(view(spark, sf, key), keep=["id"], method=method, shifted=shifted, out=out)
+        s = m.transform(SCORE_VIEWS[key](spark, sf), keep=["id"], method=method, shifted=shifted, out=out)
         return s.select("id", out)
     return q
 
 
 def _score_s(key, method, shifted, out, **kw):
     def s():
-        c = SqlChain(DATASETS[key], RuleParams(**kw))
-        p = c.predictions("all", method, shifted)
+        c = SqlChain(DATASETS[key], params_for(key, **kw))
+        p = c.predictions("score", method, shifted)
         return c.with_sql(f"SELECT id, prediction AS {out} FROM {p}")
     return s
 
@@ -338,7 +350,7 @@ def _final_q(key, **kw):
 
 
 def _final_s(key, **kw):
-    return lambda: _final_sql(SqlChain(DATASETS[key], RuleParams(**kw)))
+    return lambda: _final_sql(SqlChain(DATASETS[key], params_for(key, **kw)))
 
 
 def q_sub_rules_len2(spark, sf):
@@ -353,11 +365,6 @@ def s_sub_rules_len2():
     return _resolved_sql(c, c.resolved())
 
 
-def q_score_sql_twin(spark, sf):
-    m = fit(spark, sf, "E")
-    return m.transform_sql(view(spark, sf, "E"), "id")
-
-
 def q_confusion(spark, sf):
     m = fit(spark, sf, "D")
     return confusion(m.transform(view(spark, sf, "D"), keep=[]))
@@ -378,14 +385,15 @@ def q_metrics(spark, sf):
 
 
 def s_metrics():
-    c = SqlChain(DATASETS["E"])
+    c = SqlChain(DATASETS["E"], params_for("E"))
     cnt = c.counts(c.predictions("all"))
     return c.with_sql("SELECT " + SqlChain.metrics_select(cnt))
 
 
 def q_rule_summary(spark, sf):
     m = fit(spark, sf, "D")
-    return (rule_summary(m.rules).drop("best_rule_id")
+    return (rule_summary(m.rules, m.trace.with_wins.filter(F.col("n_win") > 0))
+            .withColumn("top_ratio", stable_round("top_ratio", 6))
             .withColumn("min_conf", stable_round("min_conf", 6)).withColumn("max_conf", stable_round("max_conf", 6))
             .withColumn("avg_len", stable_round("avg_len", 6)))
 
@@ -393,9 +401,13 @@ def q_rule_summary(spark, sf):
 def s_rule_summary():
     c = SqlChain(DATASETS["D"])
     f = c.final()
-    return c.with_sql(f"SELECT cls, count(*) AS n_rules, sum(n_correct) AS n_correct, sum(n_win) AS n_win, "
+    return c.with_sql(f"SELECT a.*, b.n_correct AS top_correct, b.n_win AS top_win, b.sup AS top_sup, "
+                      f"{r6('CAST(b.n_correct AS DOUBLE) / b.sup')} AS top_ratio FROM ("
+                      f"SELECT cls, count(*) AS n_rules, sum(n_correct) AS n_correct, sum(n_win) AS n_win, "
                       f"{r6('min(conf)')} AS min_conf, {r6('max(conf)')} AS max_conf, min(sup) AS min_sup, "
-                      f"max(sup) AS max_sup, {r6('avg(len)')} AS avg_len FROM {f} GROUP BY cls")
+                      f"max(sup) AS max_sup, {r6('avg(len)')} AS avg_len FROM {f} GROUP BY cls) a "
+                      f"LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY sup DESC, rule_id) AS rn "
+                      f"FROM {c.t('used')}) b ON a.cls = b.cls AND b.rn = 1")
 
 
 def q_rule_funnel(spark, sf):
@@ -444,17 +456,21 @@ FOLDS = 5
 
 def fold_rows(spark, sf, key="E"):
     from fuzzrule.operators.report import metrics_dict
+    ck = (spark.sparkContext.applicationId, id(spark), sf, key, "folds")
+    if ck in _CACHE:
+        return spark.createDataFrame(_CACHE[ck], FOLD_SCHEMA)
     df = view(spark, sf, key)
     rows = []
     for k in range(1, FOLDS + 1):
         fcol = fold_of(F.col("id"), FOLDS)
         train, test = df.filter(fcol != k), df.filter(fcol == k)
-        m = learn(train, RuleParams(), label=LABELS[key], exclude=EXCLUDE[key])
+        m = learn(train, params_for(key), label=LABELS[key], exclude=EXCLUDE[key])
         tr = metrics_dict(m.transform(train, keep=[]))
         te = metrics_dict(m.transform(test, keep=[]))
         rows.append((k, tr["accuracy"], te["accuracy"], tr["avg_accuracy"], te["avg_accuracy"],
                      tr["gm"], te["gm"], m.rules.count(), m.average_rule_length()))
         m.release()
+    _CACHE[ck] = rows  # one row per fold
     return spark.createDataFrame(rows, FOLD_SCHEMA)
 
 
@@ -470,7 +486,7 @@ def q_fold_results(spark, sf):
 def s_fold_results():
     parts, ctes = [], []
     for k in range(1, FOLDS + 1):
-        c = SqlChain(DATASETS["E"], RuleParams(), suffix=f"_f{k}",
+        c = SqlChain(DATASETS["E"], params_for("E"), suffix=f"_f{k}",
                      train_filter=f"(rid % {FOLDS}) + 1 <> {k}")
         ptr = c.predictions("train", name="ptr")
         pte = c.predictions("all", name="pall")
@@ -530,9 +546,13 @@ def _registry() -> dict[str, tuple[Callable, Callable | None]]:
                                 _score_s("E", "winning", True, "prediction_tu")),
         "score_tuned_aggregate": (_score_q("D", "aggregation", True, "prediction_tu"),
                                   _score_s("D", "aggregation", True, "prediction_tu")),
-        "score_sql_twin": (q_score_sql_twin, _score_s("E", "winning", False, "prediction")),
-        "score_equijoin": (_score_q("D", "winning", False, "prediction", scoring="join"),
+        "score_sql_twin": (_score_q("E", "winning", False, "prediction"),
+                           _score_s("E", "winning", False, "prediction")),
+        "score_equijoin": (_score_q("D", "winning", False, "prediction", block_rules=8),
                            _score_s("D", "winning", False, "prediction")),
+        "score_missing_values": (_score_q("M", "winning", False, "prediction"),
+                                 _score_s("M", "winning", False, "prediction")),
+        "final_rules_missing_values": (_final_q("M"), _final_s("M")),
         "score_tuned_proto_first": (_score_q("E", "winning", True, "prediction_tu", prototype="first"),
                                     _score_s("E", "winning", True, "prediction_tu", prototype="first")),
         "final_rules_5labels": (_final_q("E", n_labels=5), _final_s("E", n_labels=5)),
@@ -549,11 +569,8 @@ def _registry() -> dict[str, tuple[Callable, Callable | None]]:
         "fold_results": (q_fold_results, s_fold_results),
         "fold_describe": (q_fold_describe, s_fold_describe),
     }
-    try:
-        from fuzzrule.plans import queries_extra
-        reg.update(queries_extra.registry())
-    except ImportError:
-        pass
+    from fuzzrule.plans import queries_extra  # imports this module
+    reg.update(queries_extra.registry())
     return reg
 
 

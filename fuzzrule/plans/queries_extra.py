@@ -162,7 +162,7 @@ def _gm_q(key, **kw):
 
 def _gm_s(key, **kw):
     def s():
-        c = SqlChain(DATASETS[key], Q.RuleParams(selection="gm", **kw))
+        c = SqlChain(DATASETS[key], Q.params_for(key, selection="gm", **kw))
         src = c.gm_final()
         return c.with_sql(f"SELECT rule_id, {c.ant_key()} AS ant_key, cls, {r6('rw')} AS rw, sup, "
                           f"{r6('conf')} AS conf, n_win, n_correct FROM {src}")
@@ -177,8 +177,8 @@ def s_gm_select():
 
 
 def q_tree_baseline(spark, sf):
-    df = Q.view(spark, sf, "D")
-    _, pte, _, _ = tree_baseline(df, df, "quality", Q.NAMES["D"][:4] + ["lang"], keep=["id"])
+    _, pte, _, _ = tree_baseline(Q.view(spark, sf, "D"), Q.SCORE_VIEWS["D"](spark, sf), "quality",
+                                 Q.NAMES["D"][:4] + ["lang"], keep=["id"])
     return pte.select("id", "prediction")
 
 

@@ -7,7 +7,6 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 _LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -51,20 +50,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="fuzzrule-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
-
-
-def spread(df):
-    """Rebalance an input with fewer partitions than the cluster has task
-    slots (e.g. one large row group) so the per-row work runs in parallel.
-    Inputs that are already split, and streams, pass through untouched."""
-    if df.isStreaming:
-        return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        # hash on a per-row id taken at the source: even whatever the
-        # duplicates in the data (no hot key), and no sort as round-robin
-        # needs for a deterministic retry
-        rid = "__spread_id"
-        return (df.withColumn(rid, F.monotonically_increasing_id())
-                  .repartition(target, rid).drop(rid))
-    return df

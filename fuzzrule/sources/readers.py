@@ -1,5 +1,5 @@
-"""Table sources: header-less CSV/.dat folds, Parquet, the toy fixture, and
-the two-class views built from the driver's Parquet tables."""
+"""Table sources: header-less CSV/.dat folds, Parquet, and the two-class
+views built from the driver's Parquet tables."""
 
 from __future__ import annotations
 
@@ -46,32 +46,6 @@ def fold_of(id_col: Column, k: int = 5) -> Column:
     return (F.pmod(id_col, F.lit(k)) + 1).cast("int")
 
 
-def split_fold(df: DataFrame, id_col: str, fold: int, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(train, test) for one fold of a single table: test = rows of the fold."""
-    f = fold_of(F.col(id_col), k)
-    return df.filter(f != fold), df.filter(f == fold)
-
-
-# The toy table of the original job (20 training, 8 test rows).
-TOY_TRAIN = [
-    (0.0, "3", 1.0, "N"), (0.0, "3", 1.0, "Y"), (0.0, "3", 1.0, "N"), (0.0, "3", 1.0, "N"),
-    (0.0, "3", 1.0, "Y"), (0.1, "3", 1.0, "N"), (1.0, "4", 0.0, "N"), (1.0, "4", 0.0, "Y"),
-    (1.0, "4", 0.0, "Y"), (1.0, "4", 0.0, "Y"), (2.0, "5", 1.0, "Y"), (1.0, "3", 1.0, "N"),
-    (0.1, "3", 1.0, "N"), (3.0, "5", 0.0, "N"), (3.0, "5", 0.8, "N"), (3.0, "5", 0.9, "N"),
-    (3.0, "5", 0.9, "Y"), (2.0, "3.4", 0.9, "N"), (3.0, "5", 0.9, "N"), (3.0, "5", 0.0, "Y"),
-]
-TOY_TEST = [
-    (0.0, "3", 1.0, "N"), (0.0, "4", 1.0, "Y"), (0.0, "3", 1.0, "N"), (2.0, "3.4", 0.9, "Y"),
-    (1.0, "3", 1.0, "Y"), (0.1, "3", 1.0, "N"), (3.0, "5", 0.0, "N"), (3.0, "5", 0.8, "N"),
-]
-TOY_SCHEMA = "_1 double, _2 string, _3 double, _4 string"
-
-
-def toy_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return (spark.createDataFrame(TOY_TRAIN, TOY_SCHEMA),
-            spark.createDataFrame(TOY_TEST, TOY_SCHEMA))
-
-
 # ------------------------------------------------ two-class views of the driver tables
 
 def _pq(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,38 +60,45 @@ def lineitem_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pq(spark, sf_dir, "lineitem").select(*LINEITEM_FEATURES, "l_linestatus")
 
 
-DOC_FEATURES = ["n_chars", "n_lines", "upper_share", "uniq_share", "lang"]
-
-
-def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D: documents joined with their quality labels; text statistics over
-    the whole text.  Columns: id, n_chars, n_lines, upper_share, uniq_share,
-    lang, quality."""
+def documents_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with text statistics over the whole text: id, n_chars,
+    n_lines, upper_share, uniq_share, lang."""
     docs = _pq(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    labels = _pq(spark, sf_dir, "labels").select("doc_id", "quality")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"\w+"), 0)
     n_words = F.size(words)
     text_len = F.length("text")
-    return (docs.join(labels, "doc_id")
-            .select(F.col("doc_id").alias("id"),
-                    F.col("n_chars"),
-                    (text_len - F.length(F.regexp_replace("text", "\n", "")) + 1)
-                    .cast("long").alias("n_lines"),
-                    F.try_divide(F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double"),
-                                 F.greatest(text_len, F.lit(1)).cast("double")).alias("upper_share"),
-                    F.try_divide(F.size(F.array_distinct(words)).cast("double"),
-                                 F.greatest(n_words, F.lit(1)).cast("double")).alias("uniq_share"),
-                    F.col("lang"),
-                    F.col("quality")))
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.col("n_chars"),
+        (text_len - F.length(F.regexp_replace("text", "\n", "")) + 1).cast("long").alias("n_lines"),
+        F.try_divide(F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double"),
+                     F.greatest(text_len, F.lit(1)).cast("double")).alias("upper_share"),
+        F.try_divide(F.size(F.array_distinct(words)).cast("double"),
+                     F.greatest(n_words, F.lit(1)).cast("double")).alias("uniq_share"),
+        F.col("lang"))
+
+
+def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D: the documents that have a quality label, with it (for learning;
+    scoring takes all of ``documents_features``)."""
+    labels = _pq(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return documents_features(spark, sf_dir).join(labels, "id")
+
+
+def with_missing(docs: DataFrame) -> DataFrame:
+    """M: values blanked by a rule on the id (null and NaN numbers)."""
+    i = F.col("id")
+    return docs.withColumns({"n_chars": F.when(i % 7 != 0, F.col("n_chars")),
+                             "upper_share": F.when(i % 11 == 0, F.lit(float("nan"))).otherwise(F.col("upper_share"))})
 
 
-EMB_FEATURES = ["e0", "e1", "e2", "e3"]
+EMBEDDING_DIMS = 64
 
 
 def embeddings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E: first four embedding dimensions as doubles, class ``label < 5``."""
+    """E: all embedding dimensions as doubles, class ``label < 5``."""
     e = _pq(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"),
                     *[F.element_at("embedding", j + 1).cast("double").alias(f"e{j}")
-                      for j in range(4)],
+                      for j in range(EMBEDDING_DIMS)],
                     (F.col("label") < 5).cast("int").alias("low"))

@@ -25,13 +25,10 @@ def score_stream(model, stream: DataFrame, keep: list[str] | None = None,
 
 def write_scores(scored: DataFrame, path: str, checkpoint: str | None = None,
                  fmt: str = "parquet", trigger: dict | None = None):
-    """Start an append-mode file sink.  The progress checkpoint defaults to a
-    sub-folder of the session's shared ``spark.checkpoint.dir``."""
+    """Start an append-mode file sink.  The progress checkpoint defaults to
+    ``_progress`` below the output path, so a restarted stream finds it."""
     if checkpoint is None:
-        base = scored.sparkSession.sparkContext.getCheckpointDir()
-        if base is None:
-            raise ValueError("give a checkpoint folder or set spark.checkpoint.dir")
-        checkpoint = f"{base.rstrip('/')}/stream-{abs(hash(path))}"
+        checkpoint = f"{path.rstrip('/')}/_progress"
     w = (scored.writeStream.format(fmt).outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", path))
     if trigger:

@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def toy(spark):
-    from fuzzrule.sources.readers import toy_tables
+    from tests.toy import toy_tables
     return toy_tables(spark)
 
 

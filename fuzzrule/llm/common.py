@@ -4,10 +4,11 @@ table reading, word tokens and connected components."""
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _OWN: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder (not created yet)."""
-    return f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}/{name}"
+    top = _SCRATCH[-1] if _SCRATCH else f"{shared_dir(spark)}/llm"
+    return f"{top}/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +53,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: it does so when
+    their plans are collected as garbage, which an idle driver puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A folder for the tables written inside, deleted at the end.  Yields a
+    function that writes the result outside of it and reads it back."""
+    outer = _SCRATCH[-1] if _SCRATCH else f"{shared_dir(spark)}/llm"
+    folder = f"{outer}/{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{outer}/{uuid.uuid4().hex}/{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        tidy(spark)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzrule.llm.common import SPACE, read_table, written
+from fuzzrule.llm.common import SPACE, read_table, scratch, written
 
 # topic by the first marker that a text holds
 TOPICS = (("table", " | "), ("notice", "icense"), ("contact", "@"), ("assignment", " = "))
@@ -91,10 +91,15 @@ RATE, SEED = 0.5, "mix-1:"
 def mixed_documents(docs: DataFrame, targets=None, rate: float = RATE, id_col: str = "doc_id",
                     source: str = "source", lang: str = "lang", text: str = "text", seed: str = SEED) -> DataFrame:
     """(id, source, lang, topic, n_tokens, probability, selected) of each row."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_mixed(docs, targets or TARGETS, rate, id_col, source, lang, text, seed), "mixed")
+
+
+def _mixed(docs, targets, rate, id_col, source, lang, text, seed) -> DataFrame:
     light = written(docs.select(F.col(id_col).alias("__id"), *_dims(docs, source, lang, text),
                                 word_count(F.col(text)).alias("n_tokens")), "light")
     cells = written(light.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    w = rake(cells, targets or TARGETS)
+    w = rake(cells, targets)
     return with_probability(light, w, rate, "__id", seed).withColumnRenamed("__id", id_col)
 
 

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzrule.llm.common import components, mix, ngram_hashes, read_table, shingle_sets, word_runs, written
+from fuzzrule.llm.common import components, mix, ngram_hashes, read_table, scratch, shingle_sets, tidy, word_runs, written
 
 CELL_BITS = 18
 BITMAP = 512
@@ -195,6 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, perce
     own = reps.join(ids, reps.rep == ids.id, "left_semi").select(F.col("rep").alias("id"), "h1", "h2")
     # an id that holds several texts has a set for each
     sets = written(sets.join(own, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"]).select("id", "s"), "sets")
+    tidy(spark)
     # the set of u meets those of its partners in groups of about VERIFY_HASHES
     sizes = reps.select(F.col("rep").alias("v"), "n")
     parts = pairs.join(sizes, "v").groupBy("u").agg(F.ceil(F.sum("n") / VERIFY_HASHES).alias("parts"))
@@ -204,12 +205,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, perce
     right = (parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
              .join(sets.toDF("u", "su"), "u").toDF("w", "of", "sw"))
     near = left.groupBy("u", "part").cogroup(right.groupBy("w", "of")).applyInPandas(_verify(percent), "u long, v long")
-    return written(near.distinct(), "links")
+    links = written(near.distinct(), "links")
+    del near, left, right
+    tidy(spark)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
                        percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) per row of ``docs``."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, id_col, text_col, n, percent), "components")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     doc_id = F.col(id_col).cast("long")
     texts = docs.select(doc_id.isNull().alias("missing"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col(text_col).alias("text"))
@@ -220,6 +229,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = t.where("id is not null and n > 0")
     same = ["h1", "h2", "n"]
     classes = written(live.groupBy(*same).agg(F.min("id").alias("rep"), F.min("g1").alias("g1"), F.min("g2").alias("g2")), "classes")
+    tidy(spark)
     groups = written(classes.groupBy("n", "g1", "g2").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
     placed = classes.join(groups, ["n", "g1", "g2"]).select(F.col("rep").alias("id"), *same, "gid", "members")
     r = written(live.drop("g1", "g2").join(placed, ["id", *same]).dropDuplicates(["id", *same]).withColumnRenamed("id", "rep"), "reps")
@@ -227,7 +237,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = r.where("rep = gid").select("gid", "n", F.posexplode("prefix").alias("pos", "tok"))
     stars = written(entries.groupBy("tok").agg(F.min("gid").alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1")
                     .drop("m"), "stars")
+    tidy(spark)
     posted = written(entries.join(stars, "tok"), "posted")
+    del entries
+    tidy(spark)
 
     # 3. each group against the first of its shingles, each member against its group's first
     to_center = (posted.where("gid <> center").select(F.col("center").alias("u"), F.col("gid").alias("v"))

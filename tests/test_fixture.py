@@ -112,32 +112,50 @@ def test_unseen_category_skipped(toy, toy_model):
     assert s.count() == 8
 
 
-def test_score_strategies_agree(toy, toy_model):
-    df = toy[1].withColumn("rid", F.monotonically_increasing_id())
-    for method in ("winning", "aggregation"):
-        for shifted in (False, True):
-            a = {r.rid: r.prediction for r in
-                 toy_model.transform(df, keep=["rid"], method=method, shifted=shifted).collect()}
-            b = {r.rid: r.prediction for r in
-                 toy_model.transform_sql(df, "rid", method=method, shifted=shifted).collect()}
-            assert a == b, (method, shifted)
-
-
-def test_equijoin_scoring_matches_broadcast(toy, toy_model):
-    """Above the broadcast bound the same rule base is found and scored by an
-    equi-join on fired antecedents."""
-    m2 = learn(toy[0], RuleParams(max_broadcast_rules=1))
-    assert m2.trace.funnel == toy_model.trace.funnel
-    k1 = sorted(r[0] for r in toy_model.rules.select(ant_key(3)).collect())
-    k2 = sorted(r[0] for r in m2.rules.select(ant_key(3)).collect())
-    assert k1 == k2
-    df = toy[1].withColumn("rid", F.monotonically_increasing_id())
-    for method in ("winning", "aggregation"):
-        a = {r.rid: (r.prediction, r.rule_id) for r in
-             toy_model.transform(df, keep=["rid"], method=method).collect()}
-        b = {r.rid: (r.prediction, r.rule_id) for r in
-             m2.transform(df, keep=["rid"], method=method).collect()}
-        if method == "aggregation":
-            a = {k: v[0] for k, v in a.items()}
-            b = {k: v[0] for k, v in b.items()}
-        assert a == b
+def plain_scores(model, rows, method, shifted):
+    """Every row against every rule, in plain Python."""
+    out, h = [], 1 / (model.params.n_labels - 1)
+    rules = model.rules.orderBy("rule_id").collect()
+    for row in rows:
+        degrees = []
+        for r in rules:
+            m = 1.0
+            for j in range(model.d):
+                lab, z = r[f"a{j}"], row[f"_z{j}"]
+                if lab:
+                    a, b, c = (lab - 2.0) * h, (lab - 1.0) * h, lab * h
+                    move = (r[f"proto_{j}"] - b) if shifted else 0.0
+                    a, b, c = a + move, b + move, c + move
+                    m *= 0.0 if z <= a or z >= c else (z - a) / (b - a) if z <= b else (c - z) / (c - b)
+            degrees.append(m * r.rw)
+        if method == "winning":
+            best = max(degrees)
+            out.append(rules[degrees.index(best)].cls if best > 0 else model.majority)
+        else:
+            s = [sum(d for d, r in zip(degrees, rules) if r.cls == k) for k in (0.0, 1.0)]
+            out.append(0.0 if s[0] - s[1] > 1e-9 else 1.0 if s[1] - s[0] > 1e-9 else model.majority)
+    return out
+
+
+def test_scores_equal_plain_python(toy, toy_model):
+    for df in toy:
+        rows = toy_model.prep.transform(df, keep=[]).collect()
+        for method in ("winning", "aggregation"):
+            for shifted in (False, True):
+                got = [r.prediction for r in toy_model.transform(df, keep=[], method=method, shifted=shifted).collect()]
+                assert got == plain_scores(toy_model, rows, method, shifted), (method, shifted)
+
+
+def test_rule_blocks_of_any_size_agree(toy, toy_model):
+    """Plain, tuned and GM results do not depend on the block size."""
+    m2 = learn(toy[0], RuleParams(block_rules=2))
+    assert m2.trace.funnel == toy_model.trace.funnel and len(m2.blocks) > 1
+    gm = [learn(toy[0], RuleParams(selection="gm", block_rules=b)) for b in (50_000, 3)]
+    assert gm[0].trace.selection_steps == gm[1].trace.selection_steps
+    for a, b in ((toy_model, m2), gm):
+        assert sorted(r[0] for r in a.rules.select(ant_key(3)).collect()) == sorted(r[0] for r in b.rules.select(ant_key(3)).collect())
+        for method in ("winning", "aggregation"):
+            for shifted in (False, True):
+                x, y = ([(r.prediction, r.rule_id, r.md) for r in
+                         m.transform(toy[1], keep=[], method=method, shifted=shifted).collect()] for m in (a, b))
+                assert x == y

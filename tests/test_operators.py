@@ -101,7 +101,7 @@ def test_gm_selection(toy):
 
 def test_precision_relaxation_class_without_precise_rules(spark):
     # a threshold no rule reaches forces the relaxation path for both classes
-    m = learn(Q.view(spark, SF01, "E"), RuleParams(precision_rate=0.99), label="low",
+    m = learn(Q.view(spark, SF01, "E"), Q.params_for("E", precision_rate=0.99), label="low",
               exclude=("id",))
     assert set(r.cls for r in m.rules.select("cls").distinct().collect()) <= {0.0, 1.0}
     assert m.rules.count() > 0
@@ -179,12 +179,28 @@ def test_streaming_scores_match_batch(spark, toy, toy_model, tmp_path):
     assert got == exp
 
 
+def test_restarted_stream_goes_on_where_it_stopped(spark, toy, toy_model, tmp_path):
+    from fuzzrule.streaming import score_stream
+    from fuzzrule.streaming.scoring import write_scores
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    toy[1].write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    for extra in (0, 1):
+        if extra:
+            toy[1].limit(3).write.mode("append").parquet(src)
+        q = write_scores(score_stream(toy_model, spark.readStream.schema(schema).parquet(src)), out,
+                         trigger={"availableNow": True})
+        q.awaitTermination(120)
+        assert spark.read.parquet(out).count() == 8 + 3 * extra
+
+
 def test_run_fold_end_to_end(spark, tmp_path):
     import os
 
     from fuzzrule.plans.run import run_fold
-    from fuzzrule.sources.readers import TOY_TEST, TOY_TRAIN, fold_paths
+    from fuzzrule.sources.readers import fold_paths
     from fuzzrule.sources.sinks import read_fold_results, short_result
+    from tests.toy import TOY_TEST, TOY_TRAIN
     base = str(tmp_path)
     tra, tst = fold_paths(base, "toy", "toy", 1, "dat")
     os.makedirs(os.path.dirname(tra))

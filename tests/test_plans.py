@@ -3,8 +3,6 @@ counts, broadcast joins, map-only scoring)."""
 
 import re
 
-from pyspark.sql import functions as F
-
 from fuzzrule import RuleParams
 from fuzzrule.operators.cells import cell_rules
 from fuzzrule.operators.mine import resolve_rules
@@ -33,9 +31,7 @@ def _live(plan: str) -> str:
 
 
 def _hash_exchanges(plan: str) -> int:
-    """Hash shuffles of the operator itself (not the input spreading)."""
-    return len([m for m in re.findall(r"Exchange hashpartitioning\(([^,)]*)", _live(plan))
-                if "__spread_id" not in m])
+    return len(re.findall(r"Exchange hashpartitioning\(", _live(plan)))
 
 
 def test_cells_scan_pruned_and_one_shuffle(spark):
@@ -54,27 +50,24 @@ def test_mining_is_one_shuffle_over_broadcast_masks(spark):
     prep = fit_preparer(L, 3, "l_linestatus")
     cells = cell_rules(prep.transform(L, keep=[]), prep.d, prep.majority).persist()
     cells.count()
-    plan = _plan(resolve_rules(cells, prep.d, RuleParams(), prep.majority))
+    plan = _plan(resolve_rules(cells, prep.d, RuleParams(), prep.majority, complete=False))
     assert "BroadcastNestedLoopJoin" in plan
     assert _hash_exchanges(plan) == 1          # cells are cached: only the resolve shuffle
     cells.unpersist()
 
 
-def test_scoring_is_map_only_on_split_input(spark):
-    m = Q.fit(spark, SF01, "E")
-    E = Q.view(spark, SF01, "E").repartition(spark.sparkContext.defaultParallelism)
-    E = E.persist()
-    E.count()
-    plan = _plan(m.transform(E, keep=["id"]))
+def test_scoring_is_map_only(spark):
+    m = Q.fit(spark, SF01, "D", block_rules=8)
+    assert len(m.blocks) > 1
+    plan = _plan(m.transform(Q.SCORE_VIEWS["D"](spark, SF01), keep=["id"]))
     assert "ArrowEvalPython" in plan
-    assert "Exchange" not in _live(plan)
-    E.unpersist()
+    assert "Exchange" not in _live(plan) and "Join" not in _live(plan)
 
 
 def test_winner_counts_aggregate_partially(spark):
     from fuzzrule.operators.prune import win_counts
-    m = Q.fit(spark, SF01, "E")
-    scored = m.transform(Q.view(spark, SF01, "E"), keep=[])
+    m = Q.fit(spark, SF01, "D")
+    scored = m.transform(Q.view(spark, SF01, "D"), keep=[])
     plan = _plan(win_counts(scored))
     assert "partial_count" in plan                 # map-side combine before the shuffle
     assert len(re.findall(r"Exchange hashpartitioning\(rule_id", _live(plan))) == 1
@@ -82,7 +75,6 @@ def test_winner_counts_aggregate_partially(spark):
 
 def test_confusion_is_a_global_aggregate(spark):
     from fuzzrule.operators.report import confusion_counts
-    m = Q.fit(spark, SF01, "E")
-    plan = _plan(confusion_counts(m.transform(Q.view(spark, SF01, "E"), keep=[])))
+    m = Q.fit(spark, SF01, "D")
+    plan = _plan(confusion_counts(m.transform(Q.view(spark, SF01, "D"), keep=[])))
     assert _hash_exchanges(plan) == 0 and "SinglePartition" in plan
-    assert F is not None

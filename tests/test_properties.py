@@ -72,9 +72,14 @@ def test_subrule_support_identity(lineitem):
         assert per_len[k] == comb(prep.d, k) * cell_sp1
 
 
+def few_dims(spark):
+    """Four of the dimensions: narrow enough for rules of length 3."""
+    return Q.view(spark, SF001, "E").select("id", "e0", "e1", "e2", "e3", "low")
+
+
 @pytest.fixture(scope="module")
 def emb_model(spark):
-    return learn(Q.view(spark, SF001, "E"), RuleParams(), label="low", exclude=("id",))
+    return learn(few_dims(spark), RuleParams(), label="low", exclude=("id",))
 
 
 def test_rule_weights_and_halving(emb_model):
@@ -91,12 +96,12 @@ def test_wins_account_for_rows(emb_model, spark):
     w = emb_model.trace.with_wins.agg(F.sum("n_win"), F.sum("n_correct")).first()
     n = emb_model.prep.n_rows
     assert w[0] <= n and w[1] <= w[0]
-    s = emb_model.transform(Q.view(spark, SF001, "E"), keep=[])
+    s = emb_model.transform(few_dims(spark), keep=[])
     assert s.count() == n
 
 
 def test_partition_count_independent(spark):
-    df = Q.view(spark, SF001, "E")
+    df = few_dims(spark)
     base = None
     for parts in (1, 3, 17):
         m = learn(df.repartition(parts), RuleParams(), label="low", exclude=("id",))
@@ -108,7 +113,7 @@ def test_partition_count_independent(spark):
 
 def test_confusion_sums(emb_model, spark):
     from fuzzrule.operators.report import confusion, metrics_dict
-    s = emb_model.transform(Q.view(spark, SF001, "E"), keep=[])
+    s = emb_model.transform(few_dims(spark), keep=[])
     assert confusion(s).agg(F.sum("n")).first()[0] == emb_model.prep.n_rows
     m = metrics_dict(s)
     assert 0.0 <= m["gm"] <= 1.0 and 0.0 <= m["accuracy"] <= 1.0

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fuzzrule import RuleParams, learn
-from fuzzrule.operators.infer import RuleSet
 from fuzzrule.operators.prepare import fit_preparer
 from fuzzrule.plans.learner import RuleModel
 
@@ -73,24 +72,38 @@ def test_out_of_range_rows(spark, small):
 
 def test_no_fire_first_rule_option(spark, small):
     m = learn(small, RuleParams(no_fire="first_rule"))
-    rs = m.ruleset
+    rs = m.blocks[0]
     far = spark.createDataFrame([(50.0, 1.0, 5.0, "b")], SCHEMA)
     got = m.transform(far, keep=[], shifted=True).first().prediction
     assert got == rs.cls[0]
 
 
-def test_ruleset_bound_enforced(small):
-    m = learn(small, RuleParams())
-    with pytest.raises(RuntimeError, match="max_broadcast_rules"):
-        RuleSet.from_frame(m.rules, m.d, 3, 0.0, True, max_rules=0)
-
-
-def test_subset_guard(spark):
+def test_missing_numbers(spark, small):
+    """One NaN, null or infinite value leaves the fit as it was; such rows are
+    scored, with membership 0 for the missing feature."""
+    inf = float("inf")
+    odd = spark.createDataFrame([(float("nan"), 1.0, 5.0, "b"), (None, 1.0, 5.0, "b"), (inf, 1.0, 5.0, "b"),
+                                 (-inf, 1.0, 5.0, "a"), (0.9, None, 5.0, "b")], SCHEMA)
+    clean, dirty = learn(small, RuleParams()), learn(small.unionByName(odd), RuleParams())
+    assert dirty.prep.mins == clean.prep.mins and dirty.prep.maxs == clean.prep.maxs
+    key = lambda m: [tuple(r) for r in m.rules.select("rule_id", "a0", "a1", "a2", "cls", "rw").orderBy("rule_id").collect()]
+    assert key(dirty) == key(clean)
+    s = clean.transform(odd, keep=["x", "k"]).collect()
+    assert len(s) == 5 and all(r.prediction in (0.0, 1.0) for r in s)
+    used = {r.rule_id for r in clean.rules.where("a0 <> 0").collect()}
+    assert all(r.rule_id not in used for r in s[:4])
+    assert [r.x for r in s][2] == inf and not {c for c in clean.transform(odd).columns if c.startswith(("_z", "_l"))}
+
+
+def test_wide_table(spark):
+    """40 features at length 3: no limit on the sub-rules of a cell."""
     cols = ", ".join(f"f{j} double" for j in range(40)) + ", y string"
-    df = spark.createDataFrame([tuple(float(j + i) for j in range(40)) + ("a" if i % 2 else "b",)
+    df = spark.createDataFrame([tuple(float((j + i) % 3) for j in range(40)) + ("a" if i % 2 else "b",)
                                 for i in range(4)], cols)
-    with pytest.raises(ValueError, match="sub-rules per cell"):
-        learn(df, RuleParams(max_subrules_per_cell=1000))
+    m = learn(df, RuleParams(max_length=2))
+    assert m.trace.resolved.count() > 780 and m.rules.count() >= 1
+    protos = m.rules.select(*[f"proto_{j}" for j in range(40)]).first()
+    assert all(v is not None for v in protos)
 
 
 def test_rescan_instead_of_cache_gives_same_rules(small):

@@ -45,7 +45,7 @@ def _batches(texts: list[str]):
     run, size = [], 0
     for t in texts:
         run.append(t)
-        size += len(t)
+        size += len(t or "")
         if size >= BYTES_AT_ONCE:
             yield run
             run, size = [], 0

@@ -85,6 +85,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def distinct_keys(spark: SparkSession, n: int):
+    """An array column of ``n`` integers that hash partitioning puts into ``n``
+    different partitions: groups dealt by them share no task."""
+    first, span = {}, 4 * n + 64
+    while len(first) < n:
+        rows = (spark.range(span, numPartitions=1).select(F.col("id").cast("int").alias("k"))
+                .groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect())
+        first, span = {r.p: r.k for r in rows}, span * 4
+    return F.array(*[F.lit(first[p]) for p in range(n)])
+
+
 def ascii_lower(col):
     """A-Z lower-cased, every other character kept (``lower`` would also
     change other scripts; it is used where the text is plain ASCII)."""

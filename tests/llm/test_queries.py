@@ -43,7 +43,7 @@ def test_every_operator_has_its_query():
 
     from fuzzrule.llm import queries
     found = [re.match(r"op(\d+)_\w+$", n) for n in queries.queries()]
-    assert sorted(int(m[1]) for m in found if m) == list(range(1, 11)) and "pipeline" in queries.queries()
+    assert sorted(int(m[1]) for m in found if m) == list(range(1, 14)) and "pipeline" in queries.queries()
 
 
 def test_pipeline_equals_its_parts(spark):

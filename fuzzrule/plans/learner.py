@@ -8,7 +8,7 @@ small rule tables).  The driver only receives scalars (counts, min/max,
 index maps) and the rule base in blocks of ``block_rules`` for broadcasting.
 
 ``RuleModel.transform`` is a projection plus pandas UDFs: no shuffle.
-The ``pyspark.ml`` classes at the bottom wrap both for ``Pipeline`` use.
+``fuzzrule.ml`` wraps both as ``pyspark.ml`` stages.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,8 +166,24 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     if params.persist_input:
         narrow = narrow.persist(_MEM_DISK)
     prep = fit_preparer(narrow, params.n_labels, label, numeric + cats)
+    model = _learn(prep, prep.transform(narrow, keep=[], training=True), params, trace, t)
+    narrow.unpersist()
+    return model
+
+
+def learn_prepared(prep, df: DataFrame, params: RuleParams) -> RuleModel:
+    """As ``learn``, for rows that a fitted preparation ``prep`` reads as they
+    are (scaled features and their labels)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    trace, t = FitTrace(), time.perf_counter()
+    narrow = df.persist(_MEM_DISK) if params.persist_input else df
+    model = _learn(prep, prep.transform(narrow, keep=[], training=True), params, trace, t)
+    narrow.unpersist()
+    return model
+
+
+def _learn(prep, fz: DataFrame, params: RuleParams, trace: FitTrace, t: float) -> RuleModel:
     d, maj = prep.d, prep.majority
-    fz = prep.transform(narrow, keep=[], training=True)
     t = _timed(trace, "prepare", t)
 
     cells = cell_rules(fz, d, maj).persist(_MEM_DISK)
@@ -214,7 +229,6 @@ def learn(df: DataFrame, params: RuleParams | None = None, label: str | None = N
     final = complete_prototypes(selected, cells, d, params).checkpoint(eager=True)
     trace.funnel.append(("selected", final.count()))
     _timed(trace, "prune", t)
-    narrow.unpersist()
     return RuleModel(prep, params, final, trace)
 
 
@@ -223,96 +237,6 @@ def _roles(df, label, features, exclude):
     return split_columns(df, label, features, exclude)
 
 
-# ------------------------------------------------------- pyspark.ml surface
-
-class FuzzyRuleClassifierModel(Model):
-    """``pyspark.ml`` Model: appends ``prediction`` to the input columns."""
-
-    def __init__(self, model: RuleModel | None = None, predictionCol: str = "prediction",
-                 shifted: bool | None = None):
-        super().__init__()
-        self.model = model
-        self.predictionCol = predictionCol
-        self.shifted = shifted
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = self.model.transform(dataset, keep=list(dataset.columns), shifted=self.shifted,
-                                   out=self.predictionCol)
-        return out.select(*dataset.columns, self.predictionCol)
-
-
-class FuzzyRuleClassifier(Estimator):
-    """``pyspark.ml`` Estimator around :func:`learn`."""
-
-    def __init__(self, params: RuleParams | None = None, labelCol: str | None = None,
-                 featuresCols: list[str] | None = None, predictionCol: str = "prediction"):
-        super().__init__()
-        self.rule_params = params or RuleParams()
-        self.labelCol = labelCol
-        self.featuresCols = featuresCols
-        self.predictionCol = predictionCol
-
-    def _fit(self, dataset: DataFrame) -> FuzzyRuleClassifierModel:
-        m = learn(dataset, self.rule_params, self.labelCol, self.featuresCols)
-        return FuzzyRuleClassifierModel(m, self.predictionCol)
-
-
-class PrototypeTuning(Estimator):
-    """Re-wraps a fitted rule model so it scores with prototype-shifted
-    memberships (``prediction_tu``)."""
-
-    def __init__(self, base: FuzzyRuleClassifierModel | None = None):
-        super().__init__()
-        self.base = base
-
-    def _fit(self, dataset: DataFrame) -> FuzzyRuleClassifierModel:
-        return FuzzyRuleClassifierModel(self.base.model, "prediction_tu", shifted=True)
-
-
-class CategoricalIndexerModel(Model):
-    def __init__(self, prep: Preparer | None = None):
-        super().__init__()
-        self.prep = prep
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self.prep.index(dataset).drop(*self.prep.categorical)
-
-
-class CategoricalIndexer(Estimator):
-    """Index string features (``<name>_indexed``) and the class column;
-    unseen or null values are skipped."""
-
-    def __init__(self, labelCol: str | None = None):
-        super().__init__()
-        self.labelCol = labelCol
-
-    def _fit(self, dataset: DataFrame) -> CategoricalIndexerModel:
-        return CategoricalIndexerModel(fit_preparer(dataset, 3, self.labelCol))
-
-
-class FuzzifierModel(Model):
-    def __init__(self, prep: Preparer | None = None):
-        super().__init__()
-        self.prep = prep
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        from fuzzrule.operators.prepare import fuzzify
-        return fuzzify(self.prep, dataset)
-
-
-class Fuzzifier(Estimator):
-    """Fits min/max scaling and appends ``features_arr`` (scaled values) and
-    ``labels`` (linguistic label per feature)."""
-
-    def __init__(self, n_labels: int = 3, labelCol: str | None = None):
-        super().__init__()
-        self.n_labels = n_labels
-        self.labelCol = labelCol
-
-    def _fit(self, dataset: DataFrame) -> FuzzifierModel:
-        return FuzzifierModel(fit_preparer(dataset, self.n_labels, self.labelCol))
-
-
 def tree_baseline(train: DataFrame, test: DataFrame, label: str | None = None,
                   features: list[str] | None = None, keep: list[str] | None = None,
                   seed: int = 7):
@@ -333,3 +257,8 @@ def tree_baseline(train: DataFrame, test: DataFrame, label: str | None = None,
                                            metricName="accuracy")
     ptr, pte = dt.transform(tr), dt.transform(te)
     return ptr, pte, ev.evaluate(ptr), ev.evaluate(pte) if "_y" in pte.columns else None
+
+
+# the stages are also named here; they import the functions above
+from fuzzrule.ml import (CategoricalIndexer, CategoricalIndexerModel, Fuzzifier, FuzzifierModel,  # noqa: E402, F401
+                         FuzzyRuleClassifier, FuzzyRuleClassifierModel, PrototypeTuning)

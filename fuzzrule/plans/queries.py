@@ -11,6 +11,7 @@ or not (fold queries use a 5-fold split in which every row is tested once).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ from fuzzrule.operators.report import (ant_key, confusion, metrics, rule_funnel,
 from fuzzrule.params import RuleParams
 from fuzzrule.plans.oracle import DATASETS, SqlChain, dbl, factor_sql, r6, round_at_sql
 from fuzzrule.plans.learner import RuleModel, learn
+from fuzzrule.session import ensure_checkpoint_dir
 from fuzzrule.sources.readers import (EMBEDDING_DIMS, documents_features, documents_view,
                                       embeddings_view, fold_of, lineitem_view, with_missing)
 
@@ -450,6 +452,27 @@ def s_average_rule_length():
     return c.with_sql(f"SELECT {round_at_sql('avg(len)', 2)} AS avg_rule_length, count(*) AS n_rules FROM {f}")
 
 
+def q_ml_pipeline(spark, sf):
+    """All stages fitted as one Pipeline, saved in the shared folder, loaded,
+    and applied to all documents."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from fuzzrule import ml
+    stages = [ml.CategoricalIndexer(labelCol="quality", excludeCols=["id"]),
+              ml.Fuzzifier(labelCol="quality", excludeCols=["id"]),
+              ml.FuzzyRuleClassifier(labelCol="quality", featuresCol=ml.FEATURES), ml.PrototypeTuning()]
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipelines/{uuid.uuid4().hex}"
+    Pipeline(stages=stages).fit(view(spark, sf, "D")).save(place)
+    return PipelineModel.load(place).transform(SCORE_VIEWS["D"](spark, sf)).select("id", "prediction", "prediction_tu")
+
+
+def s_ml_pipeline():
+    c = SqlChain(DATASETS["D"])
+    a = c.predictions("score", name="plain")
+    b = c.predictions("score", "winning", True, name="tuned")
+    return c.with_sql(f"SELECT a.id, a.prediction, b.prediction AS prediction_tu FROM {a} a JOIN {b} b ON a.rid = b.rid")
+
+
 # ------------------------------------------------------------ fold results
 FOLDS = 5
 
@@ -546,10 +569,11 @@ def _registry() -> dict[str, tuple[Callable, Callable | None]]:
                                 _score_s("E", "winning", True, "prediction_tu")),
         "score_tuned_aggregate": (_score_q("D", "aggregation", True, "prediction_tu"),
                                   _score_s("D", "aggregation", True, "prediction_tu")),
-        "score_sql_twin": (_score_q("E", "winning", False, "prediction"),
-                           _score_s("E", "winning", False, "prediction")),
-        "score_equijoin": (_score_q("D", "winning", False, "prediction", block_rules=8),
-                           _score_s("D", "winning", False, "prediction")),
+        "score_embeddings": (_score_q("E", "winning", False, "prediction"),
+                             _score_s("E", "winning", False, "prediction")),
+        "score_small_blocks": (_score_q("D", "winning", False, "prediction", block_rules=8),
+                               _score_s("D", "winning", False, "prediction")),
+        "ml_pipeline": (q_ml_pipeline, s_ml_pipeline),
         "score_missing_values": (_score_q("M", "winning", False, "prediction"),
                                  _score_s("M", "winning", False, "prediction")),
         "final_rules_missing_values": (_final_q("M"), _final_s("M")),

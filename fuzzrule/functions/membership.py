@@ -4,8 +4,8 @@
   DataFrame plans, and
 * numpy kernels, used inside the Arrow-batched scoring UDF.
 
-Both evaluate the triangle as: 0 outside (a, c); rising edge up to b;
-falling edge after b.  Null/NaN parameters give membership 0.  Products of
+Both evaluate the triangle as the lower of its rising and falling slope, not
+below 0.  Null/NaN parameters give membership 0.  Products of
 memberships run in feature order, left to right, so both engines (and the
 SQL oracle) multiply the same factors in the same order.
 """
@@ -34,11 +34,8 @@ def label_col(z: Column, n: int) -> Column:
 
 
 def trimf_col(z: Column, a: Column, b: Column, c: Column) -> Column:
-    zero = F.lit(0.0)
-    return (F.when((z <= a) | (z >= c), zero)
-            .when((a <= z) & (z <= b), (z - a) / (b - a))
-            .when((b <= z) & (z <= c), (c - z) / (c - b))
-            .otherwise(zero))
+    """The lower of the two slopes, not below 0; a null or NaN gives 0."""
+    return F.coalesce(F.greatest(F.nanvl(F.least((z - a) / (b - a), (c - z) / (c - b)), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
 
 
 def triangle_cols(label: Column, n: int) -> tuple[Column, Column, Column]:
@@ -96,14 +93,9 @@ def label_np(z: np.ndarray, n: int) -> np.ndarray:
 
 
 def trimf_np(z, a, b, c):
-    """Vectorised triangle; broadcasting over all arguments."""
+    """Vectorised ``trimf_col``; broadcasting over all arguments."""
     with np.errstate(invalid="ignore", divide="ignore"):
-        up = (z - a) / (b - a)
-        down = (c - z) / (c - b)
-        out = np.where((z <= a) | (z >= c), 0.0,
-                       np.where((a <= z) & (z <= b), up,
-                                np.where((b <= z) & (z <= c), down, 0.0)))
-    return out
+        return np.nan_to_num(np.maximum(np.minimum((z - a) / (b - a), (c - z) / (c - b)), 0.0), nan=0.0)
 
 
 def membership_table_np(z: np.ndarray, n: int) -> np.ndarray:

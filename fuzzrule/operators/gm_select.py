@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fuzzrule.operators.infer import RuleSet, block_degrees
+from fuzzrule.operators.infer import block_degrees, rule_blocks
 from fuzzrule.operators.prepare import Y, zcol
 from fuzzrule.params import RuleParams
 
@@ -81,11 +81,10 @@ def gm_select(fz: DataFrame, rules: DataFrame, d: int, params: RuleParams, major
     ratio = F.try_divide(F.col("n_correct").cast("double"), F.col("sup"))
     mx = {float(r["cls"]): r["m"] for r in rules.groupBy("cls").agg(F.max(ratio).alias("m")).collect()}
     steps = step_thresholds(mx.get(0.0), mx.get(1.0), rate)
-    blocks = RuleSet.blocks(rules, d, params.n_labels, majority, params.use_rw, params.block_rules)
-    scored_by = {int(r["rule_id"]): r["ratio"] for r in rules.select("rule_id", ratio.alias("ratio")).toLocalIterator()}
-    firsts = [_first_step(np.array([scored_by[int(i)] or 0.0 for i in rs.rule_id]), rs.cls, steps) for rs in blocks]
+    # each rule's ratio goes with its block; a task finds the step it enters at
+    read = rule_blocks(rules, d, params.n_labels, majority, params.use_rw, params.block_rules,
+                       extra=F.coalesce(ratio, F.lit(0.0))).reader(spark)
     n_steps = len(steps)
-    shared = [spark.sparkContext.broadcast((dict(rs.__dict__), f)) for rs, f in zip(blocks, firsts)]
 
     def count(batches):
         c = np.zeros((n_steps, 2, 2), dtype=np.int64)
@@ -97,10 +96,9 @@ def gm_select(fz: DataFrame, rules: DataFrame, d: int, params: RuleParams, major
             best = np.zeros((n_steps, len(z)))
             rid = np.full((n_steps, len(z)), np.iinfo(np.int64).max)
             cls = np.full((n_steps, len(z)), majority)
-            for b in shared:
-                fields, first = b.value
-                rs = RuleSet(**fields)
-                for sl, acc in block_degrees(z, rs, False):
+            for rs in read():
+                first = _first_step(rs.extra, rs.cls, steps)
+                for sl, acc in block_degrees(z, rs):
                     for i in np.unique(first[sl][first[sl] < n_steps]):
                         own = np.flatnonzero(first[sl] == i)
                         at = acc[:, own].argmax(axis=1)

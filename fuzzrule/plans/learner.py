@@ -5,7 +5,8 @@ mine + resolve -> rank filter -> score training rows -> drop rules that
 never win -> selection, as one DataFrame lineage with a few explicit
 persist points (the fuzzified training table, which is read twice, and the
 small rule tables).  The driver only receives scalars (counts, min/max,
-index maps) and the rule base in blocks of ``block_rules`` for broadcasting.
+index maps) and a rule base of at most ``block_rules`` rules; larger ones are
+written as block files that the scoring tasks read.
 
 ``RuleModel.transform`` is a projection plus pandas UDFs: no shuffle.
 ``fuzzrule.ml`` wraps both as ``pyspark.ml`` stages.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fuzzrule.functions.membership import round_at
 from fuzzrule.operators.cells import acol, cell_rules, support_filter, support_threshold
-from fuzzrule.operators.infer import RuleSet, score
+from fuzzrule.operators.infer import RuleBlocks, rule_blocks, score
 from fuzzrule.operators.mine import complete_prototypes, rank_filter, resolve_rules
 from fuzzrule.operators.prepare import Preparer, fit_preparer, lcol, zcol
 from fuzzrule.operators.prune import attach_wins, drop_unused, precision_select, win_counts
@@ -58,7 +59,7 @@ class RuleModel:
         self.params = params
         self.rules = rules
         self.trace = trace or FitTrace()
-        self._blocks: list[RuleSet] | None = None
+        self._blocks: RuleBlocks | None = None
 
     @property
     def d(self) -> int:
@@ -75,10 +76,10 @@ class RuleModel:
         return self._n_rules
 
     @property
-    def blocks(self) -> list[RuleSet]:
+    def blocks(self) -> RuleBlocks:
         if self._blocks is None:
-            self._blocks = RuleSet.blocks(self.rules, self.d, self.params.n_labels, self.majority,
-                                          self.params.use_rw, self.params.block_rules)
+            self._blocks = rule_blocks(self.rules, self.d, self.params.n_labels, self.majority,
+                                       self.params.use_rw, self.params.block_rules)
         return self._blocks
 
     def prepare(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -210,7 +211,7 @@ def _learn(prep, fz: DataFrame, params: RuleParams, trace: FitTrace, t: float) -
     trace.ranked = ranked
     t = _timed(trace, "rank", t)
 
-    blocks = RuleSet.blocks(ranked, d, params.n_labels, maj, params.use_rw, params.block_rules, n_ranked)
+    blocks = rule_blocks(ranked, d, params.n_labels, maj, params.use_rw, params.block_rules, n_ranked)
     scored = score(fz, blocks, d, "winning")
     wins = win_counts(scored)
     with_wins = attach_wins(ranked, wins).persist(_MEM_DISK)

@@ -96,10 +96,9 @@ DATASETS = {"L": LINEITEM, "D": DOCUMENTS, "E": EMBEDDINGS, "M": MISSING}
 
 def trimf_sql(z: str, a: str, b: str, c: str) -> str:
     zero = dbl(0.0)
-    return (f"(CASE WHEN ({z} <= {a}) OR ({z} >= {c}) THEN {zero} "
-            f"WHEN ({a} <= {z}) AND ({z} <= {b}) THEN ({z} - {a}) / ({b} - {a}) "
-            f"WHEN ({b} <= {z}) AND ({z} <= {c}) THEN ({c} - {z}) / ({c} - {b}) "
-            f"ELSE {zero} END)")
+    rise, fall = f"({z} - {a}) / ({b} - {a})", f"({c} - {z}) / ({c} - {b})"
+    # a null slope (missing value or prototype) is not above 0
+    return f"(CASE WHEN {rise} > 0 AND {fall} > 0 THEN least({rise}, {fall}) ELSE {zero} END)"
 
 
 def factor_sql(lab: str, z: str, n: int, proto: str | None = None) -> str:

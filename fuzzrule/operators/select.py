@@ -3,11 +3,13 @@
 MDLP (Fayyad & Irani, 1993), distributed and exact:
 
 1. one aggregate gives the class histogram per (feature, value);
-2. exact prefix sums of that histogram without sorting a feature in one
-   task: the histogram is range-partitioned on (feature, value), running
-   sums run inside each partition, and per-partition totals (at most
-   partitions x features rows) give the offsets;
-3. level by level, every open interval takes the candidate cut with the
+2. the histogram is range-partitioned on (feature, value) and written once;
+   running sums are taken inside each sorted partition, in order, and
+   per-partition totals (at most partitions x features rows) give the offsets,
+   so no feature is sorted in one task and nothing is shuffled again;
+3. only boundary points are kept as candidates: between two neighbouring values
+   that hold one and the same class alone no cut can have the lowest entropy;
+4. level by level, every open interval takes the candidate cut with the
    lowest class entropy (one pass over the candidates joined to a broadcast
    interval table bounded by features x max_bins) and keeps it when the MDL
    criterion accepts; a feature stops at ``max_bins`` intervals (the best
@@ -15,14 +17,17 @@ MDLP (Fayyad & Irani, 1993), distributed and exact:
 
 mRMR (Peng, Long & Ding, 2005) on the discretised features: greedy, first
 the feature with the largest I(f; class), then each step the feature that
-maximises I(f; class) - mean over picked s of I(f; s).  Each step is one
-aggregate over (feature, bin, bin of the newest pick) counts.
+maximises I(f; class) - mean over picked s of I(f; s).  One aggregate over
+(feature, bin, feature, bin) counts, the class taken as a further feature,
+gives the information of every pair; the greedy steps run on that table of at
+most d (d + 1) / 2 numbers.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,42 +53,71 @@ def value_histogram(df: DataFrame, cols: list[str], label: str = Y) -> DataFrame
                                        F.count_if(F.col("y") == 1).alias("c1")))
 
 
+CUMULATIVE = "j int, v double, nv double, cum0 long, cum1 long, boundary boolean"
+
+
+def _running(offsets):
+    """Inclusive prefix counts of one sorted partition, a batch at a time.  The
+    last value of a batch waits for the one after it."""
+    def run(batches):
+        run0, run1, wait = {}, {}, None
+
+        def closed(row, nxt):
+            j, v, c0, c1, cum0, cum1 = row
+            if nxt is None:
+                return None
+            nv, n0, n1 = nxt
+            same = (c0 == 0 and n0 == 0) or (c1 == 0 and n1 == 0)
+            return (j, v, nv, cum0, cum1, not same)
+        pid = None
+        for pdf in batches:
+            out = []
+            for j, v, c0, c1, p in zip(*(pdf[c].tolist() for c in ("j", "v", "c0", "c1", "pid"))):
+                pid = p
+                if j not in run0:
+                    run0[j], run1[j] = offsets.get((pid, j), (0, 0, None))[:2]
+                run0[j] += c0
+                run1[j] += c1
+                if wait is not None:
+                    nxt = (v, c0, c1) if wait[0] == j else offsets[(pid, wait[0])][2]
+                    if row := closed(wait, nxt):
+                        out.append(row)
+                wait = (j, v, c0, c1, run0[j], run1[j])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CUMULATIVE.split(", ")])
+        if wait is not None and (row := closed(wait, offsets[(pid, wait[0])][2])):
+            yield pd.DataFrame([row], columns=[c.split()[0] for c in CUMULATIVE.split(", ")])
+    return run
+
+
 def cumulative_histogram(hist: DataFrame, parts: int | None = None) -> DataFrame:
-    """Adds inclusive prefix counts (cum0, cum1) in value order per feature and
-    the next distinct value (nv).
+    """(j, v, nv, cum0, cum1, boundary) of every value but each feature's last:
+    inclusive prefix counts in value order, the next distinct value, and whether
+    a cut between the two can be the best of an interval.
 
     Exact and balanced whatever the value distribution: the histogram is
-    range-partitioned on (feature, value) (bounds from a sample, so no
-    partition holds much more than its share of distinct values), running
-    sums are taken inside each (partition, feature), and each partition's
-    offset comes from a small table of per-partition totals (at most
-    partitions x features rows)."""
+    range-partitioned on (feature, value) (bounds from a sample, so no partition
+    holds much more than its share of distinct values)."""
     spark = hist.sparkSession
     if parts is None:
         parts = max(2, spark.sparkContext.defaultParallelism * 2)
-    # partition ids feed two branches (totals, windows): write them once, so
-    # both see the same range bounds (sampling a shuffle output twice could
-    # pick different bounds) and a lost executor cannot change them
+    # written once: totals and running sums see the same bounds, also after a
+    # lost executor
     from fuzzrule.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    h = (hist.repartitionByRange(parts, "j", "v")
-             .withColumn("pid", F.spark_partition_id())
-             .checkpoint(eager=True))
-    ptot = h.groupBy("pid", "j").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"),
-                                     F.min("v").alias("pmin"))
-    wb = Window.partitionBy("j").orderBy("pid")
-    wprev = wb.rowsBetween(Window.unboundedPreceding, -1)
-    poff = (ptot.withColumn("o0", F.coalesce(F.sum("s0").over(wprev), F.lit(0)))
-                .withColumn("o1", F.coalesce(F.sum("s1").over(wprev), F.lit(0)))
-                .withColumn("next_min", F.lead("pmin").over(wb))
-                .select("pid", "j", "o0", "o1", "next_min"))
-    wi = Window.partitionBy("pid", "j").orderBy("v")
-    wrun = wi.rowsBetween(Window.unboundedPreceding, 0)
-    return (h.join(F.broadcast(poff), ["pid", "j"])
-             .withColumn("cum0", F.col("o0") + F.sum("c0").over(wrun))
-             .withColumn("cum1", F.col("o1") + F.sum("c1").over(wrun))
-             .withColumn("nv", F.coalesce(F.lead("v").over(wi), F.col("next_min")))
-             .select("j", "v", "nv", "cum0", "cum1"))
+    h = (hist.repartitionByRange(parts, "j", "v").sortWithinPartitions("j", "v")
+             .withColumn("pid", F.spark_partition_id()).checkpoint(eager=True))
+    totals = h.groupBy("pid", "j").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"),
+                                       F.min(F.struct("v", "c0", "c1")).alias("least")).collect()
+    offsets, after = {}, {}
+    for r in sorted(totals, key=lambda r: (r["j"], -r["pid"])):
+        offsets[(r["pid"], r["j"])] = [0, 0, after.get(r["j"])]
+        after[r["j"]] = (r["least"]["v"], int(r["least"]["c0"]), int(r["least"]["c1"]))
+    before = {}
+    for r in sorted(totals, key=lambda r: (r["j"], r["pid"])):
+        b0, b1 = before.get(r["j"], (0, 0))
+        offsets[(r["pid"], r["j"])][:2] = b0, b1
+        before[r["j"]] = (b0 + int(r["s0"]), b1 + int(r["s1"]))
+    return h.mapInPandas(_running({k: tuple(v) for k, v in offsets.items()}), CUMULATIVE)
 
 
 def mdlp_cuts(df: DataFrame, cols: list[str], label: str = Y, max_bins: int = 10,
@@ -97,7 +131,7 @@ def mdlp_cuts(df: DataFrame, cols: list[str], label: str = Y, max_bins: int = 10
            hist.groupBy("j").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1")).collect()}
     # every level re-reads the candidates (recomputable from the written
     # range-partitioned histogram)
-    cand = cumulative_histogram(hist, parts).filter(F.col("nv").isNotNull()).persist()
+    cand = cumulative_histogram(hist, parts).filter("boundary").drop("boundary").persist()
     spark = df.sparkSession
     # open intervals: (j, lo value or None, hi value or None, counts before lo, counts through hi)
     intervals = [(j, None, None, 0, 0, tot[j][0], tot[j][1]) for j in sorted(tot)]
@@ -198,24 +232,36 @@ def mutual_information(df: DataFrame, cols: list[str], other: str) -> DataFrame:
                .groupBy("j").agg(F.sum("t").alias("mi")))
 
 
+def pair_information(df: DataFrame, cols: list[str], label: str) -> DataFrame:
+    """(j, k, mi), j < k: information in bits of every pair of columns, the
+    class being number ``len(cols)``.  One pass; columns hold small integers."""
+    d = len(cols)
+    bins = F.array(*[F.col(c).cast("int") for c in [*cols, label]])
+    pairs = F.expr(f"flatten(transform(sequence(0, {d - 1}), j -> transform(sequence(j + 1, {d}), k -> "
+                   "named_struct('j', j, 'k', k, 'a', _bins[j], 'b', _bins[k]))))")
+    cnt = df.select(bins.alias("_bins")).select(F.inline(pairs)).groupBy("j", "k", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pair = Window.partitionBy("j", "k")
+    n, tot = F.col("n").cast("double"), F.sum("n").over(pair).cast("double")
+    pa = F.sum("n").over(Window.partitionBy("j", "k", "a")).cast("double") / tot
+    pb = F.sum("n").over(Window.partitionBy("j", "k", "b")).cast("double") / tot
+    pab = n / tot
+    return cnt.select("j", "k", (pab * F.log2(pab / (pa * pb))).alias("t")).groupBy("j", "k").agg(F.sum("t").alias("mi"))
+
+
 def mrmr(df: DataFrame, cols: list[str], label: str, k: int) -> list[int]:
     """Greedy mRMR; returns feature indices in pick order (ties -> lower index)."""
-    rel = {r["j"]: float(r["mi"]) for r in mutual_information(df, cols, label).collect()}
+    d = len(cols)
+    mi = {(r["j"], r["k"]): float(r["mi"]) for r in pair_information(df, cols, label).collect()}
     chosen: list[int] = []
-    red = {j: 0.0 for j in range(len(cols))}
-    while len(chosen) < min(k, len(cols)):
-        left = [j for j in range(len(cols)) if j not in chosen]
-        if chosen:
-            score = {j: rel.get(j, 0.0) - red[j] / len(chosen) for j in left}
-        else:
-            score = {j: rel.get(j, 0.0) for j in left}
+    red = {j: 0.0 for j in range(d)}
+    while len(chosen) < min(k, d):
+        left = [j for j in range(d) if j not in chosen]
+        score = {j: mi.get((j, d), 0.0) - (red[j] / len(chosen) if chosen else 0.0) for j in left}
         pick = max(left, key=lambda j: (score[j], -j))
         chosen.append(pick)
-        rest = [j for j in range(len(cols)) if j not in chosen]
-        if rest and len(chosen) < k:
-            mi = mutual_information(df, [cols[j] for j in rest], cols[pick]).collect()
-            for r in mi:
-                red[rest[r["j"]]] += float(r["mi"])
+        for j in left:
+            if j != pick:
+                red[j] += mi.get((min(j, pick), max(j, pick)), 0.0)
     return chosen
 
 

@@ -265,12 +265,15 @@ class SqlChain:
         d = self.d
         masks = subset_masks(d, self.p.min_length, self.p.max_length)
         vals = ", ".join("(" + ", ".join(str(v) for v in m) + ")" for m in masks)
-        mk = self.add("masks", f"SELECT * FROM (VALUES {vals}) AS t({', '.join(f'm{j}' for j in range(d))})")
+        mk = self.masks(self.add("masks", f"SELECT * FROM (VALUES {vals}) AS t({', '.join(f'm{j}' for j in range(d))})"))
         cols = [f"c.a{j} * k.m{j} AS a{j}" for j in range(d)] + ["c.cls", "c.sp1", "c.sp2"]
         cols += [f"c.p1_{j} * c.sp1 AS w1_{j}" for j in range(d)]
         cols += [f"c.p2_{j} * c.sp2 AS w2_{j}" for j in range(d)]
         return self.add("sub", f"SELECT {', '.join(cols)} FROM {cells} c CROSS JOIN {mk} k")
 
+    def masks(self, table: str) -> str:
+        return table
+
     def combined(self) -> str:
         sub = self.expanded()
         d = self.d
@@ -489,3 +492,110 @@ class SqlChain:
 
 def chain(key: str, **params) -> SqlChain:
     return SqlChain(DATASETS[key], RuleParams(**params))
+
+
+def entropy_sql(a: str, b: str) -> str:
+    n = f"CAST(({a}) + ({b}) AS DOUBLE)"
+
+    def term(c):
+        p = f"(CAST({c} AS DOUBLE) / {n})"
+        return f"(CASE WHEN {c} > 0 THEN -{p} * log2({p}) ELSE {dbl(0.0)} END)"
+    return f"({term(a)} + {term(b)})"
+
+
+def information_sql(cnt: str, keys: str) -> str:
+    """Mutual information of a and b per ``keys`` from counts n."""
+    tot = f"CAST(sum(n) OVER (PARTITION BY {keys}) AS DOUBLE)"
+    pab = f"(CAST(n AS DOUBLE) / {tot})"
+    pa = f"(CAST(sum(n) OVER (PARTITION BY {keys}, a) AS DOUBLE) / {tot})"
+    pb = f"(CAST(sum(n) OVER (PARTITION BY {keys}, b) AS DOUBLE) / {tot})"
+    return (f"SELECT {keys}, sum(t) AS mi FROM (SELECT {keys}, {pab} * log2({pab} / ({pa} * {pb})) AS t "
+            f"FROM {cnt}) GROUP BY {keys}")
+
+
+class SelectionChain(SqlChain):
+    """The chain after feature selection: MDLP cuts at every level (all
+    candidate cuts of all intervals are tried), bins, mRMR picks, and rules on the
+    picked features alone.  A feature that is not picked has label 0 in every
+    row and takes part in no subset."""
+
+    def __init__(self, *args, **kw):
+        super().__init__(*args, **kw)
+        self._all = False
+
+    def every(self) -> str:
+        self._all, before = True, self._all
+        out = super().fuzzified("train")
+        self._all = before
+        return out
+
+    def cuts(self) -> str:
+        most = self.p.mdlp_max_bins
+        long = self.add("zlong", " UNION ALL ".join(f"SELECT rid, {j} AS j, z{j} AS v, y FROM {self.every()}" for j in range(self.d)))
+        hist = self.add("hist", f"SELECT j, v, count_if(y = 0) AS c0, count_if(y = 1) AS c1 FROM {long} GROUP BY j, v")
+        w = "OVER (PARTITION BY j ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        cum = self.add("cum", f"SELECT j, v, CAST(sum(c0) {w} AS BIGINT) AS s0, CAST(sum(c1) {w} AS BIGINT) AS s1, "
+                              f"lead(v) OVER (PARTITION BY j ORDER BY v) AS nv FROM {hist}")
+        last = self.add("iv0", "SELECT j, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi, 0::BIGINT AS b0, 0::BIGINT AS b1, "
+                               f"CAST(sum(c0) AS BIGINT) AS e0, CAST(sum(c1) AS BIGINT) AS e1, 0::BIGINT AS had FROM {hist} GROUP BY j")
+        found = []
+        for level in range(most - 1):  # every level that goes on adds a cut
+            x = self.add(f"try{level}", f"SELECT i.*, c.v, c.nv, c.s0 - i.b0 AS l0, c.s1 - i.b1 AS l1, i.e0 - c.s0 AS r0, i.e1 - c.s1 AS r1, "
+                                        f"i.e0 - i.b0 AS t0, i.e1 - i.b1 AS t1 FROM {cum} c JOIN {last} i ON c.j = i.j "
+                                        f"WHERE c.nv IS NOT NULL AND (i.lo IS NULL OR c.v > i.lo) AND (i.hi IS NULL OR c.v < i.hi)")
+            n = "CAST(t0 + t1 AS DOUBLE)"
+            hl, hr, ht = entropy_sql("l0", "l1"), entropy_sql("r0", "r1"), entropy_sql("t0", "t1")
+            e = f"(((l0 + l1) * {hl} + (r0 + r1) * {hr}) / {n})"
+            best = self.add(f"best{level}", f"SELECT *, {ht} - e AS gain FROM (SELECT *, row_number() OVER (PARTITION BY j, lo ORDER BY e, v) AS nth "
+                                            f"FROM (SELECT *, {e} AS e FROM {x})) WHERE nth = 1")
+            k, k1, k2 = (f"(CAST({a}0 > 0 AS INTEGER) + CAST({a}1 > 0 AS INTEGER))" for a in "tlr")
+            delta = f"(log2(pow({dbl(3.0)}, {k}) - 2) - ({k} * {ht} - {k1} * {hl} - {k2} * {hr}))"
+            kept = self.add(f"kept{level}", f"SELECT *, count(*) OVER (PARTITION BY j) AS more FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY gain DESC, lo) AS place "
+                                            f"FROM {best} WHERE t0 + t1 >= 2 AND gain > (log2({n} - 1) + {delta}) / {n}) WHERE had + place <= {most - 1}")
+            found.append(f"SELECT j, (v + nv) / {dbl(2.0)} AS cut FROM {kept}")
+            last = self.add(f"iv{level + 1}", f"SELECT j, lo, v AS hi, b0, b1, b0 + l0 AS e0, b1 + l1 AS e1, had + more AS had FROM {kept} UNION ALL "
+                                              f"SELECT j, v AS lo, hi, b0 + l0 AS b0, b1 + l1 AS b1, e0, e1, had + more AS had FROM {kept}")
+        return self.add("cuts", " UNION ALL ".join(found))
+
+    def picks(self) -> str:
+        import math
+        cuts = self.cuts()
+        b = self.add("binned", f"SELECT l.rid, l.j, count(c.cut) AS a, any_value(l.y) AS y FROM {self.t('zlong')} l "
+                               f"LEFT JOIN {cuts} c ON c.j = l.j AND l.v > c.cut GROUP BY l.rid, l.j")
+        rel = self.add("selrel", information_sql(self.add("selcnt", f"SELECT j, a, y AS b, count(*) AS n FROM {b} GROUP BY j, a, y"), "j"))
+        pairs = self.add("selpairs", f"SELECT x.j, p.j AS k, x.a, p.a AS b, count(*) AS n FROM {b} x JOIN {b} p ON x.rid = p.rid "
+                                     "WHERE x.j <> p.j GROUP BY x.j, p.j, x.a, p.a")
+        return mrmr_picks(self, rel, self.add("selmi", information_sql(pairs, "j, k")), max(1, math.ceil(self.d * self.p.fs)))
+
+    def flags(self) -> str:
+        return self.add("flags", "SELECT " + ", ".join(f"bool_or(j = {j}) AS k{j}" for j in range(self.d)) + f" FROM {self.picks()}")
+
+    def fuzzified(self, which: str = "train") -> str:
+        base = super().fuzzified(which)
+        if self._all:
+            return base
+        self._all = True
+        flags = self.flags()
+        self._all = False
+        cols = ["f.rid"] + (["f.id"] if self.ds.has_id else []) + ["f.y"]
+        cols += [f"CASE WHEN s.k{j} THEN f.z{j} ELSE {dbl(0.5)} END AS z{j}" for j in range(self.d)]
+        cols += [f"CASE WHEN s.k{j} THEN f.l{j} ELSE 0 END AS l{j}" for j in range(self.d)]
+        return self.add(f"chosen_{which}", f"SELECT {', '.join(cols)} FROM {base} f CROSS JOIN {flags} s")
+
+    def masks(self, table: str) -> str:
+        only = " AND ".join(f"(m.m{j} = 0 OR s.k{j})" for j in range(self.d))
+        return self.add("chosen_masks", f"SELECT m.* FROM {table} m CROSS JOIN {self.flags()} s WHERE {only}")
+
+    def ant_key(self, alias: str = "") -> str:
+        parts = [f"CASE WHEN (SELECT k{j} FROM {self.flags()}) THEN CAST({a} AS VARCHAR) END" for j, a in enumerate(self.ants(alias))]
+        return f"concat_ws('|', {', '.join(parts)})"
+
+
+def mrmr_picks(c: SqlChain, rel: str, pairs: str, k: int) -> str:
+    """(rank, j) of the first k features by relevance less mean redundancy."""
+    names = []
+    for i in range(k):
+        joins = " ".join(f"JOIN {pairs} m{t} ON m{t}.j = r.j AND m{t}.k = (SELECT j FROM {p})" for t, p in enumerate(names))
+        red = f" - ({dbl(0.0)} + {' + '.join(f'm{t}.mi' for t in range(i))}) / {dbl(float(i))}" if i else ""
+        names.append(c.add(f"pick{i + 1}", f"SELECT r.j FROM {rel} r {joins} ORDER BY r.mi{red} DESC, r.j LIMIT 1"))
+    return c.add("picks", " UNION ALL ".join(f"SELECT CAST({i + 1} AS INTEGER) AS rank, j FROM {p}" for i, p in enumerate(names)))

@@ -1,10 +1,8 @@
 """Driver queries for feature selection, GM selection and the tree baseline.
 
 ``mi_relevance`` and ``mrmr_top_k`` use the fuzzy labels as the discrete
-features, so their SQL twins are exact.  MDLP cut points, the MDLP + mRMR
-selection, GM-guided selection and the decision tree are iterative or
-model-based; they are registered without SQL (rows-only check) and are
-tested against brute force on small fixtures in ``tests/``.
+features.  The SQL of MDLP tries every cut of every interval, a common table
+per level, and that of the rules after selection masks the other features.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from fuzzrule.functions.membership import stable_round
 from fuzzrule.operators.prepare import Y, lcol, zcol
 from fuzzrule.operators.select import mdlp_cuts, mrmr, mutual_information
 from fuzzrule.plans import queries as Q
-from fuzzrule.plans.oracle import DATASETS, SqlChain, r6
+from fuzzrule.plans.oracle import DATASETS, SelectionChain, SqlChain, information_sql, mrmr_picks, r6
 from fuzzrule.plans.learner import tree_baseline
 
 MRMR_K = 3
@@ -36,22 +34,13 @@ def q_mi_relevance(spark, sf):
               .select("feature", stable_round("mi", 6).alias("mi")))
 
 
-def _mi_sql(c: SqlChain, cnt: str, keys: str) -> str:
-    tot = f"CAST(sum(n) OVER (PARTITION BY {keys}) AS DOUBLE)"
-    pab = f"(CAST(n AS DOUBLE) / {tot})"
-    pa = f"(CAST(sum(n) OVER (PARTITION BY {keys}, a) AS DOUBLE) / {tot})"
-    pb = f"(CAST(sum(n) OVER (PARTITION BY {keys}, b) AS DOUBLE) / {tot})"
-    return (f"SELECT {keys}, sum(t) AS mi FROM (SELECT {keys}, {pab} * log2({pab} / ({pa} * {pb})) AS t "
-            f"FROM {cnt}) GROUP BY {keys}")
-
-
 def _mi_chain():
     c = SqlChain(DATASETS["D"])
     fz = c.fuzzified()
     long = c.add("long", " UNION ALL ".join(f"SELECT rid, {j} AS j, l{j} AS a, y FROM {fz}"
                                             for j in range(c.d)))
     cnt = c.add("relcnt", f"SELECT j, a, y AS b, count(*) AS n FROM {long} GROUP BY j, a, y")
-    rel = c.add("rel", _mi_sql(c, cnt, "j"))
+    rel = c.add("rel", information_sql(cnt, "j"))
     return c, long, rel
 
 
@@ -72,18 +61,8 @@ def s_mrmr_top_k():
     c, long, rel = _mi_chain()
     pc = c.add("paircnt", f"SELECT x.j AS j, p.j AS k, x.a AS a, p.a AS b, count(*) AS n FROM {long} x "
                           f"JOIN {long} p ON x.rid = p.rid WHERE x.j <> p.j GROUP BY x.j, p.j, x.a, p.a")
-    mi2 = c.add("mi2", _mi_sql(c, pc, "j, k"))
-    p1 = c.add("p1", f"SELECT j FROM {rel} ORDER BY mi DESC, j LIMIT 1")
-    p2 = c.add("p2", f"SELECT r.j FROM {rel} r JOIN {mi2} m ON m.j = r.j AND m.k = (SELECT j FROM {p1}) "
-                     f"ORDER BY r.mi - m.mi / CAST('1.0' AS DOUBLE) DESC, r.j LIMIT 1")
-    p3 = c.add("p3", f"SELECT r.j FROM {rel} r JOIN {mi2} m1 ON m1.j = r.j AND m1.k = (SELECT j FROM {p1}) "
-                     f"JOIN {mi2} m2 ON m2.j = r.j AND m2.k = (SELECT j FROM {p2}) "
-                     f"ORDER BY r.mi - (CAST('0.0' AS DOUBLE) + m1.mi + m2.mi) / CAST('2.0' AS DOUBLE) DESC, "
-                     f"r.j LIMIT 1")
-    names = _name_case(Q.NAMES["D"])
-    return c.with_sql(" UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS rank, {names} AS feature FROM {p}"
-        for i, p in ((1, p1), (2, p2), (3, p3))))
+    picks = mrmr_picks(c, rel, c.add("mi2", information_sql(pc, "j, k")), MRMR_K)
+    return c.with_sql(f"SELECT rank, {_name_case(Q.NAMES['D'])} AS feature FROM {picks}")
 
 
 def q_mdlp_cuts(spark, sf):
@@ -104,42 +83,33 @@ def q_mdlp_first_cut(spark, sf):
         .withColumn("cut", stable_round("cut", 6))
 
 
-def _h_sql(a: str, b: str) -> str:
-    n = f"CAST(({a}) + ({b}) AS DOUBLE)"
+def s_mdlp_first_cut():
+    c = SelectionChain(DATASETS["D"], Q.RuleParams(mdlp_max_bins=2))
+    return c.with_sql(f"SELECT {_name_case(Q.NAMES['D'])} AS feature, {r6('cut')} AS cut FROM {c.cuts()}")
 
-    def term(c):
-        p = f"(CAST({c} AS DOUBLE) / {n})"
-        return f"(CASE WHEN {c} > 0 THEN -{p} * log2({p}) ELSE CAST('0.0' AS DOUBLE) END)"
-    return f"({term(a)} + {term(b)})"
 
+def s_mdlp_cuts():
+    c = SelectionChain(DATASETS["D"])
+    cuts = c.cuts()
+    return c.with_sql(f"SELECT {_name_case(Q.NAMES['D'])} AS feature, CAST(row_number() OVER (PARTITION BY j ORDER BY cut) - 1 AS INTEGER) AS k, "
+                      f"{r6('cut')} AS cut FROM {cuts}")
 
-def s_mdlp_first_cut():
-    c = SqlChain(DATASETS["D"])
-    fz = c.fuzzified()
-    long = c.add("zlong", " UNION ALL ".join(f"SELECT {j} AS j, z{j} AS v, y FROM {fz}" for j in range(c.d)))
-    hist = c.add("hist", f"SELECT j, v, count_if(y = 0) AS c0, count_if(y = 1) AS c1 FROM {long} GROUP BY j, v")
-    cum = c.add("cum", f"SELECT j, v, sum(c0) OVER (PARTITION BY j ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING "
-                       f"AND CURRENT ROW) AS l0, sum(c1) OVER (PARTITION BY j ORDER BY v ROWS BETWEEN UNBOUNDED "
-                       f"PRECEDING AND CURRENT ROW) AS l1, lead(v) OVER (PARTITION BY j ORDER BY v) AS nv FROM {hist}")
-    tot = c.add("tot", f"SELECT j, sum(c0) AS t0, sum(c1) AS t1 FROM {hist} GROUP BY j")
-    e = (f"((x.l0 + x.l1) * {_h_sql('x.l0', 'x.l1')} + (x.r0 + x.r1) * {_h_sql('x.r0', 'x.r1')}) "
-         f"/ CAST(x.t0 + x.t1 AS DOUBLE)")
-    cand = c.add("cand", f"SELECT u.j, u.v, u.nv, u.l0, u.l1, t.t0 - u.l0 AS r0, t.t1 - u.l1 AS r1, t.t0, t.t1 "
-                         f"FROM {cum} u JOIN {tot} t ON u.j = t.j WHERE u.nv IS NOT NULL")
-    best = c.add("best", f"SELECT * FROM (SELECT x.*, {e} AS e, row_number() OVER (PARTITION BY x.j ORDER BY {e}, "
-                         f"x.v) AS rn FROM {cand} x) WHERE rn = 1")
-    n = "CAST(t0 + t1 AS DOUBLE)"
-    ent = _h_sql("t0", "t1")
-    k = "(CAST(t0 > 0 AS INTEGER) + CAST(t1 > 0 AS INTEGER))"
-    k1 = "(CAST(l0 > 0 AS INTEGER) + CAST(l1 > 0 AS INTEGER))"
-    k2 = "(CAST(r0 > 0 AS INTEGER) + CAST(r1 > 0 AS INTEGER))"
-    e2 = (f"(((l0 + l1) * {_h_sql('l0', 'l1')} + (r0 + r1) * {_h_sql('r0', 'r1')}) / {n})")
-    delta = (f"(log2(pow(CAST('3.0' AS DOUBLE), {k}) - 2) - ({k} * {ent} - {k1} * {_h_sql('l0', 'l1')} "
-             f"- {k2} * {_h_sql('r0', 'r1')}))")
-    names = _name_case(Q.NAMES["D"])
-    return c.with_sql(f"SELECT {names} AS feature, {r6('(v + nv) / CAST(' + chr(39) + '2.0' + chr(39) + ' AS DOUBLE)')} "
-                      f"AS cut FROM {best} WHERE t0 + t1 >= 2 AND ({ent} - {e2}) > "
-                      f"(log2({n} - 1) + {delta}) / {n}")
+
+def _selection():
+    return SelectionChain(DATASETS["D"], Q.RuleParams(use_fs=True, rate=0.7))
+
+
+def s_feature_selection():
+    c = _selection()
+    picks = c.picks()
+    return c.with_sql(f"SELECT {_name_case(Q.NAMES['D'])} AS feature FROM {picks}")
+
+
+def s_final_rules_fs():
+    c = _selection()
+    src = c.final()
+    key = c.ant_key()
+    return c.with_sql(f"SELECT rule_id, {key} AS ant_key, cls, {r6('rw')} AS rw, sup, {r6('conf')} AS conf, n_win, n_correct FROM {src}")
 
 
 def q_feature_selection(spark, sf):
@@ -186,10 +156,10 @@ def registry():
     return {
         "mi_relevance": (q_mi_relevance, s_mi_relevance),
         "mrmr_top_k": (q_mrmr_top_k, s_mrmr_top_k),
-        "mdlp_cuts": (q_mdlp_cuts, None),
+        "mdlp_cuts": (q_mdlp_cuts, s_mdlp_cuts),
         "mdlp_first_cut": (q_mdlp_first_cut, s_mdlp_first_cut),
-        "feature_selection": (q_feature_selection, None),
-        "final_rules_fs": (q_final_rules_fs, None),
+        "feature_selection": (q_feature_selection, s_feature_selection),
+        "final_rules_fs": (q_final_rules_fs, s_final_rules_fs),
         "gm_select": (q_gm_select, s_gm_select),
         "gm_select_emb_rate05": (_gm_q("E", rate=0.5), _gm_s("E", rate=0.5)),
         "tree_baseline": (q_tree_baseline, None),

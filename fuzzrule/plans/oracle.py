@@ -91,7 +91,13 @@ EMBEDDINGS = Dataset(
     f"SELECT vec_id AS rid, vec_id AS id, {_DIMS}, CAST(CAST(label < 5 AS INTEGER) AS VARCHAR) AS ystr FROM embeddings",
     64, 0, True)
 
-DATASETS = {"L": LINEITEM, "D": DOCUMENTS, "E": EMBEDDINGS, "M": MISSING}
+FLAGS = Dataset(
+    "flags",
+    "SELECT d.doc_id AS rid, d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS x0, CAST(contains(d.text, ' | ') AS INTEGER) AS x1, "
+    "CAST(contains(d.text, chr(10)) AS INTEGER) AS x2, CAST(d.n_chars > 1000 AS INTEGER) AS x3" + _LABELLED,
+    4, 0, True)
+
+DATASETS = {"L": LINEITEM, "D": DOCUMENTS, "E": EMBEDDINGS, "M": MISSING, "B": FLAGS}
 
 
 def trimf_sql(z: str, a: str, b: str, c: str) -> str:

@@ -4,7 +4,7 @@ equivalent SQL text for the DuckDB oracle (see ``oracle.py``).
 Views: L = lineitem (4 numeric features, class l_linestatus), D =
 documents joined with labels (4 text statistics + lang, class quality),
 E = embeddings (all 64 dimensions, class label < 5; rules of one antecedent),
-M = D with values missing.  Every query reads the whole view; learning
+M = D with values missing, B = documents with boolean features.  Every query reads the whole view; learning
 queries train on all labelled rows, scoring queries score all rows, labelled
 or not (fold queries use a 5-fold split in which every row is tested once).
 """
@@ -28,23 +28,26 @@ from fuzzrule.params import RuleParams
 from fuzzrule.plans.oracle import DATASETS, SqlChain, dbl, factor_sql, r6, round_at_sql
 from fuzzrule.plans.learner import RuleModel, learn
 from fuzzrule.session import ensure_checkpoint_dir
-from fuzzrule.sources.readers import (EMBEDDING_DIMS, documents_features, documents_view,
-                                      embeddings_view, fold_of, lineitem_view, with_missing)
+from fuzzrule.sources.readers import (EMBEDDING_DIMS, LINEITEM_FEATURES, documents_features, documents_view,
+                                      embeddings_view, flags_view, fold_of, lineitem_view, read_fold, with_missing,
+                                      write_fold)
 
-VIEWS = {"L": lineitem_view, "D": documents_view, "E": embeddings_view,
+VIEWS = {"L": lineitem_view, "D": documents_view, "E": embeddings_view, "B": flags_view,
          "M": lambda spark, sf: with_missing(documents_view(spark, sf))}
 # rows to score; M also has an unseen category
 SCORE_VIEWS = {"D": documents_features, "E": embeddings_view,
                "M": lambda spark, sf: with_missing(documents_features(spark, sf)).withColumn(
                    "lang", F.when(F.col("id") % 13 == 0, F.lit("xx")).otherwise(F.col("lang")))}
-LABELS = {"L": "l_linestatus", "D": "quality", "E": "low", "M": "quality"}
-EXCLUDE = {"L": (), "D": ("id",), "E": ("id",), "M": ("id",)}
+LABELS = {"L": "l_linestatus", "D": "quality", "E": "low", "M": "quality", "B": "quality"}
+EXCLUDE = {"L": (), "D": ("id",), "E": ("id",), "M": ("id",), "B": ("id",)}
 # 64 features give C(64, 3) sub-rules a cell at length 3: E learns rules of length 1
 LEARN = {"E": {"max_length": 1}}
 NAMES = {"L": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
          "D": ["n_chars", "n_lines", "upper_share", "uniq_share", "lang_indexed"],
          "E": [f"e{j}" for j in range(EMBEDDING_DIMS)]}
 
+# fitted models that the queries share; older ones are released
+KEPT_MODELS = 6
 _CACHE: dict = {}
 
 
@@ -63,6 +66,9 @@ def fit(spark: SparkSession, sf: str, key: str, **kw) -> RuleModel:
     if ck not in _CACHE:
         _CACHE[ck] = learn(view(spark, sf, key), params_for(key, **kw), label=LABELS[key],
                            exclude=EXCLUDE[key])
+        models = [k for k, v in _CACHE.items() if isinstance(v, RuleModel)]
+        for old in models[:-KEPT_MODELS]:
+            _CACHE.pop(old).release()
     return _CACHE[ck]
 
 
@@ -473,32 +479,52 @@ def s_ml_pipeline():
     return c.with_sql(f"SELECT a.id, a.prediction, b.prediction AS prediction_tu FROM {a} a JOIN {b} b ON a.rid = b.rid")
 
 
+def q_csv_folds(spark, sf):
+    """The lineitem view written as the two header-less files of a fold, read
+    back with inferred types, and summed by class."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", *LINEITEM_FEATURES, "l_linestatus")
+    write_fold(rows, fold_of(F.col("l_orderkey"), FOLDS) == 1, base, "lineitem", "lineitem", 1)
+    out = None
+    for part, df in zip(("tra", "tst"), read_fold(spark, base, "lineitem", "lineitem", 1)):
+        g = df.toDF("l_orderkey", *LINEITEM_FEATURES, "l_linestatus").groupBy("l_linestatus").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"),
+            F.max(F.col("l_discount").cast("double")).alias("most_discount"))
+        g = g.select(F.lit(part).alias("part"), "*")
+        out = g if out is None else out.unionAll(g)
+    return out
+
+
+def s_csv_folds():
+    return ("SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'tst' ELSE 'tra' END AS part, l_linestatus, count(*) AS n, "
+            "CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(max(l_discount) AS DOUBLE) AS most_discount "
+            "FROM lineitem GROUP BY ALL")
+
+
 # ------------------------------------------------------------ fold results
 FOLDS = 5
 
 
 def fold_rows(spark, sf, key="E"):
+    """The result rows of all folds, written by fold and read back."""
     from fuzzrule.operators.report import metrics_dict
+    from fuzzrule.sources.sinks import fold_result, read_fold_results, save_fold_result
     ck = (spark.sparkContext.applicationId, id(spark), sf, key, "folds")
-    if ck in _CACHE:
-        return spark.createDataFrame(_CACHE[ck], FOLD_SCHEMA)
-    df = view(spark, sf, key)
-    rows = []
-    for k in range(1, FOLDS + 1):
-        fcol = fold_of(F.col("id"), FOLDS)
-        train, test = df.filter(fcol != k), df.filter(fcol == k)
-        m = learn(train, params_for(key), label=LABELS[key], exclude=EXCLUDE[key])
-        tr = metrics_dict(m.transform(train, keep=[]))
-        te = metrics_dict(m.transform(test, keep=[]))
-        rows.append((k, tr["accuracy"], te["accuracy"], tr["avg_accuracy"], te["avg_accuracy"],
-                     tr["gm"], te["gm"], m.rules.count(), m.average_rule_length()))
-        m.release()
-    _CACHE[ck] = rows  # one row per fold
-    return spark.createDataFrame(rows, FOLD_SCHEMA)
-
-
-FOLD_SCHEMA = ("fold int, train_acc double, test_acc double, train_avg_acc double, test_avg_acc double, "
-               "train_gm double, test_gm double, n_rules long, avg_rule_length double")
+    if ck not in _CACHE:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fold-results/{uuid.uuid4().hex}"
+        df = view(spark, sf, key)
+        for k in range(1, FOLDS + 1):
+            fcol = fold_of(F.col("id"), FOLDS)
+            train, test = df.filter(fcol != k), df.filter(fcol == k)
+            m = learn(train, params_for(key), label=LABELS[key], exclude=EXCLUDE[key])
+            tr = metrics_dict(m.transform(train, keep=[]))
+            te = metrics_dict(m.transform(test, keep=[]))
+            save_fold_result(fold_result(spark, key, k, m, tr, te), path)
+            m.release()
+        _CACHE[ck] = path
+    return read_fold_results(spark, _CACHE[ck], dataset=key)
+
+
 FOLD_METRICS = ["train_acc", "test_acc", "train_avg_acc", "test_avg_acc", "train_gm", "test_gm"]
 
 
@@ -518,10 +544,13 @@ def s_fold_results():
         mtr = c.add("mtr", "SELECT " + SqlChain.metrics_select(ctr))
         mte = c.add("mte", "SELECT " + SqlChain.metrics_select(cte))
         fin = c.t("final")
-        parts.append(f"SELECT CAST({k} AS INTEGER) AS fold, a.accuracy AS train_acc, b.accuracy AS test_acc, "
+        parts.append(f"SELECT 'E' AS dataset, 'winning' AS method, 'plain' AS variant, CAST({k} AS INTEGER) AS fold, "
+                     f"a.accuracy AS train_acc, b.accuracy AS test_acc, "
                      f"a.avg_accuracy AS train_avg_acc, b.avg_accuracy AS test_avg_acc, a.gm AS train_gm, "
-                     f"b.gm AS test_gm, (SELECT count(*) FROM {fin}) AS n_rules, "
-                     f"(SELECT {round_at_sql('avg(len)', 2)} FROM {fin}) AS avg_rule_length FROM {mtr} a CROSS JOIN {mte} b")
+                     f"b.gm AS test_gm, 3::INTEGER AS n_labels, true AS use_rw, false AS use_fs, NULL::DOUBLE AS fs_rate, "
+                     f"NULL::INTEGER AS n_features_before, NULL::INTEGER AS n_features_after, false AS use_filter, NULL::INTEGER AS ths_used, "
+                     f"(SELECT count(*) FROM {c.t('cells')}) AS n_rules_before, (SELECT count(*) FROM {fin}) AS n_rules_after, "
+                     f"(SELECT {round_at_sql('avg(len)', 2)} FROM {fin}) AS avg_rule_length, false AS tuning FROM {mtr} a CROSS JOIN {mte} b")
         ctes += c.ctes
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + " UNION ALL ".join(parts)
 
@@ -574,6 +603,8 @@ def _registry() -> dict[str, tuple[Callable, Callable | None]]:
         "score_small_blocks": (_score_q("D", "winning", False, "prediction", block_rules=8),
                                _score_s("D", "winning", False, "prediction")),
         "ml_pipeline": (q_ml_pipeline, s_ml_pipeline),
+        "csv_folds": (q_csv_folds, s_csv_folds),
+        "final_rules_boolean": (_final_q("B"), _final_s("B")),
         "score_missing_values": (_score_q("M", "winning", False, "prediction"),
                                  _score_s("M", "winning", False, "prediction")),
         "final_rules_missing_values": (_final_q("M"), _final_s("M")),

@@ -41,6 +41,15 @@ def read_fold(spark: SparkSession, base: str, directory: str, name: str, fold: i
     return (read_table(spark, tra, fmt, schema), read_table(spark, tst, fmt, schema))
 
 
+def write_fold(df: DataFrame, is_test: Column, base: str, directory: str, name: str, fold: int, ext: str = "dat",
+               k: int = 5) -> None:
+    """Write the two header-less files of a fold (the class as last column)."""
+    tra, tst = fold_paths(base, directory, name, fold, ext, k)
+    marked = df.withColumn("__test", is_test)
+    for path, part in ((tra, ~F.col("__test")), (tst, F.col("__test"))):
+        marked.where(part).drop("__test").write.mode("overwrite").option("header", "false").csv(path)
+
+
 def fold_of(id_col: Column, k: int = 5) -> Column:
     """Fold number 1..k of a row from its integer id (every row in one fold)."""
     return (F.pmod(id_col, F.lit(k)) + 1).cast("int")
@@ -85,6 +94,14 @@ def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_features(spark, sf_dir).join(labels, "id")
 
 
+def flags_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B: documents with a quality label, described by boolean features too."""
+    docs = _pq(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = _pq(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return docs.select(F.col("doc_id").alias("id"), "n_chars", F.contains("text", F.lit(" | ")).alias("has_bar"),
+                       F.contains("text", F.lit("\n")).alias("has_lines"), (F.col("n_chars") > 1000).alias("is_long")).join(labels, "id")
+
+
 def with_missing(docs: DataFrame) -> DataFrame:
     """M: values blanked by a rule on the id (null and NaN numbers)."""
     i = F.col("id")

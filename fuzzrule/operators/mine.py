@@ -22,12 +22,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuzzrule.functions.membership import matching_degree
 from fuzzrule.operators.cells import acol
 from fuzzrule.params import RuleParams
+from fuzzrule.session import ensure_checkpoint_dir
 
 
 def subset_masks(d: int, min_len: int, max_len: int) -> list[tuple[int, ...]]:
@@ -181,28 +182,45 @@ def _ant_order(d: int):
     return [F.col(acol(j)) for j in range(d)]
 
 
-def class_positions(rules: DataFrame, d: int) -> DataFrame:
-    """Adds ``_pos`` (0-based position inside the class in (conf, antecedent)
-    order), ``_n`` (class size) and ``_n0`` (size of class 0.0).
-
-    Exact without sorting a whole class in one task: a histogram of
-    (cls, conf) gives, for every confidence value, how many rules of the
-    class sit strictly below it; only rules sharing one confidence value
-    need a window (partitioned by (cls, conf)).  The histogram has at most
-    one row per distinct confidence (Spark broadcasts it only while it is
-    below its own size threshold)."""
-    hist = rules.groupBy("cls", "conf").agg(F.count(F.lit(1)).alias("_k"))
-    w_cls = Window.partitionBy("cls")
-    w_cum = Window.partitionBy("cls").orderBy("conf").rowsBetween(Window.unboundedPreceding, -1)
-    n0 = hist.agg(F.coalesce(F.sum(F.when(F.col("cls") == 0.0, F.col("_k"))), F.lit(0))
-                  .alias("_n0"))
-    hist = (hist.withColumn("_below", F.coalesce(F.sum("_k").over(w_cum), F.lit(0)))
-                .withColumn("_n", F.sum("_k").over(w_cls))
-                .crossJoin(n0))
-    w_tie = Window.partitionBy("cls", "conf").orderBy(*_ant_order(d))
-    return (rules.join(hist.select("cls", "conf", "_below", "_n", "_n0"), ["cls", "conf"])
-                 .withColumn("_pos", F.col("_below") + F.row_number().over(w_tie) - 1)
-                 .drop("_below"))
+def positions(rules: DataFrame, keys: list[str], order: list, parts: int | None = None) -> tuple[DataFrame, dict]:
+    """``rules`` with ``_pos``, the 0-based position in ``order`` inside each
+    group of ``keys``, and the size of each group (two classes, or those and the
+    rule lengths, so a handful).
+
+    Rules are range-partitioned on the keys and the whole order, so neither a
+    group nor rules of one confidence meet in a task; a position is the place in
+    the sorted partition plus what the partitions before it hold of the group
+    (a row per group and partition on the driver)."""
+    spark = rules.sparkSession
+    ensure_checkpoint_dir(spark)
+    cols = [*[F.col(k) for k in keys], *order]
+    parts = parts or max(2, spark.sparkContext.defaultParallelism)
+    # written once, so that places and totals see the same bounds
+    h = (rules.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+         .withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True))
+    part = F.shiftright("_at", 33).cast("int")
+    seen = h.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    sizes: dict = {}
+    base = []
+    for r in sorted(seen, key=lambda r: r["_part"]):
+        group = tuple(r[k] for k in keys)
+        base.append((*group, r["_part"], sizes.get(group, 0) - r["first"]))
+        sizes[group] = sizes.get(group, 0) + r["n"]
+    kinds = ", ".join(f"{k} {dict(h.dtypes)[k]}" for k in keys)
+    table = spark.createDataFrame(base, f"{kinds}, _part int, _base long")
+    out = h.withColumn("_part", part).join(F.broadcast(table), [*keys, "_part"])
+    return out.withColumn("_pos", F.col("_at") + F.col("_base")).drop("_at", "_part", "_base"), sizes
+
+
+def _by_group(keys: list[str], values: dict):
+    """The value of a row's group as an expression."""
+    out = F.lit(0)
+    for group, v in values.items():
+        same = F.lit(True)
+        for k, x in zip(keys, group):
+            same = same & (F.col(k) == F.lit(x))
+        out = F.when(same, F.lit(v)).otherwise(out)
+    return out
 
 
 def rank_filter_class(rules: DataFrame, d: int) -> DataFrame:
@@ -210,45 +228,31 @@ def rank_filter_class(rules: DataFrame, d: int) -> DataFrame:
     floor(n/2) rules.  The kept rules are a contiguous tail of each class, so
     their ``rule_id`` (position in (class, conf, antecedent) order) follows
     from the same positions without a second pass."""
-    ranked = class_positions(rules, d)
-    drop = F.floor(F.col("_n") / 2)
-    kept0 = F.col("_n0") - F.floor(F.col("_n0") / 2)
-    rid = (F.col("_pos") - drop) + F.when(F.col("cls") == 1.0, kept0).otherwise(F.lit(0))
-    return (ranked.filter(F.col("_pos") >= drop)
-                  .withColumn("rule_id", rid.cast("int"))
-                  .drop("_pos", "_n", "_n0"))
+    ranked, sizes = positions(rules, ["cls"], [F.col("conf"), *_ant_order(d)])
+    drop = _by_group(["cls"], {g: n // 2 for g, n in sizes.items()})
+    n0 = sizes.get((0.0,), 0)
+    rid = (F.col("_pos") - drop) + F.when(F.col("cls") == 1.0, n0 - n0 // 2).otherwise(0)
+    return ranked.filter(F.col("_pos") >= drop).withColumn("rule_id", rid.cast("int")).drop("_pos")
 
 
 def rank_filter_class_length(rules: DataFrame, d: int) -> DataFrame:
     """Per (class, length), order by conf descending (then antecedent) and
-    keep positions 0..floor(n/2) (i.e. floor(n/2) + 1 rules, at most n).
-    Positions come from a (class, length, conf) histogram; windows run only
-    over rules sharing one confidence value."""
+    keep positions 0..floor(n/2) (i.e. floor(n/2) + 1 rules, at most n)."""
     keys = ["cls", "len"]
-    hist = rules.groupBy(*keys, "conf").agg(F.count(F.lit(1)).alias("_k"))
-    w_grp = Window.partitionBy(*keys)
-    w_above = (Window.partitionBy(*keys).orderBy(F.col("conf").desc())
-               .rowsBetween(Window.unboundedPreceding, -1))
-    hist = (hist.withColumn("_above", F.coalesce(F.sum("_k").over(w_above), F.lit(0)))
-                .withColumn("_n", F.sum("_k").over(w_grp)))
-    w_tie = Window.partitionBy(*keys, "conf").orderBy(*_ant_order(d))
-    return (rules.join(hist.select(*keys, "conf", "_above", "_n"), [*keys, "conf"])
-                 .withColumn("_pos", F.col("_above") + F.row_number().over(w_tie) - 1)
-                 .filter(F.col("_pos") <= F.floor(F.col("_n") / 2))
-                 .drop("_above", "_n", "_pos"))
+    ranked, sizes = positions(rules, keys, [F.col("conf").desc(), *_ant_order(d)])
+    return ranked.filter(F.col("_pos") <= _by_group(keys, {g: n // 2 for g, n in sizes.items()})).drop("_pos")
 
 
 def rank_filter(rules: DataFrame, d: int, params: RuleParams) -> DataFrame:
     """Rank-filtered rules with ``rule_id`` in (class, conf, antecedent) order."""
     if params.rank_by == "class_length":
-        return number_rules(rank_filter_class_length(rules, d).persist(), d)
+        return number_rules(rank_filter_class_length(rules, d), d)
     return rank_filter_class(rules, d)
 
 
 def number_rules(rules: DataFrame, d: int) -> DataFrame:
     """rule_id = position in (class, conf, antecedent) order; the first rule
-    in this order wins ties when scoring.  Computed from the class
-    positions (histogram + equal-confidence windows), so no global sort."""
-    pos = class_positions(rules, d)
-    rid = F.col("_pos") + F.when(F.col("cls") == 1.0, F.col("_n0")).otherwise(F.lit(0))
-    return pos.withColumn("rule_id", rid.cast("int")).drop("_pos", "_n", "_n0")
+    in this order wins ties when scoring."""
+    pos, sizes = positions(rules, ["cls"], [F.col("conf"), *_ant_order(d)])
+    rid = F.col("_pos") + F.when(F.col("cls") == 1.0, sizes.get((0.0,), 0)).otherwise(0)
+    return pos.withColumn("rule_id", rid.cast("int")).drop("_pos")

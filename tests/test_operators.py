@@ -290,3 +290,23 @@ def test_mdlp_all_levels_match_numpy(docs):
         exp = _mdlp_numpy(pdf[zc[j]].to_numpy(), pdf[Y].to_numpy())
         assert len(cuts[j]) == len(exp)
         assert all(abs(a - b) < 1e-12 for a, b in zip(cuts[j], exp)), (j, cuts[j], exp)
+
+
+def test_positions_do_not_gather_one_confidence(spark):
+    """Rules of one class and confidence are numbered over many partitions."""
+    from fuzzrule.operators.mine import positions, rank_filter_class
+    rules = spark.range(4000).select((F.col("id") % 5 == 0).cast("double").alias("cls"),
+                                     F.when(F.col("id") % 50 == 1, 0.25).otherwise(0.5).alias("conf"),
+                                     F.pmod(F.xxhash64("id"), F.lit(7)).cast("int").alias("a0"), F.col("id").cast("int").alias("a1"))
+    got, sizes = positions(rules, ["cls"], [F.col("conf").desc(), F.col("a0"), F.col("a1")], parts=9)
+    assert sizes == {(0.0,): 3200, (1.0,): 800}
+    for c in (0.0, 1.0):
+        rows = sorted((r for r in got.collect() if r.cls == c), key=lambda r: (-r.conf, r.a0, r.a1))
+        assert [r._pos for r in rows] == list(range(len(rows)))
+    sizes = [n for n in got.rdd.glom().map(len).collect() if n]
+    assert len(sizes) >= 7 and max(sizes) < 0.4 * 4000
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    kept = rank_filter_class(rules, 2).orderBy("rule_id").collect()
+    assert [r.rule_id for r in kept] == list(range(2000))
+    assert [(r.cls, r.conf, r.a0, r.a1) for r in kept] == sorted((r.cls, r.conf, r.a0, r.a1) for r in kept)
+    assert rank_filter_class(rules.limit(0), 2).collect() == []

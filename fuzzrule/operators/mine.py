@@ -159,10 +159,17 @@ def resolve_rules(cells: DataFrame, d: int, params: RuleParams, majority: float,
 
 
 def complete_prototypes(rules: DataFrame, cells: DataFrame, d: int, params: RuleParams) -> DataFrame:
-    """``rules`` with all d prototype coordinates: the cells are joined again
-    with the given rules and summed per (rule, coordinate)."""
+    """``rules`` with all d prototype coordinates: the cells of a rule are found
+    by its first antecedent (an equi-join of the cells' labels and the given
+    rules) and the others checked, then summed per (rule, coordinate)."""
     key = ["_feat", "_lab"]
-    x = _subsets(cells, d, params).join(rules.select(*key, "cls"), [*key, "cls"])
+    own = rules.select(*key, F.col("cls").alias("_cls"), F.try_element_at("_feat", F.lit(1)).alias("_j"),
+                       F.try_element_at("_lab", F.lit(1)).alias("_l"))
+    x = cells.select("cls", "sp1", "sp2", F.array(*[acol(j) for j in range(d)]).alias("_a"),
+                     F.array(*[f"p1_{j}" for j in range(d)]).alias("_p1"), F.array(*[f"p2_{j}" for j in range(d)]).alias("_p2"))
+    x = x.select("*", F.posexplode("_a").alias("_at", "_label"))
+    x = x.join(own, (F.col("_at") == F.col("_j")) & (F.col("_label") == F.col("_l")) & (F.col("cls") == F.col("_cls")))
+    x = x.where(F.forall(F.arrays_zip("_feat", "_lab"), lambda p: F.col("_a")[p["_feat"]] == p["_lab"]))
     long = x.select(*key, "sp1", "sp2", F.posexplode(F.arrays_zip("_p1", "_p2")).alias("j", "p"))
     sums = long.groupBy(*key, "j").agg(
         F.sum("sp1").alias("s1"), F.sum("sp2").alias("s2"), F.count(F.lit(1)).alias("k"),

@@ -500,6 +500,49 @@ def chain(key: str, **params) -> SqlChain:
     return SqlChain(DATASETS[key], RuleParams(**params))
 
 
+class TreeChain(SqlChain):
+    """A small tree from binned class counts: a group of tables per level."""
+
+    BINS, DEPTH = 32, 3
+
+    def binned(self, which: str) -> str:
+        cols = ["rid"] + (["id"] if self.ds.has_id else []) + ["y", "1::BIGINT AS node"]
+        cols += [f"least({self.BINS - 1}, greatest(0, CAST(floor(z{j} * {self.BINS}) AS INTEGER))) AS b{j}" for j in range(self.d)]
+        whole = " AND ".join(f"z{j} IS NOT NULL" for j in range(self.d))
+        return self.add(f"bins_{which}", f"SELECT {', '.join(cols)} FROM {self.fuzzified(which)} WHERE {whole}")
+
+    def moved(self, rows: str, splits: str, name: str) -> str:
+        own = "CASE s.j " + " ".join(f"WHEN {j} THEN r.b{j}" for j in range(self.d)) + " END"
+        keep = ", ".join(["r.rid"] + (["r.id"] if self.ds.has_id else []) + ["r.y"] + [f"r.b{j}" for j in range(self.d)])
+        return self.add(name, f"SELECT {keep}, CASE WHEN s.node IS NULL THEN r.node WHEN {own} <= s.b THEN 2 * r.node ELSE 2 * r.node + 1 END AS node "
+                              f"FROM {rows} r LEFT JOIN {splits} s ON r.node = s.node")
+
+    def tree(self) -> tuple[list[str], str]:
+        """The split tables of all levels, and the class of each leaf."""
+        rows, splits = self.binned("train"), []
+        for level in range(self.DEPTH):
+            long = " UNION ALL ".join(f"SELECT node, {j} AS j, b{j} AS b, y FROM {rows}" for j in range(self.d))
+            hist = self.add(f"th{level}", f"SELECT node, j, b, count_if(y = 0) AS c0, count_if(y = 1) AS c1 FROM ({long}) GROUP BY node, j, b")
+            w = "OVER (PARTITION BY node, j ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            cum = self.add(f"tc{level}", f"SELECT node, j, b, CAST(sum(c0) {w} AS DOUBLE) AS l0, CAST(sum(c1) {w} AS DOUBLE) AS l1, "
+                                         f"CAST(sum(c0) OVER (PARTITION BY node, j) AS DOUBLE) AS t0, CAST(sum(c1) OVER (PARTITION BY node, j) AS DOUBLE) AS t1 FROM {hist}")
+            half = lambda a, b: f"({a} * {a} + {b} * {b}) / ({a} + {b})"
+            score = f"({half('l0', 'l1')} + {half('(t0 - l0)', '(t1 - l1)')})"
+            best = (f"SELECT node, j, b, row_number() OVER (PARTITION BY node ORDER BY {score} DESC, j, b) AS nth FROM {cum} "
+                    f"WHERE t0 + t1 > l0 + l1 AND {score} > {half('t0', 't1')} + {dbl(1e-9)}")
+            splits.append(self.add(f"ts{level}", f"SELECT node, j, b FROM ({best}) WHERE nth = 1"))
+            rows = self.moved(rows, splits[-1], f"tr{level}")
+        return splits, self.add("leaves", f"SELECT node, CASE WHEN count_if(y = 0) >= count_if(y = 1) THEN {dbl(0.0)} ELSE {dbl(1.0)} END AS cls "
+                                          f"FROM {rows} GROUP BY node")
+
+    def tree_predictions(self, which: str) -> str:
+        splits, leaves = self.tree()
+        rows = self.binned(which)
+        for level, s in enumerate(splits):
+            rows = self.moved(rows, s, f"ta_{which}{level}")
+        return self.add(f"tp_{which}", f"SELECT r.*, l.cls AS prediction FROM {rows} r JOIN {leaves} l ON r.node = l.node")
+
+
 def entropy_sql(a: str, b: str) -> str:
     n = f"CAST(({a}) + ({b}) AS DOUBLE)"
 

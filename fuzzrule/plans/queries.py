@@ -605,6 +605,7 @@ def _registry() -> dict[str, tuple[Callable, Callable | None]]:
         "ml_pipeline": (q_ml_pipeline, s_ml_pipeline),
         "csv_folds": (q_csv_folds, s_csv_folds),
         "final_rules_boolean": (_final_q("B"), _final_s("B")),
+        "final_rules_wide": (_final_q("E", max_length=2), _final_s("E", max_length=2)),
         "score_missing_values": (_score_q("M", "winning", False, "prediction"),
                                  _score_s("M", "winning", False, "prediction")),
         "final_rules_missing_values": (_final_q("M"), _final_s("M")),

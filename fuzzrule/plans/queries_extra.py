@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from fuzzrule.functions.membership import stable_round
 from fuzzrule.operators.prepare import Y, lcol, zcol
+from fuzzrule.operators.report import metrics
 from fuzzrule.operators.select import mdlp_cuts, mrmr, mutual_information
+from fuzzrule.operators.tree import fit_tree
 from fuzzrule.plans import queries as Q
-from fuzzrule.plans.oracle import DATASETS, SelectionChain, SqlChain, information_sql, mrmr_picks, r6
+from fuzzrule.plans.oracle import DATASETS, SelectionChain, SqlChain, TreeChain, information_sql, mrmr_picks, r6
 from fuzzrule.plans.learner import tree_baseline
 
 MRMR_K = 3
@@ -152,6 +154,31 @@ def q_tree_baseline(spark, sf):
     return pte.select("id", "prediction")
 
 
+def _small_tree(spark, sf):
+    return fit_tree(Q.view(spark, sf, "D"), "quality", exclude=("id",))
+
+
+def q_small_tree(spark, sf):
+    return _small_tree(spark, sf).transform(Q.SCORE_VIEWS["D"](spark, sf), keep=["id"]).select("id", "prediction")
+
+
+def s_small_tree():
+    c = TreeChain(DATASETS["D"])
+    return c.with_sql(f"SELECT id, prediction FROM {c.tree_predictions('score')}")
+
+
+def q_small_tree_metrics(spark, sf):
+    """Confusion counts and accuracy of the baseline tree on its training rows."""
+    p = _small_tree(spark, sf).transform(Q.view(spark, sf, "D"))
+    return metrics(p).crossJoin(p.agg(*[F.count_if((F.col(Y) == a) & (F.col("prediction") == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)]))
+
+
+def s_small_tree_metrics():
+    c = TreeChain(DATASETS["D"])
+    cnt = c.counts(c.tree_predictions("train"))
+    return c.with_sql(f"SELECT m.*, c.* FROM (SELECT {SqlChain.metrics_select(cnt)}) m CROSS JOIN {cnt} c")
+
+
 def registry():
     return {
         "mi_relevance": (q_mi_relevance, s_mi_relevance),
@@ -163,4 +190,6 @@ def registry():
         "gm_select": (q_gm_select, s_gm_select),
         "gm_select_emb_rate05": (_gm_q("E", rate=0.5), _gm_s("E", rate=0.5)),
         "tree_baseline": (q_tree_baseline, None),
+        "small_tree": (q_small_tree, s_small_tree),
+        "small_tree_metrics": (q_small_tree_metrics, s_small_tree_metrics),
     }

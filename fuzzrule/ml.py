@@ -25,11 +25,11 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
                              MLReadable, MLReader, MLWritable, MLWriter)
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fuzzrule.operators.prepare import Y, Preparer, fit_preparer, fuzzify, lcol, zcol
+from fuzzrule.operators.prepare import Y, Preparer, fit_preparer, fuzzify, lcol, with_own_tables, zcol
 from fuzzrule.params import RuleParams
 from fuzzrule.plans.learner import RuleModel, learn, learn_prepared
 from fuzzrule.session import ensure_checkpoint_dir
@@ -198,11 +198,11 @@ class _PreparedModel(Model, _Saved, HasLabelCol):
         self.prep = prep
 
     def _save_data(self, path: str) -> None:
-        from pyspark.sql import SparkSession
-        _write_text(SparkSession.active(), path, json.dumps(self.prep.to_dict()))
+        spark = SparkSession.active()
+        _write_text(spark, f"{path}/prep", json.dumps(with_own_tables(spark, self.prep.to_dict(), path)))
 
     def _load_data(self, spark, path: str) -> None:
-        self.prep = Preparer.from_dict(json.loads(spark.read.text(path).first()[0]))
+        self.prep = Preparer.from_dict(json.loads(spark.read.text(f"{path}/prep").first()[0]))
 
 
 # ---- indexing and fuzzification ---------------------------------------------------

@@ -191,8 +191,8 @@ def _ant_order(d: int):
 
 def positions(rules: DataFrame, keys: list[str], order: list, parts: int | None = None) -> tuple[DataFrame, dict]:
     """``rules`` with ``_pos``, the 0-based position in ``order`` inside each
-    group of ``keys``, and the size of each group (two classes, or those and the
-    rule lengths, so a handful).
+    group of ``keys``, and the size of each group (two classes, those and the
+    rule lengths, or none: a handful).
 
     Rules are range-partitioned on the keys and the whole order, so neither a
     group nor rules of one confidence meet in a task; a position is the place in
@@ -213,8 +213,8 @@ def positions(rules: DataFrame, keys: list[str], order: list, parts: int | None
         group = tuple(r[k] for k in keys)
         base.append((*group, r["_part"], sizes.get(group, 0) - r["first"]))
         sizes[group] = sizes.get(group, 0) + r["n"]
-    kinds = ", ".join(f"{k} {dict(h.dtypes)[k]}" for k in keys)
-    table = spark.createDataFrame(base, f"{kinds}, _part int, _base long")
+    kinds = "".join(f"{k} {dict(h.dtypes)[k]}, " for k in keys)
+    table = spark.createDataFrame(base, f"{kinds}_part int, _base long")
     out = h.withColumn("_part", part).join(F.broadcast(table), [*keys, "_part"])
     return out.withColumn("_pos", F.col("_at") + F.col("_base")).drop("_at", "_part", "_base"), sizes
 

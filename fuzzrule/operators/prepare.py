@@ -3,8 +3,12 @@ indexing, min-max scaling and fuzzification.
 
 Everything is fitted with a fixed number of passes over the table:
 
-* one ``StringIndexer`` fit for all string features and the class column
-  (one aggregation pass; only the distinct values reach the driver), and
+* one pass that estimates the distinct values of all string features;
+* one ``StringIndexer`` fit for those of at most ``DRIVER_VALUES`` values and the
+  class column (one aggregation pass).  The index of a feature with more values
+  is a table in the shared folder, numbered over range partitions and joined to
+  the data (Spark broadcasts it only below its own size), so its values never
+  reach the driver; and
 * one global aggregate for per-feature min/max and the class counts.
 
 The transform is a pure projection (plus the skip of unseen categories),
@@ -17,6 +21,7 @@ class index (0.0 / 1.0).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
@@ -25,8 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fuzzrule.functions.membership import label_col
+from fuzzrule.session import ensure_checkpoint_dir
 
 Y = "_y"
+# features with more distinct values are indexed by a table
+DRIVER_VALUES = 100_000
 
 
 def zcol(j: int) -> str:
@@ -67,6 +75,30 @@ def finite(df: DataFrame, numeric: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in floats}) if floats else df
 
 
+INDEX = "v string, idx double"
+
+
+def index_table(df: DataFrame, c: str) -> str:
+    """The path of the table (v, idx) of a feature's values: by falling number
+    of rows, then by value, numbered without gathering them."""
+    from fuzzrule.operators.mine import positions
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    numbered, _ = positions(counts, [], [F.col("n").desc(), F.col("v")])
+    place = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/category-index/{uuid.uuid4().hex}"
+    numbered.select("v", F.col("_pos").cast("double").alias("idx")).write.parquet(place)
+    return place
+
+
+def with_own_tables(spark, prep: dict, path: str) -> dict:
+    """A preparation's state with its index tables copied below ``path``."""
+    labels = list(prep.get("cat_labels", ()))
+    for i, place in enumerate(labels):
+        if isinstance(place, str):
+            labels[i] = f"{path}/categories/{i}"
+            spark.read.schema(INDEX).parquet(place).write.mode("overwrite").parquet(labels[i])
+    return {**prep, "cat_labels": labels} if labels else prep
+
+
 @dataclass
 class Preparer:
     """Fitted preparation: index maps, min/max and class facts."""
@@ -74,7 +106,7 @@ class Preparer:
     numeric: list[str]
     categorical: list[str]
     label: str
-    cat_labels: list[list[str]]
+    cat_labels: list          # per string feature its values in order, or the path of its index table
     class_labels: list[str]
     mins: list[float]
     maxs: list[float]
@@ -99,11 +131,12 @@ class Preparer:
 
     # ------------------------------------------------------------ transform
     def _cat_model(self) -> StringIndexerModel | None:
-        if not self.categorical:
+        few = [(c, x) for c, x in zip(self.categorical, self.cat_labels) if not isinstance(x, str)]
+        if not few:
             return None
         return StringIndexerModel.from_arrays_of_labels(
-            self.cat_labels, inputCols=self.categorical,
-            outputCols=[f"{c}_indexed" for c in self.categorical], handleInvalid="skip")
+            [x for _, x in few], inputCols=[c for c, _ in few],
+            outputCols=[f"{c}_indexed" for c, _ in few], handleInvalid="skip")
 
     def _class_model(self) -> StringIndexerModel:
         return StringIndexerModel.from_arrays_of_labels(
@@ -120,6 +153,10 @@ class Preparer:
         m = self._cat_model()
         if m is not None:
             df = m.transform(df)
+        for c, place in zip(self.categorical, self.cat_labels):
+            if isinstance(place, str):  # an inner join leaves unseen and null values out
+                table = df.sparkSession.read.schema(INDEX).parquet(place)
+                df = df.join(table.select(F.col("v").alias(f"__{c}"), F.col("idx").alias(f"{c}_indexed")), F.col(c) == F.col(f"__{c}")).drop(f"__{c}")
         if self.label in df.columns:
             # two known class values: a CASE (codegen) instead of an indexer
             # UDF; rows with another or a null class are skipped
@@ -183,11 +220,14 @@ def fit_preparer(df: DataFrame, n_labels: int = 3, label: str | None = None,
         # the class is always indexed through its string form
         tmp_label = "__class_str"
         work = work.withColumn(tmp_label, F.col(label).cast("string"))
-    inputs = cats + [tmp_label]
+    estimates = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first()
+    many = {c for c in cats if estimates[c] > DRIVER_VALUES}
+    inputs = [c for c in cats if c not in many] + [tmp_label]
     si = StringIndexer(inputCols=inputs, outputCols=[f"__idx{i}" for i in range(len(inputs))],
                        handleInvalid="skip", stringOrderType="frequencyDesc").fit(work)
     labels_arr = [list(x) for x in si.labelsArray]
-    cat_labels, class_labels = labels_arr[:-1], labels_arr[-1]
+    class_labels = labels_arr.pop()
+    cat_labels = [index_table(df, c) if c in many else labels_arr.pop(0) for c in cats]
     _check_two(class_labels, label)
     prep = Preparer(numeric, cats, label, cat_labels, class_labels, [], [], 0, 0, 0, n_labels)
     indexed = prep.index(df)

@@ -26,7 +26,7 @@ from fuzzrule.functions.membership import round_at
 from fuzzrule.operators.cells import acol, cell_rules, support_filter, support_threshold
 from fuzzrule.operators.infer import RuleBlocks, rule_blocks, score
 from fuzzrule.operators.mine import complete_prototypes, rank_filter, resolve_rules
-from fuzzrule.operators.prepare import Preparer, fit_preparer, lcol, zcol
+from fuzzrule.operators.prepare import Preparer, fit_preparer, lcol, with_own_tables, zcol
 from fuzzrule.operators.prune import attach_wins, drop_unused, precision_select, win_counts
 from fuzzrule.operators.report import ant_key, metrics_dict, rule_text
 from fuzzrule.params import RuleParams
@@ -122,7 +122,7 @@ class RuleModel:
     # ---------------------------------------------------------- persistence
     def save(self, path: str) -> None:
         spark = self.rules.sparkSession
-        meta = {"prep": self.prep.to_dict(), "params": self.params.to_dict()}
+        meta = {"prep": with_own_tables(spark, self.prep.to_dict(), path), "params": self.params.to_dict()}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
             .write.mode("overwrite").text(f"{path}/metadata")
         self.rules.write.mode("overwrite").parquet(f"{path}/rules")

@@ -310,3 +310,27 @@ def test_positions_do_not_gather_one_confidence(spark):
     assert [r.rule_id for r in kept] == list(range(2000))
     assert [(r.cls, r.conf, r.a0, r.a1) for r in kept] == sorted((r.cls, r.conf, r.a0, r.a1) for r in kept)
     assert rank_filter_class(rules.limit(0), 2).collect() == []
+
+
+def test_features_with_many_values_are_indexed_by_a_table(spark, monkeypatch, tmp_path):
+    """The same index, rules and scores as with the values on the driver."""
+    from fuzzrule.operators import prepare
+    rows = [(float(i % 7), f"v{(i * i) % 90}", "ab"[i % 2] if i % 9 else None, "p" if (i * i) % 90 < 40 else "n") for i in range(600)]
+    df = spark.createDataFrame(rows, "x double, many string, few string, y string")
+    test = spark.createDataFrame([(1.0, "v4", "a"), (1.0, "new", "a"), (1.0, None, "b"), (2.0, "v9", "b"), (2.0, "v9", None)],
+                                 "x double, many string, few string")
+    plain = learn(df, RuleParams())
+    monkeypatch.setattr(prepare, "DRIVER_VALUES", 10)
+    table = learn(df, RuleParams())
+    assert [isinstance(x, str) for x in table.prep.cat_labels] == [True, False]
+    stored = spark.read.parquet(table.prep.cat_labels[0]).orderBy("idx").collect()
+    assert [r.v for r in stored] == plain.prep.cat_labels[0] and [r.idx for r in stored] == list(map(float, range(len(stored))))
+    table.save(str(tmp_path / "m"))
+    loaded = type(table).load(spark, str(tmp_path / "m"))
+    assert loaded.prep.cat_labels[0].startswith(str(tmp_path))
+    for m in (table, loaded):
+        for data in (df, test):
+            keep = ["x", "many", "few"]
+            a, b = (sorted((tuple(r) for r in k.transform(data, keep=keep).select(*keep, "prediction", "rule_id").collect()), key=repr) for k in (plain, m))
+            assert a == b
+    assert len(table.transform(test).collect()) == 2

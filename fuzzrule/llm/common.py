@@ -85,15 +85,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def distinct_keys(spark: SparkSession, n: int):
-    """An array column of ``n`` integers that hash partitioning puts into ``n``
-    different partitions: groups dealt by them share no task."""
-    first, span = {}, 4 * n + 64
-    while len(first) < n:
-        rows = (spark.range(span, numPartitions=1).select(F.col("id").cast("int").alias("k"))
-                .groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect())
-        first, span = {r.p: r.k for r in rows}, span * 4
-    return F.array(*[F.lit(first[p]) for p in range(n)])
+class Deal:
+    """Deals ``n`` numbered groups to tasks: up to ``FEW`` groups get keys that
+    hash partitioning puts into different partitions, so no two share a task;
+    more of them go by their numbers, several to a task."""
+
+    FEW, TASKS = 2048, 20_000
+
+    def __init__(self, spark: SparkSession, n: int):
+        self.n, self.tasks, first, span = n, min(n, self.TASKS), {}, 4 * n + 64
+        while n <= self.FEW and len(first) < n:
+            rows = (spark.range(span, numPartitions=1).select(F.col("id").alias("k"))
+                    .groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect())
+            first, span = {r.p: r.k for r in rows}, span * 4
+        self.keys = [first[p] for p in range(n)] if first else None
+
+    def key(self, number):
+        """The key of a group's number (from 0)."""
+        if self.keys is None:
+            return number.cast("long")
+        return F.element_at(F.array(*[F.lit(k).cast("long") for k in self.keys]), (number + 1).cast("int"))
+
+    def every(self):
+        """The keys of all groups, as an array."""
+        if self.keys is None:
+            return F.sequence(F.lit(0).cast("long"), F.lit(self.n - 1).cast("long"))
+        return F.array(*[F.lit(k).cast("long") for k in self.keys])
 
 
 def ascii_lower(col):
@@ -126,6 +143,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _POW = {}
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse: kept for a usual piece, made anew
+    for the rare longer one."""
+    if n > 2 * _PIECE:
+        return _powers(_BASE, n), _powers(_INV, n)
+    if "p" not in _POW or len(_POW["p"]) < n:
+        _POW["p"], _POW["i"] = _powers(_BASE, max(n, 1 << 16)), _powers(_INV, max(n, 1 << 16))
+    return _POW["p"], _POW["i"]
+
+
 _SPACE_TABLE = np.zeros(256, dtype=bool)
 _SPACE_TABLE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER_TABLE = np.arange(256, dtype=np.uint8)
@@ -154,11 +183,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         to = max(at + 1, int(np.searchsorted(starts, base + _PIECE)))
         piece = data[base:int(ends[to - 1])]
         n = len(piece) + 1
-        if "p" not in _POW or len(_POW["p"]) < n:
-            _POW["p"], _POW["i"] = _powers(_BASE, max(n, 1 << 16)), _powers(_INV, max(n, 1 << 16))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[piece] * _POW["p"][:n - 1])))
+        power, inverse = _tables(n)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[piece] * power[:n - 1])))
         s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = mix((sums[e] - sums[s]) * _POW["i"][s] + (e - s).astype(np.uint64) * _M1)
+        out[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _M1)
         at = to
     return out
 

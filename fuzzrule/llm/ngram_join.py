@@ -44,7 +44,7 @@ BITMAP = 512
 WORDS64 = BITMAP // 64
 # sets over LARGE shingles also have a bitmap of this many cells, kept apart
 LARGE, LARGE_BITMAP = 1000, 8192
-VERIFY_HASHES = 1 << 18
+VERIFY_HASHES, VERIFY_PARTNERS = 1 << 18, 64
 BITS = [f"b{i}" for i in range(WORDS64)]
 
 
@@ -195,10 +195,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int, perce
     own = reps.join(ids, reps.rep == ids.id, "left_semi").select(F.col("rep").alias("id"), "h1", "h2")
     # an id that holds several texts has a set for each
     sets = written(sets.join(own, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"]).select("id", "s"), "sets")
+    wanted.destroy()
     tidy(spark)
-    # the set of u meets those of its partners in groups of about VERIFY_HASHES
+    # the set of u meets those of its partners in groups of about VERIFY_HASHES, VERIFY_PARTNERS at most
     sizes = reps.select(F.col("rep").alias("v"), "n")
-    parts = pairs.join(sizes, "v").groupBy("u").agg(F.ceil(F.sum("n") / VERIFY_HASHES).alias("parts"))
+    parts = pairs.join(sizes, "v").groupBy("u").agg(F.greatest(F.ceil(F.sum("n") / VERIFY_HASHES), F.ceil(F.count(F.lit(1)) / VERIFY_PARTNERS)).alias("parts"))
     parts = written(parts, "parts")
     left = (pairs.join(parts, "u").join(sets.toDF("v", "sv"), "v")
             .select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v", "sv"))
@@ -224,6 +225,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
     texts = docs.select(doc_id.isNull().alias("missing"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.col(text_col).alias("text"))
     ranks = spark.sparkContext.broadcast(_cell_ranks(texts, n))
     t = written(texts.mapInPandas(_describe(n, percent, ranks), SET), "sets")
+    ranks.destroy()
 
     # 1. classes of equal sets; 2. groups of equal size and prefix
     live = t.where("id is not null and n > 0")

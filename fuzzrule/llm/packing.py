@@ -97,17 +97,11 @@ def text_blocks(text: str, at_most: int = LONG_TEXT) -> list[str]:
     return [*out, text[start:]]
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(ranks_file: bytes):
-    """The tokenizer of a rank file's content (kept per Python worker)."""
-    key = zlib.crc32(ranks_file)
-    if key not in _ENCODERS:
-        import tiktoken
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks_file.splitlines() if x)}
-        _ENCODERS[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[key]
+    """The tokenizer of a rank file's content."""
+    import tiktoken
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks_file.splitlines() if x)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokens(enc, text: str, kind) -> np.ndarray:
@@ -115,8 +109,10 @@ def tokens(enc, text: str, kind) -> np.ndarray:
 
 
 def _pack(ranks, pad_id: int, width: int, folder: str, kind):
+    own = {}  # the tokenizer lives as long as its task
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        enc = encoder(ranks.value)
+        enc = own.get("enc") or own.setdefault("enc", encoder(ranks.value))
         pdf = pdf.sort_values(["missing", "id", "text"], kind="stable")
         pieces, owner, number = [], [], []
         missing, ids = pdf["missing"].to_numpy(dtype=bool), pdf["id"].to_numpy(dtype=np.int64)
@@ -179,7 +175,9 @@ def pack_documents(docs: DataFrame, id_col: str, text_col: str, folder: str, wid
     root_fs, root = pafs.FileSystem.from_uri(folder)
     root_fs.create_dir(root, recursive=True)
     dealt = full.withColumn("grp", F.pmod(F.xxhash64("id", "missing", "text"), F.lit(groups)))
-    return written(dealt.groupBy("grp").applyInPandas(_pack(ranks, pad_id, width, folder, kind), MANIFEST), "manifest")
+    done = written(dealt.groupBy("grp").applyInPandas(_pack(ranks, pad_id, width, folder, kind), MANIFEST), "manifest")
+    ranks.destroy()
+    return done
 
 
 def read_packed(manifest: DataFrame, folder: str) -> DataFrame:

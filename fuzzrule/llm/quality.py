@@ -217,18 +217,23 @@ def _score(model):
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", **how) -> DataFrame:
     """(row, score) for each row of ``docs``: its id, text hash and score."""
+    return _scored(docs, labels, id_col, text_col, label_col, **how)[0]
+
+
+def _scored(docs, labels, id_col, text_col, label_col="quality", **how):
     m = fit_quality(docs, labels, id_col, text_col, label_col, **how)
     model = docs.sparkSession.sparkContext.broadcast(m if isinstance(m, AttentionModel) else float(m))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_score(model), "id string, row long, __score double")
+    return rows.mapInPandas(_score(model), "id string, row long, __score double"), model
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5,
               **how) -> DataFrame:
     """``docs`` without the documents that score below ``least``."""
-    bad = (score_quality(docs, labels, id_col, text_col, **how).where(F.col("__score") < least)
-           .select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct())
+    scores, model = _scored(docs, labels, id_col, text_col, **how)
+    bad = scores.where(F.col("__score") < least).select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
     bad = written(bad, "rejected")
+    model.destroy()
     same = F.col(id_col).cast("string").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__row"))
     return docs.join(bad, same, "left_anti")
 

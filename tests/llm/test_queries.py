@@ -67,7 +67,7 @@ def test_pipeline_equals_its_parts(spark):
     s = quality.score_quality(seen[0][0], labels).collect()
     assert ids[0][1] == {int(r.id) for r in s if r["__score"] >= 0.5}
     rows = [(r.doc_id, r.text) for r in seen[1][0].select("doc_id", "text").collect()]
-    assert ids[1][1] == {c for _, _, c in brute_components(rows)}
+    assert ids[1][1] == {c for _, _, c in brute_components(rows, 5, 80)}
     bench = [r.text for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.text) for r in seen[2][0].select("doc_id", "text").collect()]
     exact = {i for i, t in rows if any(b in t for b in bench)}

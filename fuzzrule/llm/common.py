@@ -4,6 +4,7 @@ table reading, word tokens and connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -120,6 +121,14 @@ def ascii_lower(col):
         F.translate(col, UPPER, LOWER))
 
 
+def give_back() -> None:
+    """At the end of a Python task: memory that it freed goes back to the system,
+    as Spark keeps the worker process (where the C library can do that)."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # ---- words as 64-bit numbers (numpy, for use inside tasks) ------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzrule.llm.common import components, mix, ngram_hashes, read_table, scratch, shingle_sets, tidy, word_runs, written
+from fuzzrule.llm.common import components, give_back, mix, ngram_hashes, read_table, scratch, shingle_sets, tidy, word_runs, written
 
 CELL_BITS = 18
 BITMAP = 512
@@ -58,6 +58,7 @@ def _count_cells(n: int):
                 total += np.bincount(cell, minlength=len(total))
         full = np.flatnonzero(total)
         yield pd.DataFrame({"cell": full.astype(np.int32), "n": total[full]})
+        give_back()
     return run
 
 
@@ -102,6 +103,7 @@ def _describe(n: int, percent: int, ranks):
                 out.append((doc, size, *_signature(h), *_signature(prefix), prefix.view(np.int64), *bits.tolist(), large))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in SET.split(", ")])
             yield frame.astype({"id": "Int64"})
+        give_back()
     return run
 
 
@@ -132,6 +134,7 @@ def _sets(n: int, wanted, bits: int):
                     out.append((ids[i], *_signature(h), h.tobytes()))
             if out:
                 yield pd.DataFrame(out, columns=["id", "h1", "h2", "s"])
+        give_back()
     return run
 
 

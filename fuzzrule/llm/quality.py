@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzrule.llm.common import read_table, span_hashes, word_spans, written
+from fuzzrule.llm.common import give_back, read_table, span_hashes, word_spans, written
 
 PASSAGE_WORDS = 64
 BYTES_AT_ONCE = 2 << 20
@@ -211,6 +211,7 @@ def _score(model):
                 else:
                     score = m.forward(*passages(part["text"].tolist()))[0] if len(part) else []
                 yield part.drop(columns="text").assign(__score=score)
+        give_back()
     return run
 
 

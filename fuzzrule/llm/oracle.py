@@ -133,24 +133,40 @@ FROM p LEFT JOIN f ON p.digest = f.digest
 """
 
 
-def _mixing(cycles: int = 8, rate: float = 0.5) -> str:
-    steps, last = [], "w0"
+def _mixing(groups: int = 6, cycles: int = 4, rate: float = 0.5) -> str:
+    """Groups of cycles; a group changes nothing once the marginals have settled."""
     targets = [("source", 0.5), ("lang", 0.7), ("topic", 0.7)]
+    steps, feasible, last = [], [f"{rate}"], "g0"
     for dim, power in targets:
         steps.append(f"""t_{dim} AS MATERIALIZED (
-  SELECT {dim}, pow(CAST(t AS DOUBLE), {power}) * (SELECT sum(tokens) FROM cells)
+  SELECT {dim}, t, pow(CAST(t AS DOUBLE), {power}) * (SELECT sum(tokens) FROM cells)
          / sum(pow(CAST(t AS DOUBLE), {power})) OVER () AS target
   FROM (SELECT {dim}, sum(tokens) AS t FROM cells GROUP BY {dim}) WHERE t > 0)""")
-    steps.append("w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, CAST(tokens AS DOUBLE) AS w FROM cells)")
-    for c in range(cycles):
-        for dim, _ in targets:
-            name = f"w{c}_{dim}"
-            steps.append(f"""{name} AS MATERIALIZED (
-  SELECT x.source, x.lang, x.topic, x.tokens,
-         x.w * coalesce(CASE WHEN s.s > 0 THEN t.target / s.s END, 0) AS w
-  FROM {last} x LEFT JOIN (SELECT {dim}, sum(w) AS s FROM {last} GROUP BY {dim}) s ON x.{dim} = s.{dim}
+        feasible.append(f"coalesce((SELECT 0.95::DOUBLE * min(t / target) FROM t_{dim} WHERE target > 0), 1)")
+    steps.append(f"rate AS MATERIALIZED (SELECT least({', '.join(feasible)}) AS rate)")
+    steps.append("""g0 AS MATERIALIZED (SELECT source, lang, topic, tokens, CAST(tokens AS DOUBLE) AS w,
+  tokens / CAST(rate AS DOUBLE) AS most, false AS settled FROM cells, rate)""")
+    for g in range(1, groups + 1):
+        start = last
+        for c in range(cycles):
+            for dim, _ in targets:
+                name = f"w{g}_{c}_{dim}"
+                steps.append(f"""{name} AS MATERIALIZED (
+  SELECT x.source, x.lang, x.topic, x.tokens, x.most, x.settled, least(x.most,
+         CASE WHEN s.held + s.free <= 0 THEN 0 WHEN coalesce(t.target, 0) / (s.held + s.free) < 1 THEN x.w * (coalesce(t.target, 0) / (s.held + s.free))
+              WHEN x.w >= x.most * (1 - 1e-9) THEN x.w
+              WHEN s.free > 0 THEN x.w * (greatest(t.target - s.held, 0) / s.free) ELSE x.w END) AS w
+  FROM {last} x JOIN (SELECT {dim}, coalesce(sum(w) FILTER (w >= most * (1 - 1e-9)), 0) AS held,
+                             coalesce(sum(w) FILTER (w < most * (1 - 1e-9)), 0) AS free FROM {last} GROUP BY {dim}) s ON x.{dim} = s.{dim}
   LEFT JOIN t_{dim} t ON x.{dim} = t.{dim})""")
-            last = name
+                last = name
+        off = " UNION ALL ".join(f"SELECT abs(sum(w) / any_value(target) - 1) AS off FROM n{g} JOIN t_{dim} USING ({dim}) WHERE target > 0 GROUP BY {dim}"
+                                 for dim, _ in targets)
+        steps.append(f"""n{g} AS MATERIALIZED (
+  SELECT a.source, a.lang, a.topic, a.tokens, a.most, CASE WHEN a.settled THEN a.w ELSE b.w END AS w
+  FROM {start} a JOIN {last} b ON a.source = b.source AND a.lang = b.lang AND a.topic = b.topic)""")
+        steps.append(f"g{g} AS MATERIALIZED (SELECT *, coalesce((SELECT max(off) FROM ({off})), 0) <= 0.005 AS settled FROM n{g})")
+        last = f"g{g}"
     chain = ",\n".join(steps)
     return f"""
 WITH light AS MATERIALIZED (
@@ -163,7 +179,7 @@ WITH light AS MATERIALIZED (
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM light GROUP BY ALL),
 {chain},
 p AS (SELECT source, lang, topic,
-             CASE WHEN tokens > 0 THEN least(1.0, {rate} * w / tokens) ELSE {rate} END AS probability FROM {last})
+             CASE WHEN tokens > 0 THEN least(1.0, rate * w / tokens) ELSE rate END AS probability FROM {last}, rate)
 SELECT l.doc_id, l.topic, l.n_tokens, round(p.probability, 6) AS probability,
        CAST(CAST('0x' || substr(md5('mix-1:' || l.doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0
          < p.probability AS selected

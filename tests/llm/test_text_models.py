@@ -19,9 +19,9 @@ def shingles(text, n=3):
     return frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def brute_components(rows):
+def brute_components(rows, n=3, percent=90):
     """By testing every pair; rows of one id are one document."""
-    nodes, parent = [(i, shingles(t)) for i, t in rows], {}
+    nodes, parent = [(i, shingles(t, n)) for i, t in rows], {}
 
     def find(x):
         while parent.get(x, x) != x:
@@ -31,7 +31,7 @@ def brute_components(rows):
         for j, u in nodes[:a]:
             if i is None or j is None:
                 continue
-            if (s and u and 100 * len(s & u) >= 90 * len(s | u)) or (i == j and s and u):
+            if (s and u and 100 * len(s & u) >= percent * len(s | u)) or (i == j and s and u):
                 parent[find(i)] = find(j)
     least = {}
     for i, _ in nodes:
@@ -214,6 +214,7 @@ def test_gram_product_equals_dense():
 
 
 def test_mixing_meets_the_targets(spark):
+    from fuzzrule.llm import mixing as M
     from fuzzrule.llm.mixing import mixed_documents, rake, sample_documents
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(1, 80)) + rng.choice(["", " | x", " = 3", " a@b"]), rng.choice(["en", "en", "de", None]),
@@ -225,13 +226,24 @@ def test_mixing_meets_the_targets(spark):
     assert len(got) == len(rows) and all(0 <= r.probability <= 1 for r in got)
     counts = {(d, t): len(WORD.findall(t or "")) for d, t, *_ in rows}
     assert sorted(r.n_tokens for r in got) == sorted(len(WORD.findall(t or "")) for _, t, *_ in rows) and counts
-    # the raked weights meet given marginals
+    # the raked weights meet given marginals, fitted in memory or on DataFrames
     cells = m.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
+    cells = cells.where("lang <> 'xx' and topic <> '(none)'").persist()
     goal = {"source": {"big": 0.5, "small": 0.3, "(none)": 0.2}, "lang": {"en": 0.2, "de": 0.5, "(none)": 0.3}}
-    w = rake(cells.where("lang <> 'xx' and topic <> '(none)'"), goal, cycles=30).toPandas()
-    for dim, shares in goal.items():
-        for k, v in (w.groupby(dim).weight.sum() / w.weight.sum()).items():
-            assert v == pytest.approx(shares[k], abs=1e-4)
+    goals = {d: M._shares(cells, d, t).persist() for d, t in goal.items()}
+    for rate in (0.01, M.feasible_rate(cells, goals, 0.9)):
+        w = rake(cells, goals, rate).toPandas()
+        assert (w.weight <= w.most * (1 + 1e-9)).all()
+        for dim, shares in goal.items():
+            for k, v in (w.groupby(dim).weight.sum() / w.weight.sum()).items():
+                assert v == pytest.approx(shares[k], rel=0.011)
+        slow = {(r.source, r.lang, r.topic): r.weight for r in rake(cells, goals, rate, small=0).collect()}
+        assert slow == {(r.source, r.lang, r.topic): pytest.approx(r.weight, rel=1e-9) for r in w.itertuples()}
+    report = M.mix_report(docs, rate=0.9).collect()
+    assert {r.rate for r in report} == {M.feasible_rate(m.groupBy(*M.DIMS).agg(F.sum("n_tokens").alias("tokens")), {
+        d: M._shares(m.groupBy(*M.DIMS).agg(F.sum("n_tokens").alias("tokens")), d, t) for d, t in M.TARGETS.items()}, 0.9)}
+    assert all(abs(r.reached - r.target) <= 0.011 * r.target for r in report if r.met) and sum(r.met for r in report) >= len(report) - 2
+    assert sum(r.target for r in report if r.dim == "lang") == pytest.approx(1)
     kept = sample_documents(docs, rate=0.4)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in got if r.selected}

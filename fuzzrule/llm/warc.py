@@ -67,7 +67,7 @@ def record(page_id, nth: int, url: str, payload: bytes, digest: str, refers_to,
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
-def _write(folder: str, roll_bytes: int, date: str):
+def _write(folder: str, roll_bytes: int, date: str, run_id: str):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """left: a shard's pages; right: its pages that repeat a payload."""
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -77,18 +77,20 @@ def _write(folder: str, roll_bytes: int, date: str):
         pages = left.sort_values(["has_id", "page_id", "url", "html"], na_position="first", kind="stable")
         shard, seen, responded = int(left["shard"].iloc[0]) if len(left) else -1, {}, set()
 
+        def start():
+            name = f"part-{shard:06d}-{len(files):04d}.warc.gz"
+            temp = f"_tmp-{run_id}-{uuid.uuid4().hex}-{name}"
+            files.append({"stream": fs.open_output_stream(f"{root}/{temp}", compression=None), "sha": hashlib.sha256(), "name": name,
+                          "temp": temp, "ids": [], "size": 0})
+
         def close():
-            data = b"".join(files[-1]["members"])
-            name = f"part-{shard:06d}-{len(files) - 1:04d}.warc.gz"
-            temp = f"_tmp-{uuid.uuid4().hex}-{name}"
-            with fs.open_output_stream(f"{root}/{temp}", compression=None) as f:
-                f.write(data)
-            ids = [x for x in files[-1]["ids"] if x is not None]
-            for c, v in (("shard", shard), ("seq", len(files) - 1), ("temp", temp), ("path", name), ("records", len(files[-1]["ids"])),
-                         ("bytes", len(data)), ("sha256", hashlib.sha256(data).hexdigest()),
+            own = files[-1]
+            own["stream"].close()
+            ids = [x for x in own["ids"] if x is not None]
+            for c, v in (("shard", shard), ("seq", len(files) - 1), ("temp", own["temp"]), ("path", own["name"]), ("records", len(own["ids"])),
+                         ("bytes", own["size"]), ("sha256", own["sha"].hexdigest()),
                          ("first_id", min(ids, default=None)), ("last_id", max(ids, default=None))):
                 out[c].append(v)
-            files[-1]["members"] = None
 
         for has, page, url, html in zip(pages["has_id"], pages["page_id"], pages["url"], pages["html"]):
             page = int(page) if has else None
@@ -103,8 +105,9 @@ def _write(folder: str, roll_bytes: int, date: str):
             if not files or files[-1]["size"] + len(member) > roll_bytes:
                 if files:
                     close()
-                files.append({"members": [], "ids": [], "size": 0})
-            files[-1]["members"].append(member)
+                start()
+            files[-1]["stream"].write(member)
+            files[-1]["sha"].update(member)
             files[-1]["ids"].append(page)
             files[-1]["size"] += len(member)
         if files:
@@ -154,7 +157,10 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     root_fs.create_dir(root, recursive=True)
     left = p.withColumn("shard", shard_of("has_id", "page_id"))
     right = again.withColumn("shard", shard_of("has_id", "page_id"))
-    done = written(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(_write(folder, roll_bytes, date), MANIFEST), "done")
+    # an explicit count, which AQE does not merge: shards are large enough for tasks of their own
+    parts, run_id = max(1, len(firsts)), uuid.uuid4().hex
+    done = written(left.repartition(parts, "shard").groupBy("shard").cogroup(right.repartition(parts, "shard").groupBy("shard"))
+                   .applyInPandas(_write(folder, roll_bytes, date, run_id), MANIFEST), "done")
 
     def commit(batches):
         """Give the finished files their names (again, where a task is repeated)."""
@@ -167,7 +173,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     raise FileNotFoundError(path)
             yield pdf.drop(columns="temp")
     columns = ", ".join(c for c in MANIFEST.split(", ") if not c.startswith("temp"))
-    return written(done.mapInPandas(commit, columns), "manifest")
+    manifest = written(done.mapInPandas(commit, columns), "manifest")
+    for left_over in root_fs.get_file_info(pafs.FileSelector(root)):  # of own tasks that were lost or repeated
+        if left_over.base_name.startswith(f"_tmp-{run_id}-"):
+            root_fs.delete_file(left_over.path)
+    return manifest
 
 
 def records_of(stream) -> tuple:
@@ -190,7 +200,7 @@ def records_of(stream) -> tuple:
         yield head, block
 
 
-def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
+def read_warc(manifest: DataFrame, folder: str, task_bytes: int = 256 << 20) -> DataFrame:
     """A row per record of the files that the manifest lists; block and
     payload digests are verified on the way."""
     def run(batches):
@@ -210,7 +220,10 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                                      head["warc-type"], int(to) if to else None, path))
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-    return manifest.select("path").repartition(F.col("path")).mapInPandas(run, RECORDS)
+    # a task for about `task_bytes` of archive, but no more tasks than files
+    files, size = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(1, min(files, max(2 * manifest.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // task_bytes))))
+    return manifest.select("path").repartition(tasks, "path").mapInPandas(run, RECORDS)
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

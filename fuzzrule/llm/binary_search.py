@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzrule.llm.common import read_table, written
+from fuzzrule.llm.common import Deal, read_table, written
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64) -> DataFrame:
@@ -140,20 +140,20 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, blo
     few = codes.withColumn("__n", F.expr("row_number() over (partition by code order by id)")).where(F.col("__n") <= k + 1)
     distinct = written(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     blocks = max(min_blocks, -(-distinct.count() // block_rows))
-    block = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
-    index = distinct.withColumn("block", block)
+    deal = Deal(distinct.sparkSession, blocks)
+    key_of = lambda code: deal.key(F.pmod(F.xxhash64(code), F.lit(blocks)))
+    index = distinct.withColumn("block", key_of("code")).repartition(deal.tasks, "block")
     q = written(queries.select(F.col("id").alias("q"), F.col("code").alias("qcode")), "queries")
     found = "q long, id long, d int"
-    own = q.select(F.pmod(F.xxhash64("qcode"), F.lit(blocks)).cast("int").alias("block"), "q", "qcode", F.lit(bits).alias("bound"))
-    search = lambda w: (index.groupBy("block").cogroup(w.groupBy("block"))
+    own = q.select(key_of("qcode").alias("block"), "q", "qcode", F.lit(bits).alias("bound"))
+    search = lambda w: (index.groupBy("block").cogroup(w.repartition(deal.tasks, "block").groupBy("block"))
                         .applyInPandas(_search(bits, k), found))
     first = written(search(own), "first")
     bound = first.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).select(
         "q", F.when(F.col("n") >= k, F.col("d")).otherwise(bits).alias("bound"))
     rest = (q.join(bound, "q", "left").select(
         "q", "qcode", F.coalesce("bound", F.lit(bits)).alias("bound"),
-        F.pmod(F.xxhash64("qcode"), F.lit(blocks)).cast("int").alias("__own"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        key_of("qcode").alias("__own"), F.explode(deal.every()).alias("block"))
         .where("block <> __own").drop("__own"))
     both = first.unionAll(search(rest))
     rank = F.expr("row_number() over (partition by q order by d, id)")

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzrule.llm.common import distinct_keys, read_table, scratch, written
+from fuzzrule.llm.common import Deal, read_table, scratch, written
 
 PLANES = 6
 SEED = 11
@@ -237,20 +237,19 @@ def mine(vectors: DataFrame, anchors: DataFrame, dim: int = 64, positives: int =
         asked = written(anchors.select(F.col("id").alias("anchor"), "label", "vec"), "anchors")
         n_blocks = max(min_blocks, -(-index.count() // block_rows))
         n_asked = max(1, -(-asked.count() // query_rows))
-        keys = distinct_keys(spark, n_blocks * n_asked)  # a partition of its own for each pair
-        pair = F.col("__b") * n_asked + F.col("__q")
+        deal = Deal(spark, n_blocks * n_asked)
+        pair = deal.key(F.col("__b") * n_asked + F.col("__q"))
         data = index.withColumn("__b", F.pmod(F.xxhash64("vec", "label"), F.lit(n_blocks))).withColumn(
             "__q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-        data = data.withColumn("pair", F.element_at(keys, (pair + 1).cast("int"))).select("pair", "label", "vec", "ids")
+        data = data.withColumn("pair", pair).select("pair", "label", "vec", "ids")
 
         def dealt(q: DataFrame) -> DataFrame:
             q = q.withColumn("__q", F.pmod(F.xxhash64("anchor"), F.lit(n_asked))).withColumn(
                 "__b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-            return q.withColumn("pair", F.element_at(keys, (pair + 1).cast("int"))).drop("__q", "__b")
+            return q.withColumn("pair", pair).drop("__q", "__b")
 
         def search(q: DataFrame, function, schema: str) -> DataFrame:
-            n = n_blocks * n_asked
-            return (data.repartition(n, "pair").groupBy("pair").cogroup(dealt(q).repartition(n, "pair").groupBy("pair"))
+            return (data.repartition(deal.tasks, "pair").groupBy("pair").cogroup(dealt(q).repartition(deal.tasks, "pair").groupBy("pair"))
                     .applyInPandas(function, schema))
         best = search(asked, _positive_groups(dim, positives), "anchor long, id long, score long")
         rank = F.expr("row_number() over (partition by anchor order by score desc, id)")

@@ -65,6 +65,18 @@ def test_hard_negatives_equal_brute_force(spark, dim):
     assert H.mine(v, asked.limit(0), dim).collect() == []
 
 
+def test_groups_are_dealt_to_tasks_of_their_own(spark, monkeypatch):
+    from fuzzrule.llm.common import Deal
+    rows = spark.range(240).select((F.col("id") % 24).alias("g"))
+    deal = Deal(spark, 24)
+    sizes = rows.select(deal.key(F.col("g")).alias("k")).repartition(deal.tasks, "k").rdd.glom().map(len).collect()
+    assert sizes == [10] * 24 and spark.range(1).select(F.size(deal.every())).first()[0] == 24
+    monkeypatch.setattr(Deal, "FEW", 5)
+    many = Deal(spark, 24)
+    assert [r[0] for r in rows.select(many.key(F.col("g"))).distinct().orderBy(1).collect()] == list(range(24))
+    assert spark.range(1).select(F.explode(many.every())).count() == 24
+
+
 def test_intervals_hold_every_score():
     from fuzzrule.llm import hard_negatives as H
     rng = np.random.default_rng(3)

@@ -65,7 +65,7 @@ def _running(offsets):
         def closed(row, nxt):
             j, v, c0, c1, cum0, cum1 = row
             if nxt is None:
-                return None
+                return (j, v, None, cum0, cum1, False)
             nv, n0, n1 = nxt
             same = (c0 == 0 and n0 == 0) or (c1 == 0 and n1 == 0)
             return (j, v, nv, cum0, cum1, not same)
@@ -80,18 +80,17 @@ def _running(offsets):
                 run1[j] += c1
                 if wait is not None:
                     nxt = (v, c0, c1) if wait[0] == j else offsets[(pid, wait[0])][2]
-                    if row := closed(wait, nxt):
-                        out.append(row)
+                    out.append(closed(wait, nxt))
                 wait = (j, v, c0, c1, run0[j], run1[j])
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CUMULATIVE.split(", ")])
-        if wait is not None and (row := closed(wait, offsets[(pid, wait[0])][2])):
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in CUMULATIVE.split(", ")])
+        if wait is not None:
+            yield pd.DataFrame([closed(wait, offsets[(pid, wait[0])][2])], columns=[c.split()[0] for c in CUMULATIVE.split(", ")])
     return run
 
 
 def cumulative_histogram(hist: DataFrame, parts: int | None = None) -> DataFrame:
-    """(j, v, nv, cum0, cum1, boundary) of every value but each feature's last:
-    inclusive prefix counts in value order, the next distinct value, and whether
+    """(j, v, nv, cum0, cum1, boundary) of every value: inclusive prefix counts in
+    value order, the next distinct value (null at a feature's last), and whether
     a cut between the two can be the best of an interval.
 
     Exact and balanced whatever the value distribution: the histogram is

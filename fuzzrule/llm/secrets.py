@@ -87,13 +87,21 @@ def dictionary(docs: DataFrame, text_col: str, share: float = 0.002, least: int
 
 
 def _covered(cands: DataFrame, words: DataFrame) -> DataFrame:
-    """(secret, f_words): the share of each distinct candidate's characters
-    that lie in dictionary words (its runs of letters, camel case split)."""
+    """(of, f_words): the share of each distinct candidate's characters that lie
+    in dictionary words (its runs of letters, camel case split); ``of`` is its
+    digest, and candidates without such a word have no row."""
     runs = F.regexp_extract_all(F.col("secret"), F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0))
-    parts = cands.select("secret").distinct().select("secret", F.explode_outer(runs).alias("run"))
-    return (parts.join(words.withColumnRenamed("word", "run2"), F.lower("run") == F.col("run2"), "left")
-            .groupBy("secret").agg((F.sum(F.when(F.col("run2").isNotNull(), F.length("run")).otherwise(0))
-                                    / F.max(F.length("secret"))).alias("f_words")))
+    # a run goes with its candidate's digest, not with the candidate: a long one has many runs
+    # (made before the runs are spread, or it would be made anew for each of them)
+    each = cands.select("secret").distinct().select(_digest("secret").alias("of"), F.length("secret").alias("n"), runs.alias("runs"))
+    parts = each.select("of", "n", F.explode("runs").alias("run"))
+    parts = parts.groupBy("of", "n", F.lower("run").alias("run")).agg(F.sum(F.length("run")).alias("chars"))
+    return (parts.join(words.withColumnRenamed("word", "run"), "run").groupBy("of")
+            .agg((F.sum("chars") / F.max("n")).alias("f_words")))
+
+
+def _digest(col: str) -> Column:
+    return F.unhex(F.md5(F.col(col).cast("binary")))
 
 
 def with_features(cands: DataFrame, words: DataFrame) -> DataFrame:
@@ -119,7 +127,9 @@ def with_features(cands: DataFrame, words: DataFrame) -> DataFrame:
            .withColumn("f_url", flag(F.col("before").rlike(r"(https?://|www\.)\S*$"))).withColumn("f_path", flag(F.lower("path").rlike(PATH_WORDS)))
            .withColumn("f_only_digits", flag(s.rlike("^[0-9\\-]+$")))
            .withColumn("f_uuid", flag(F.lower(s).rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"))))
-    return out.join(written(_covered(cands, words), "covered"), "secret", "left").withColumn("f_words", F.coalesce("f_words", F.lit(0.0)))
+    covered = written(_covered(cands, words), "covered")
+    return (out.withColumn("of", _digest("secret")).join(covered, "of", "left").drop("of")
+            .withColumn("f_words", F.coalesce("f_words", F.lit(0.0))))
 
 
 # Templates of labelled findings; {x} stands for hex digits of a hash, {d} for
@@ -136,6 +146,11 @@ TEMPLATES = [
 ]
 
 
+# where findings were made: real ones mostly in sources, others mostly in tests and documents
+PATHS = {1: ("src/app.py", "deploy/prod.env", "conf/service.yaml", "lib/client.js", "tests/test_client.py"),
+         0: ("tests/fixtures/data.py", "docs/readme.md", "src/app.py", "vendor/lib/mock.js")}
+
+
 def template_findings(spark: SparkSession, per_template: int = 40) -> DataFrame:
     """(id, text, path, label): labelled texts, one finding each; a list of
     fixed size, made from hashes of its numbers."""
@@ -150,7 +165,7 @@ def template_findings(spark: SparkSession, per_template: int = 40) -> DataFrame:
                          "b": re.sub(r"[+/=]", "", base64.b64encode(raw).decode())}[kind]
                 return noise[:n]
             text = re.sub(r"\{([xudb])(\d+)\}", fill, template)
-            rows.append((t * 1000 + k, f"{around[k % 5]}{text} the end", "", label))
+            rows.append((t * 1000 + k, f"{around[k % 5]}{text} the end", PATHS[label][(t + k) % len(PATHS[label])], label))
     return spark.createDataFrame(rows, "id long, text string, path string, label int")
 
 
@@ -160,7 +175,7 @@ def train(findings: DataFrame, words: DataFrame, trees: int = 40, depth: int = 7
     cands = find_candidates(findings, "id", "text", F.col("path"))
     rows = with_features(cands, words).join(findings.select("id", "label"), "id")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("id", "nth", "features", F.col("label").cast("double"))
-    rows = written(rows.repartition(1).sortWithinPartitions("id", "nth"), "findings")
+    rows = written(rows.orderBy("id", "nth"), "findings")
     seen = [r[0] for r in rows.select("label").distinct().collect()]
     if len(seen) < 2:
         return float(seen[0]) if seen else 0.0
@@ -181,8 +196,9 @@ def scan_secrets(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", t
 
 
 def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates of all documents; the secret itself only as a digest."""
-    found = scan_secrets(read_table(spark, sf_dir, "documents"), template_findings(spark))
+    """All candidates of all documents, their source as path; the secret itself
+    only as a digest."""
+    found = scan_secrets(read_table(spark, sf_dir, "documents"), template_findings(spark), path=F.col("source"))
     return found.select(F.col("id").alias("doc_id"), "nth", "start", F.length("secret").alias("length"),
                         F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256"),
                         F.round("probability", 6).alias("probability"), (F.col("probability") >= 0.5).alias("is_secret"))

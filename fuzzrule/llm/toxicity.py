@@ -195,7 +195,15 @@ class WordValues:
 def _keyed(batches):
     for pdf in batches:
         keys = gram_keys(pdf["gram"].tolist(), pdf["kind"].to_numpy())
-        yield pd.DataFrame({"key": keys.view(np.int64), "value": pdf["value"]})
+        yield pd.DataFrame({"keys": [keys.tobytes()], "numbers": [pdf["value"].to_numpy(dtype=np.int32).tobytes()]})
+
+
+def _values(table: DataFrame, order: int) -> WordValues:
+    parts = table.mapInPandas(_keyed, "keys binary, numbers binary").collect()  # of a checked size
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in parts)])
+    values = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["numbers"], np.int32) for r in parts)])
+    at = np.argsort(keys)
+    return WordValues(keys[at], values[at], order)
 
 
 def _evidence(model):
@@ -319,10 +327,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         table = gram_values(written(word_counts(counted), "words"), order)
         schema = "id string, row long, words long, total long, best long, excess long"
         if table.count() <= max_grams:
-            pdf = table.mapInPandas(_keyed, "key long, value int").toPandas()
-            keys = pdf["key"].to_numpy(dtype=np.int64).view(np.uint64)
-            at = np.argsort(keys)
-            model = spark.sparkContext.broadcast(WordValues(keys[at], pdf["value"].to_numpy(dtype=np.int32)[at], order))
+            model = spark.sparkContext.broadcast(_values(table, order))
             found = keep(rows.mapInPandas(_evidence(model), schema), "evidence")
             model.destroy()
         else:

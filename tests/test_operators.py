@@ -76,6 +76,20 @@ def test_feature_selection_in_learn(spark):
     assert m.rules.count() > 0
 
 
+def test_feature_selection_reads_the_source_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        read.add(1)
+        return x
+    df = spark.range(200).select(seen((F.col("id") % 37).cast("double")).alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                 F.col("id").cast("double").alias("c"), F.when(F.col("id") % 37 > 20, "y").otherwise("n").alias("k"))
+    m = learn(df, RuleParams(use_fs=True, rate=0.5))
+    assert m.prep.feature_names[0] == "a" and m.d == 2
+    assert read.value == 200
+
+
 def test_relaxed_threshold():
     assert relaxed_threshold(0.9, 0.7) == 0.7
     t = relaxed_threshold(0.55, 0.7)

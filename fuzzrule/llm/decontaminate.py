@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. The document frequency of the benchmark's words is counted over passages
-   of all documents.
-2. Randomised SVD (subspace iteration) of the TF-IDF matrix of passages, with
-   the benchmark items as further rows, gives the latent space.  Its passages
-   are those of a bounded sample of ``sample_docs`` documents (by hash); each
-   task multiplies its passages and returns its part of A'(A X), summed in two
-   steps, so the driver only holds (features x rank) matrices.
+1. The places of the benchmark's words in every document are written once; all
+   later steps read them.  The document frequency of the words is counted over
+   passages of all documents.
+2. Randomised SVD (subspace iteration) of the TF-IDF matrix A of the passages of
+   all documents, with the benchmark items as further rows, gives the latent
+   space.  Up to ``GRAM_FEATURES`` features, each task adds up its part of A'A,
+   which is summed and written once, and the iteration multiplies that; beyond,
+   each task multiplies its passages and returns its part of A'(A X).  Parts are
+   summed in two steps, so the driver only holds (features x rank) matrices.
 3. Every window of every document is projected and held against every item.
    A window is a candidate where its cosine with the item, times the ratio of
    their lengths, reaches ``near``: the share of the item's latent vector that
@@ -91,15 +93,14 @@ def lcs_length(item: np.ndarray, window: np.ndarray) -> int:
 
 class Config:
     """Items of up to ``min_width`` words, twice that, and so on have windows
-    5/4 as wide, every quarter of that; rank of the SVD; the documents that the
-    space is fitted on; the least share of an item's latent vector (``near``);
-    shares of the common subsequence that are a match alone (``lcs``) or with
+    5/4 as wide, every quarter of that; rank of the SVD; the least share of an
+    item's latent vector (``near``); shares of the common subsequence that are a match alone (``lcs``) or with
     the answer (``lcs_answer``).  Below ``lcs_plain`` the words in common must
     also hold a ``weight`` share of the item's squared inverse frequencies: any
     long text has half of a short item whose answer is made of the commonest
     words."""
 
-    def __init__(self, min_width=64, rank=256, oversample=16, block=256, blocks_at_once=4, max_features=1 << 15, sample_docs=4096,
+    def __init__(self, min_width=64, rank=256, oversample=16, block=256, blocks_at_once=4, max_features=1 << 15,
                  near=0.35, exact=False, lcs=0.75, lcs_answer=0.5, lcs_plain=0.6, weight=0.35, answer=0.8, min_words=5, seed=7, passes=2):
         self.__dict__.update({k: v for k, v in locals().items() if k != "self"})
 
@@ -298,26 +299,58 @@ class Space:
         return float(w @ self.items[k] / max(np.linalg.norm(w) * np.linalg.norm(self.items[k]), 1e-9))
 
 
-HITS = "n_words long, pos binary, feat binary"
+HITS = "doc_id long, row long, n_words long, held binary, word binary"
+RUN_WORDS = 1 << 18
 
 
-def _words_of_sample(bench, number: int):
-    """The features of each text, with their positions."""
+def _word_hits(vocabulary):
+    """Of each text: a bit per word, set where the items use it, and the numbers
+    of those words."""
     def run(batches):
-        b = bench.value[number]
+        known = vocabulary.value
+        kind = np.min_scalar_type(len(known))
         for pdf in batches:
             out = []
+            docs, rows = pdf["doc_id"].tolist(), pdf["row"].tolist()
             for at, words, first in word_runs(pdf["text"], plain_spans):
-                pos, feat = b.features_of(words)
-                feat = feat.astype(np.int32)
-                cut = np.searchsorted(pos, first)
-                for i in np.flatnonzero(np.diff(cut)).tolist():
-                    own = slice(cut[i], cut[i + 1])
-                    out.append((int(first[i + 1] - first[i]), (pos[own] - first[i]).astype(np.int32).tobytes(), feat[own].tobytes()))
-            yield pd.DataFrame(out, columns=["n_words", "pos", "feat"])
+                word = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                held = known[word] == words
+                word = word.astype(kind)
+                for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    out.append((docs[at + i], rows[at + i], z - a, np.packbits(held[a:z]).tobytes(), word[a:z][held[a:z]].tobytes()))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in HITS.split(", ")]).astype({"doc_id": "Int64"})
+        give_back()
     return run
 
 
+def _runs(pdf, n_known: int):
+    """The batch's texts, some at a time: (number of the first text, positions and
+    numbers of the known words, first[i]:first[i + 1] being the positions of the
+    run's i-th text)."""
+    kind, size = np.min_scalar_type(n_known), pdf["n_words"].to_numpy()
+    run = (np.cumsum(size) - size) // RUN_WORDS
+    for own in np.split(np.arange(len(size)), np.flatnonzero(np.diff(run)) + 1):
+        if len(own):
+            held = [np.unpackbits(np.frombuffer(pdf["held"].iat[i], np.uint8), count=int(size[i])) for i in own]
+            word = np.frombuffer(b"".join(pdf["word"].iloc[own]), kind).astype(np.int64)
+            yield int(own[0]), np.flatnonzero(np.concatenate(held)), word, np.concatenate(([0], np.cumsum(size[own])))
+
+
+class Numbers:
+    """A block with what the numbers of the pass's words are in it (-1: not held)."""
+
+    def __init__(self, b: Benchmark, known: np.ndarray):
+        self.b, self.n_known = b, len(known)
+        at = np.minimum(np.searchsorted(b.words, known), len(b.words) - 1)
+        self.word = np.where(b.words[at] == known, at, -1)
+
+    def of(self, pos: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and the block's numbers of the words that it uses."""
+        word = self.word[word]
+        keep = word >= 0
+        return pos[keep], word[keep]
+
+
 MATCHES = "doc_id long, row long, item long, cosine double, lcs_share double, answer_found boolean"
 
 
@@ -327,9 +360,9 @@ def _find_matches(model):
         for pdf in batches:
             out = []
             docs, rows = pdf["doc_id"].tolist(), pdf["row"].tolist()
-            for at, words, first in word_runs(pdf["text"], plain_spans):
-                for f, space in finders:
-                    pos, word = f.b.words_of(words)
+            for at, *hits, first in _runs(pdf, finders[0][0].n_known):
+                for own, f, space in finders:
+                    pos, word = own.of(*hits)
                     for (i, k), (share, answer, windows) in f.matches(pos, word, first).items():
                         cosine = max(space.cosine(np.unique(f.b.feature[word[lo:hi]]), k) for lo, hi in windows)
                         out.append((docs[at + i], rows[at + i], f.b.items[k][0], cosine, share, answer))
@@ -339,48 +372,69 @@ def _find_matches(model):
     return run
 
 
-def _passages(texts: DataFrame, bench) -> DataFrame:
+def _passages(hits: DataFrame, shared) -> DataFrame:
     """Rows (block, feature, number) of the passages (of ``width`` words, side by
     side) that hold each feature, and the number of all passages (feature -1)."""
     def run(batches):
-        blocks = bench.value
-        df, n = [np.zeros(b.features, np.int64) for b in blocks], [0] * len(blocks)
+        blocks = shared.value
+        df, n = [np.zeros(own.b.features, np.int64) for own in blocks], [0] * len(blocks)
         for pdf in batches:
-            for _, words, first in word_runs(pdf["text"], plain_spans):
-                for k, b in enumerate(blocks):
+            for _, *hits, first in _runs(pdf, blocks[0].n_known):
+                for k, own in enumerate(blocks):
+                    b = own.b
                     some = -(-np.diff(first) // b.width)
                     n[k] += int(some.sum())
-                    pos, feat = b.features_of(words)
+                    pos, word = own.of(*hits)
                     text = np.searchsorted(first, pos, side="right") - 1
                     before = np.concatenate(([0], np.cumsum(some)))[text]
-                    in_passage = np.unique((before + (pos - first[text]) // b.width) * b.features + feat)
+                    in_passage = np.unique((before + (pos - first[text]) // b.width) * b.features + b.feature[word])
                     df[k] += np.bincount(in_passage % b.features, minlength=b.features)
         for k in range(len(blocks)):
             full = np.flatnonzero(df[k])
             yield pd.DataFrame({"block": k, "feat": np.append(full, -1), "n": np.append(df[k][full], n[k])})
-    return (texts.select("text").mapInPandas(run, "block int, feat long, n long")
+    return (hits.select("n_words", "held", "word").mapInPandas(run, "block int, feat long, n long")
             .groupBy("block", "feat").agg(F.sum("n").alias("n")))
 
 
-def _arrays(pdf):
-    for n, pos, feat in zip(pdf["n_words"], pdf["pos"], pdf["feat"]):
-        yield n, np.frombuffer(pos, np.int32), np.frombuffer(feat, np.int32)
-
-
-def _rows_of(pdf, width: int, idf: np.ndarray):
-    """The batch's passages as a sparse matrix: row numbers, features, weights
+def _rows_of(pdf, own: Numbers, idf: np.ndarray):
+    """The batch's passages as sparse matrices: row numbers, features, weights
     (rows of length 1, so that long or odd passages don't outweigh others)."""
-    rows, feats, at = [], [], 0
-    for n, pos, feat in _arrays(pdf):
-        rows.append(pos // width + at)
-        feats.append(feat)
-        at += int(n) // width + 1
-    if not rows:
-        return None
-    rows, feats = np.concatenate(rows), np.concatenate(feats).astype(np.int64)
-    rows = np.unique(rows, return_inverse=True)[1]
-    norm = np.sqrt(np.bincount(rows, idf[feats] ** 2))
-    return rows, feats, idf[feats] / norm[rows]
+    for _, *hits, first in _runs(pdf, own.n_known):
+        pos, word = own.of(*hits)
+        if not len(pos):
+            continue
+        text = np.searchsorted(first, pos, side="right") - 1
+        before = np.concatenate(([0], np.cumsum(-(-np.diff(first) // own.b.width))))[text]
+        rows = before + (pos - first[text]) // own.b.width
+        rows = np.cumsum(np.diff(rows, prepend=rows[0]) != 0)
+        feats = own.b.feature[word]
+        norm = np.sqrt(np.bincount(rows, idf[feats] ** 2))
+        yield rows, feats, idf[feats] / norm[rows]
+
+
+GRAM_FEATURES = 1 << 12
+HEAD = 512
+PAIRS = 1 << 20  # pairs that are added at once
+
+
+def _add_gram(rows, feats, weight, head: int, out: np.ndarray) -> None:
+    """out += A'A for the sparse rows (sorted by row number), without the part above
+    the diagonal block of the first ``head`` features: those are multiplied as a dense
+    matrix, each other one with its row's."""
+    size = len(out)
+    key, at = np.unique(rows * size + feats, return_inverse=True)
+    rows, feats, weight = key // size, key % size, np.bincount(at, weight)
+    dense = np.zeros((int(rows[-1]) + 1, head), dtype=np.float32)
+    often = feats < head
+    dense[rows[often], feats[often]] = weight[often]
+    out[:head, :head] += dense.T @ dense
+    starts = np.searchsorted(rows, np.arange(len(dense) + 1))
+    tail = np.flatnonzero(~often)
+    many = np.diff(starts)[rows[tail]]
+    for at in np.split(np.arange(len(tail)), np.flatnonzero(np.diff((np.cumsum(many) - many) // PAIRS)) + 1):
+        own, n = tail[at], many[at]
+        other = np.repeat(starts[rows[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        np.add.at(out.reshape(-1), np.repeat(feats[own] * size, n) + feats[other], np.repeat(weight[own], n) * weight[other])
 
 
 def _gram_product(rows, feats, weight, x: np.ndarray, out: np.ndarray) -> None:
@@ -399,47 +453,85 @@ def _gram_product(rows, feats, weight, x: np.ndarray, out: np.ndarray) -> None:
 
 
 CHUNK = 64
+PARTS = "chunk long, salt long, m binary"
 
 
-def _multiply(hits: DataFrame, model, width: int) -> np.ndarray:
-    """A'(A X) over all passages.  Parts are summed in two steps, so a task sums
-    about the square root of all parts."""
-    idf, x = model.value
+def _parts(out: np.ndarray):
+    """A task's part of a sum, in chunks of rows; 32 tasks share a salt."""
+    salt = TaskContext.get().partitionId() // 32
+    for k in range(0, len(out), CHUNK):
+        if out[k:k + CHUNK].any():
+            yield pd.DataFrame({"chunk": [k // CHUNK], "salt": [salt], "m": [out[k:k + CHUNK].astype(np.float32).tobytes()]})
 
-    def part(batches):
-        idf, x = model.value
-        out, some = np.zeros(x.shape), False
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                m = _rows_of(pdf.iloc[at:at + 500], width, idf)
-                if m:
-                    _gram_product(*m, x, out)
-                    some = True
-        if some:
-            salt = TaskContext.get().partitionId() % 64
-            for k in range(0, len(out), CHUNK):
-                if out[k:k + CHUNK].any():
-                    yield pd.DataFrame({"chunk": [k // CHUNK], "salt": [salt], "m": [out[k:k + CHUNK].tobytes()]})
 
+def _summed(parts: DataFrame) -> DataFrame:
+    """Parts summed in two steps, so that no task sums all parts of a chunk."""
     def add(pdf):
         total = np.zeros(0)
         for m in pdf["m"]:
-            m = np.frombuffer(m)
-            total = m.copy() if not len(total) else total + m
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "salt": [0], "m": [total.tobytes()]})
-    schema = "chunk long, salt long, m binary"
-    parts = hits.select("n_words", "pos", "feat").mapInPandas(part, schema)
-    sums = parts.groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
+            m = np.frombuffer(m, np.float32)
+            total = m.astype(np.float64) if not len(total) else total + m
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "salt": [0], "m": [total.astype(np.float32).tobytes()]})
+    return parts.groupBy("chunk", "salt").applyInPandas(add, PARTS).groupBy("chunk").applyInPandas(add, PARTS)
+
+
+def _collected(sums: DataFrame, x: np.ndarray) -> np.ndarray:
     out = np.zeros(x.shape)
     for r in sums.collect():  # features x rank numbers, bounded by parameters
-        out[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["m"]).reshape(-1, x.shape[1])
+        out[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["m"], np.float32).reshape(-1, x.shape[1])
     return out
 
 
-def fit_space(hits: DataFrame, b: Benchmark, idf: np.ndarray, c: Config) -> np.ndarray:
+def _multiply(hits: DataFrame, model) -> np.ndarray:
+    """A'(A X) over all passages."""
+    x = model.value[2]
+
+    def part(batches):
+        own, idf, x = model.value
+        out = np.zeros(x.shape)
+        for pdf in batches:
+            for m in _rows_of(pdf, own, idf):
+                _gram_product(*m, x, out)
+        yield from _parts(out)
+        give_back()
+    return _collected(_summed(hits.select("n_words", "held", "word").mapInPandas(part, PARTS)), x)
+
+
+def _gram(hits: DataFrame, model) -> DataFrame:
+    """A'A over all passages, in chunks of rows: (chunk, m); the features are
+    numbered by ``order``.  A task holds features x features numbers, whatever its
+    passages, so there are few tasks."""
+    def part(batches):
+        own, idf, order = model.value
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        out, head = np.zeros((len(order), len(order))), min(HEAD, len(order))
+        for pdf in batches:
+            for rows, feats, weight in _rows_of(pdf, own, idf):
+                _add_gram(rows, number[feats], weight, head, out)
+        out[:head, head:] = out[head:, :head].T
+        yield from _parts(out)
+        del out
+        give_back()
+    few = 2 * hits.sparkSession.sparkContext.defaultParallelism
+    return written(_summed(hits.select("n_words", "held", "word").coalesce(few).mapInPandas(part, PARTS)), "gram")
+
+
+def _gram_times(gram: DataFrame, model) -> np.ndarray:
+    """A'A X from the chunks of A'A."""
+    x = model.value
+
+    def part(batches):
+        x = model.value
+        for pdf in batches:
+            yield pd.DataFrame({"chunk": pdf["chunk"], "salt": 0, "m": [
+                (np.frombuffer(m, np.float32).reshape(-1, len(x)) @ x).tobytes() for m in pdf["m"]]})
+    return _collected(gram.mapInPandas(part, PARTS), x)
+
+
+def fit_space(hits: DataFrame, own: Numbers, passages: int, df: np.ndarray, idf: np.ndarray, c: Config) -> np.ndarray:
     """Right singular vectors (features x rank) of the TF-IDF passages and items."""
-    sc = hits.sparkSession.sparkContext
-    passages = hits.agg(F.sum(F.ceil(F.col("n_words") / b.width))).first()[0] or 0
+    sc, b = hits.sparkSession.sparkContext, own.b
     rows = np.concatenate([np.full(len(w), k) for k, (_, w) in enumerate(b.items)])
     feats = np.concatenate([b.features_of(w)[1] for _, w in b.items]).astype(np.int64)
     keep = idf[feats] > 0
@@ -452,9 +544,19 @@ def fit_space(hits: DataFrame, b: Benchmark, idf: np.ndarray, c: Config) -> np.n
     wide = min(b.features, c.rank + c.oversample)
     q = np.random.default_rng(c.seed).standard_normal((b.features, wide))
     q[idf == 0] = 0
+    order, gram = np.argsort(-df, kind="stable"), None
+    if b.features <= GRAM_FEATURES:
+        model = sc.broadcast((own, idf, order))
+        gram = _gram(hits, model)
+        model.destroy()
     for step in range(c.passes):
-        model = sc.broadcast((idf, q.astype(np.float32)))
-        g = _multiply(hits, model, b.width)
+        x = q.astype(np.float32)
+        model = sc.broadcast((own, idf, x) if gram is None else x[order])
+        if gram is None:
+            g = _multiply(hits, model)
+        else:
+            g = np.empty(q.shape)
+            g[order] = _gram_times(gram, model)
         model.destroy()
         _gram_product(rows, feats, weight, q, g)
         if step < c.passes - 1:
@@ -486,44 +588,40 @@ def _contaminated(docs, benchmark, id_col, text_col, item_text_col, c: Config) -
                                                                        F.col(item_text_col).alias("text")).distinct(), "items")
     # blocks in order of hashes, of about `block` items, several of them a pass
     blocks = max(1, -(-items.count() // c.block))
-    sample = _sample(texts, c.sample_docs)
     found = []
     for k in range(0, blocks, c.blocks_at_once):
         own = F.pmod(F.col("item_id"), F.lit(blocks))
         rows = items.select("*", own.alias("block")).where(own.between(k, k + c.blocks_at_once - 1)).collect()
         some = [Benchmark([r for r in rows if r["block"] == j], c) for j in range(k, k + c.blocks_at_once)]
         if some := [b for b in some if b.items]:
-            found.append(_matches(texts, sample, some, c))
+            found.append(_matches(texts, some, c))
     out = spark.createDataFrame([], MATCHES)
     for one in found:
         out = out.unionAll(one)
     return out
 
 
-def _sample(texts: DataFrame, most: int) -> DataFrame:
-    """About ``most`` of the texts, by hash of the row."""
-    n = texts.count()
-    part = min(1.0, most / max(1, n))
-    return written(texts.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 20)) < int(part * (1 << 20))).select("text"), "sample")
-
-
-def _matches(texts: DataFrame, sample: DataFrame, blocks: list[Benchmark], c: Config) -> DataFrame:
+def _matches(texts: DataFrame, blocks: list[Benchmark], c: Config) -> DataFrame:
     sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast(blocks)
-    counts = {(r["block"], r["feat"]): r["n"] for r in _passages(texts, shared).collect()}  # a row per feature
+    known = np.unique(np.concatenate([b.words for b in blocks]))
+    vocabulary = sc.broadcast(known)
+    hits = written(texts.mapInPandas(_word_hits(vocabulary), HITS), "hits")
+    vocabulary.destroy()
+    numbers = [Numbers(b, known) for b in blocks]
+    shared = sc.broadcast(numbers)
+    counts = {(r["block"], r["feat"]): r["n"] for r in _passages(hits, shared).collect()}  # a row per feature
+    shared.destroy()
     finders = []
-    for k, b in enumerate(blocks):
-        n = max(1, counts.get((k, -1), 0))
+    for k, own in enumerate(numbers):
+        b, n = own.b, max(1, counts.get((k, -1), 0))
         df = np.array([counts.get((k, f), 0) for f in range(b.features)])
         # damped inverse frequencies: an item is more than its rarest words
         weight = np.sqrt(np.log((n + 1) / (df + 1)) + 0.01)
-        hits = written(sample.mapInPandas(_words_of_sample(shared, k), HITS), "sample_words")
-        space = Space(b, weight, fit_space(hits, b, weight, c), c)
-        finders.append((Finder(b, df, n, c, None if c.exact else space), space))
+        space = Space(b, weight, fit_space(hits, own, n, df, weight, c), c)
+        finders.append((own, Finder(b, df, n, c, None if c.exact else space), space))
     model = sc.broadcast(finders)
-    out = written(texts.mapInPandas(_find_matches(model), MATCHES), "matches")
+    out = written(hits.mapInPandas(_find_matches(model), MATCHES), "matches")
     model.destroy()
-    shared.destroy()
     return out
 
 

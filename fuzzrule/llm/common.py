@@ -12,6 +12,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +125,7 @@ def ascii_lower(col):
 def give_back() -> None:
     """At the end of a Python task: memory that it freed goes back to the system,
     as Spark keeps the worker process (where the C library can do that)."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -414,7 +414,7 @@ def _rows_of(pdf, own: Numbers, idf: np.ndarray):
 
 GRAM_FEATURES = 1 << 12
 HEAD = 512
-PAIRS = 1 << 20  # pairs that are added at once
+PAIRS = 1 << 17  # pairs that are added at once
 
 
 def _add_gram(rows, feats, weight, head: int, out: np.ndarray) -> None:

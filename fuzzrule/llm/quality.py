@@ -5,9 +5,10 @@ A document is a bag of passages.  Every passage of its whole text is encoded
 attention, learned from document labels alone, weighs the passages, and the
 weighted representation is scored.
 
-The network is fitted on the driver on a bounded sample of labelled rows
-(``max_documents`` rows by hash of the id, leaving out those of more than
-``max_passages`` passages; their features are some MB, at most 240).  Scoring is map-only:
+Every text is encoded once and its features are written; fit and scoring read
+those.  The network is fitted on all labelled documents with all their passages:
+in each step of L-BFGS the tasks add up loss and gradient over their documents,
+and the driver holds the 697 parameters and their sums.  Scoring is map-only:
 documents are never gathered, and memory per task is one batch of texts.
 
 Defined cases: a null or empty text is one passage without words; null or
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fuzzrule.llm.common import give_back, read_table, span_hashes, word_spans, written
+from fuzzrule.llm.common import give_back, read_table, scratch, span_hashes, word_spans, written
 
 PASSAGE_WORDS = 64
 BYTES_AT_ONCE = 2 << 20
@@ -110,7 +111,7 @@ def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     columns += [mean(sums[1] + (sums[5] > 0) >= np.maximum(2, size * 0.6)), mean(sums[4] > 0), mean(sums[4] == size),
                 mean((sums[4] > 0) & (_CLASSES[4][last])), mean(_CLASSES[1][begin]), mean(_CLASSES[3][last]), mean(sums[2] > 0),
                 mean(same), mean(two), mean(distinct), common[row] / n, in_text[text[head]],
-                np.log1p(words[text[head]]), mean(np.concatenate(([False], data[np.maximum(starts[1:] - 1, 0)] == 10)))]
+                np.log1p(words[text[head]]), mean(np.concatenate(([False], (data[starts[1:] - 1] == 10) & (text[1:] == text[:-1]))))]
     out[row, 1:1 + len(columns)] = np.stack(columns, axis=1)
     return out, bags
 
@@ -140,10 +141,11 @@ class AttentionModel:
         score = 1 / (1 + np.exp(-(z @ p["c"] + p["c0"][0])))
         return score, (x, h, t, s, alpha, z, bag, first)
 
-    def gradient(self, x, bags, y, decay: float):
+    def sums(self, x, bags, y):
+        """Loss and gradient, summed over the bags."""
         p = self.p
         score, (x, h, t, s, alpha, z, bag, first) = self.forward(x, bags)
-        d = (score - y) / len(y)
+        d = score - y
         dz = d[:, None] * p["c"]
         dalpha = (dz[bag] * h).sum(1)
         de = alpha * (dalpha - np.add.reduceat(alpha * dalpha, first)[bag])
@@ -152,89 +154,165 @@ class AttentionModel:
         dx = dh * (1 - h ** 2)
         g = {"w1": x.T @ dx, "b1": dx.sum(0), "v": h.T @ dt, "u": h.T @ ds, "a": (de[:, None] * t * s).sum(0),
              "c": z.T @ d, "c0": np.array([d.sum()])}
-        return {k: v + decay * p[k] for k, v in g.items()}
-
-    def fit(self, x, bags, y, steps: int = 400, rate: float = 0.02, decay: float = 1e-4):
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for i in range(1, steps + 1):
-            step = rate * min(1.0, 2 * (1 - i / (steps + 1)))
-            for k, g in self.gradient(x, bags, y, decay).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v2[k] = 0.999 * v2[k] + 0.001 * g * g
-                self.p[k] = self.p[k] - step * (m[k] / (1 - 0.9 ** i)) / (np.sqrt(v2[k] / (1 - 0.999 ** i)) + 1e-8)
+        return -np.log(np.maximum(np.where(y, score, 1 - score), 1e-300)).sum(), g
+
+    def gradient(self, x, bags, y, decay: float):
+        g = self.sums(x, bags, y)[1]
+        return {k: v / len(y) + decay * self.p[k] for k, v in g.items()}
+
+    def flat(self, p=None) -> np.ndarray:
+        """The parameters (or their gradient) as one vector."""
+        p = p or self.p
+        return np.concatenate([p[k].ravel() for k in self.NAMES])
+
+    def at(self, vector: np.ndarray) -> "AttentionModel":
+        """The model with the parameters of a vector."""
+        parts = np.split(vector, np.cumsum([self.p[k].size for k in self.NAMES])[:-1])
+        self.p = {k: v.reshape(self.p[k].shape) for k, v in zip(self.NAMES, parts)}
         return self
 
 
+def minimised(loss, p: np.ndarray, steps: int, memory: int = 10, enough: float = 1e-4) -> np.ndarray:
+    """The least point that L-BFGS finds; ``loss`` gives value and gradient.  It
+    ends after ``steps`` steps, where no gradient is above ``enough``, or where
+    no shorter step is better."""
+    f, g = loss(p)
+    pairs = []
+    for _ in range(steps):
+        if np.abs(g).max() <= enough:
+            break
+        d, back = -g, []
+        for s, y in reversed(pairs):
+            back.append((s @ d) / (s @ y))
+            d = d - back[-1] * y
+        d = d * (pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else min(1.0, 1 / np.linalg.norm(g)))
+        for (s, y), b in zip(pairs, reversed(back)):
+            d = d + (b - (y @ d) / (s @ y)) * s
+        for k in range(8):
+            to = p + d * 0.4 ** k
+            f2, g2 = loss(to)
+            if f2 <= f + 1e-4 * (g @ (to - p)):
+                break
+        else:
+            break
+        if (to - p) @ (g2 - g) > 1e-12:
+            pairs = [*pairs, (to - p, g2 - g)][-memory:]
+        p, f, g = to, f2, g2
+    return p
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _encode_bags(limit: int):
+BAGS = "id string, row long, x binary"
+RUN_PASSAGES = 4096
+
+
+def _encode(batches):
+    """The features of all passages of each text."""
+    for pdf in batches:
+        for at in range(0, len(pdf), 200):
+            part = pdf.iloc[at:at + 200]
+            x, bags = passages(part["text"].tolist())
+            yield part.drop(columns="text").assign(x=[b.tobytes() for b in np.split(x, np.cumsum(bags)[:-1])])
+    give_back()
+
+
+def encoded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return written(rows.mapInPandas(_encode, BAGS), "bags")
+
+
+def _runs(batches):
+    """Some rows at a time, with the features of their passages and the passages per row."""
+    for pdf in batches:
+        bags = np.array([len(x) for x in pdf["x"]], dtype=np.int64) // (4 * N_FEATURES)
+        run = (np.cumsum(bags) - bags) // RUN_PASSAGES
+        for own in np.split(np.arange(len(bags)), np.flatnonzero(np.diff(run)) + 1):
+            if len(own):
+                part = pdf.iloc[own]
+                yield part, np.frombuffer(b"".join(part["x"]), np.float32).reshape(-1, N_FEATURES).astype(np.float64), bags[own]
+
+
+def _summed(train: DataFrame, add) -> np.ndarray:
+    """The sum of what ``add`` gives for the runs of all rows."""
     def run(batches):
-        for pdf in batches:
-            for doc, label, text in zip(pdf["doc_id"], pdf["label"], pdf["text"]):
-                x, bags = passages([text])
-                if len(x) <= limit:
-                    yield pd.DataFrame({"doc_id": [doc], "label": [label], "x": [x.tobytes()]})
-    return run
+        total = None
+        for part in _runs(batches):
+            own = add(*part)
+            total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"m": [total.tobytes()]})
+        give_back()
+    return np.sum([np.frombuffer(r["m"]) for r in train.mapInPandas(run, "m binary").collect()], axis=0)  # some KB a task
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-                max_documents: int = 6000, max_passages: int = 400):
-    """The fitted model, or a constant score where there is nothing to learn."""
+def _moments(part, x, bags):
+    return np.concatenate(([len(x)], x.sum(0), (x ** 2).sum(0)))
+
+
+def fit_quality(bags: DataFrame, labels: DataFrame, id_col: str, label_col: str, steps: int = 60, decay: float = 1e-4):
+    """The model fitted on all labelled rows, or a constant score where there is
+    nothing to learn."""
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-             .groupBy(id_col).agg(F.max(F.col(label_col)).cast("double").alias("label")))
-    # a bounded sample of labelled rows, by hash: the ids alone are sorted
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(max_documents).withColumnsRenamed({id_col: "__id", "label": "__label"})
-    chosen = written(chosen, "chosen")
-    bags = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(
-        F.col("__id").alias("doc_id"), F.col("__label").alias("label"), F.col(text_col).alias("text"))
-    bags = bags.mapInPandas(_encode_bags(max_passages), "doc_id long, label double, x binary")
-    rows = (bags.withColumn("h", F.xxhash64("x")).orderBy("doc_id", "h").limit(max_documents).toPandas())
-    if not len(rows) or rows["label"].nunique() < 2:
-        return (rows["label"].sum() + 1) / (len(rows) + 2) if len(rows) else 0.5
-    x = [np.frombuffer(b, dtype=np.float32).reshape(-1, N_FEATURES) for b in rows["x"]]
-    many, x = np.array([len(b) for b in x]), np.concatenate(x).astype(np.float64)
-    model = AttentionModel(x.mean(0), x.std(0) + 1e-3)
-    return model.fit(x, many, rows["label"].to_numpy() >= 0.5)
+             .groupBy(F.col(id_col).cast("string").alias("id")).agg(F.max(F.col(label_col)).cast("double").alias("label")))
+    train = written(bags.join(known, "id").select("label", "x"), "train")
+    of = train.agg(F.count("label").alias("n"), F.sum("label").alias("sum"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
+    if not of["n"] or of["lo"] == of["hi"]:
+        return (of["sum"] + 1) / (of["n"] + 2) if of["n"] else 0.5
+    n, *sums = np.split(_summed(train, _moments), [1, 1 + N_FEATURES])
+    mean = sums[0] / n
+    model = AttentionModel(mean, np.sqrt(np.maximum(sums[1] / n - mean ** 2, 0)) + 1e-3)
+
+    def loss(p):
+        model.at(p)
+
+        def add(part, x, bags):
+            f, g = model.sums(x, bags, part["label"].to_numpy() >= 0.5)
+            return np.concatenate(([f], model.flat(g)))
+        total = _summed(train, add) / of["n"]
+        return total[0] + decay / 2 * (p @ p), total[1:] + decay * p
+    return model.at(minimised(loss, model.flat(), steps))
 
 
 def _score(model):
     def run(batches):
         m = model.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at:at + 200]
-                if isinstance(m, float):
-                    score = np.full(len(part), m)
-                else:
-                    score = m.forward(*passages(part["text"].tolist()))[0] if len(part) else []
-                yield part.drop(columns="text").assign(__score=score)
+        for part, x, bags in _runs(batches):
+            yield part.drop(columns="x").assign(__score=m if isinstance(m, float) else m.forward(x, bags)[0])
         give_back()
     return run
 
 
+SCORES = "id string, row long, __score double"
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", **how) -> DataFrame:
     """(row, score) for each row of ``docs``: its id, text hash and score."""
-    return _scored(docs, labels, id_col, text_col, label_col, **how)[0]
+    with scratch(docs.sparkSession) as keep:
+        scores, model = _scored(docs, labels, id_col, text_col, label_col, **how)
+        scores = keep(scores, "scores")
+        model.destroy()
+    return scores
 
 
 def _scored(docs, labels, id_col, text_col, label_col="quality", **how):
-    m = fit_quality(docs, labels, id_col, text_col, label_col, **how)
+    bags = encoded(docs, id_col, text_col)
+    m = fit_quality(bags, labels, id_col, label_col, **how)
     model = docs.sparkSession.sparkContext.broadcast(m if isinstance(m, AttentionModel) else float(m))
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_score(model), "id string, row long, __score double"), model
+    return bags.mapInPandas(_score(model), SCORES), model
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5,
               **how) -> DataFrame:
     """``docs`` without the documents that score below ``least``."""
-    scores, model = _scored(docs, labels, id_col, text_col, **how)
-    bad = scores.where(F.col("__score") < least).select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
-    bad = written(bad, "rejected")
-    model.destroy()
+    with scratch(docs.sparkSession) as keep:
+        scores, model = _scored(docs, labels, id_col, text_col, **how)
+        bad = scores.where(F.col("__score") < least).select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
+        bad = keep(bad, "rejected")
+        model.destroy()
     same = F.col(id_col).cast("string").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__row"))
     return docs.join(bad, same, "left_anti")
 

@@ -135,6 +135,54 @@ def test_quality_on_held_out_documents(spark):
     assert score_quality(docs.limit(0), lab).count() == 0
 
 
+def test_quality_is_fitted_on_all_labelled_documents(spark):
+    """More of them than a sample would take; the bad ones come last by hash."""
+    from fuzzrule.llm.quality import held_out, score_quality
+    ids = spark.range(10000).where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").select("id").collect()
+    bad = {r.id for r in ids[6200:]}
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 12) if i not in bad else " ".join(w + "###" for w in prose(rng, 12).split())) for i in range(10000)]
+    lab = spark.createDataFrame([(i, int(i not in bad)) for i, _ in rows], "doc_id long, quality int")
+    odd = [(20000, "kara### tonel### mira### suquin###"), (20001, "kara tonel mira suquin")]
+    s = {int(r.id): r["__score"] for r in score_quality(docs_frame(spark, rows + odd), lab).collect()}
+    assert len(s) == 10002 and s[20000] < 0.1 and s[20001] > 0.9
+    assert all((s[i] < 0.5) == (i in bad) for i, _ in rows)
+
+
+def test_quality_learns_from_long_documents(spark):
+    """All bad documents have more than 400 passages."""
+    from fuzzrule.llm.quality import score_quality
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 40)) for i in range(60)]
+    rows += [(100 + i, " ".join(w + "###" for w in prose(rng, 700).split() * 40)) for i in range(12)]
+    lab = spark.createDataFrame([(i, int(i < 60)) for i, _ in rows], "doc_id long, quality int")
+    s = score_quality(docs_frame(spark, rows), lab).collect()
+    assert len(s) == 72 and all((r["__score"] >= 0.5) == (int(r.id) < 60) for r in s)
+
+
+def test_quality_sums_over_runs_and_tasks(spark, monkeypatch):
+    """The fit does not depend on how the documents are dealt."""
+    from fuzzrule.llm import quality as Q
+    rows, labels = quality_tables(spark, 80)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs, got = docs_frame(spark, rows), []
+    for tasks, run in ((1, 4096), (5, 3)):
+        monkeypatch.setattr(Q, "RUN_PASSAGES", run)
+        with Q.scratch(spark):
+            bags = Q.encoded(docs.repartition(tasks), "doc_id", "text")
+            got.append(Q.fit_quality(bags, lab, "doc_id", "quality", steps=5).flat())
+    assert np.allclose(*got, rtol=1e-6, atol=1e-8)
+
+
+def test_minimised():
+    from fuzzrule.llm.quality import minimised
+
+    def rosenbrock(p):
+        x, y = p
+        return (1 - x) ** 2 + 100 * (y - x * x) ** 2, np.array([2 * (x - 1) - 400 * x * (y - x * x), 200 * (y - x * x)])
+    assert np.allclose(minimised(rosenbrock, np.array([-1.2, 1.0]), 200), 1, atol=1e-3)
+
+
 def test_attention_gradient_is_right():
     from fuzzrule.llm.quality import AttentionModel
     rng = np.random.default_rng(1)
